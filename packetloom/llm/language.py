@@ -192,7 +192,6 @@ def identify(df: DataFrame, sample: dict[str, str], text: str = "text", lang: st
     """`df` with the predicted language and its score; the parser is made from `sample` in each worker."""
     names = df.columns
     inner = df.toDF(*[f"c{i}" for i in range(len(names))])
-    kind = inner.schema.simpleString()[7:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,7 +199,7 @@ def identify(df: DataFrame, sample: dict[str, str], text: str = "text", lang: st
             found = parser(sample).predict(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*b.schema.names, "lang_pred_", "score_"])
 
-    out = inner.mapInArrow(run, ",".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(inner.schema.fields)), "lang_pred_ string", "score_ double"])) if kind else inner
+    out = inner.mapInArrow(run, ",".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(inner.schema.fields)), "lang_pred_ string", "score_ double"]))
     return out.toDF(*names, lang, score)
 
 

@@ -8,11 +8,12 @@ from packetloom.llm.media import op2_media
 from packetloom.llm.packing import op10_pack
 from packetloom.llm.piececount import op7_token_counts
 from packetloom.llm.simhash import op4_simhash
+from packetloom.llm.toxicity import op5_toxicity
 from packetloom.llm.urls import OP9_SQL, op9_url_filter
 from packetloom.llm.wordbpe import op6_bpe_codec
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_nearest, op2_media, op4_simhash, op6_bpe_codec, op7_token_counts, op8_language, op9_url_filter, op10_pack)
+    for f in (op1_nearest, op2_media, op4_simhash, op5_toxicity, op6_bpe_codec, op7_token_counts, op8_language, op9_url_filter, op10_pack)
 }
 SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
