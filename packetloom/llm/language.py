@@ -29,8 +29,10 @@ from packetloom.llm.common import documents, whole_text
 
 UNKNOWN = "und"
 WINDOW = 192
+#: Windows that take a step together.
+LANES = 8192
 #: Bounds of the labelled sample, in characters.
-TOTAL_CHARS = 160_000
+TOTAL_CHARS = 120_000
 DOC_CHARS = 600
 #: Letters that have a class of their own, the most frequent of the labelled text; the others share one.
 LETTERS = 62
@@ -110,7 +112,7 @@ class CrossParser:
             self.starts.append(base)
             tables.append(self.table(moves, base))
             base += len(moves) * self.width
-        self.next = np.concatenate(tables) if tables else np.empty(0, "i8")
+        self.next = np.concatenate(tables) if tables else np.empty(0, "i4")
 
     def codes(self, text: str) -> np.ndarray:
         return self.classes[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 0xFFFF)]
@@ -130,7 +132,7 @@ class CrossParser:
         again = np.where(again < 0, 0, again)
         place = 4 * (base + again * w) + ended
         place[:, 0] = 4 * (base + np.arange(len(moves)) * w)
-        return place.astype("i8").ravel()
+        return place.astype("i4").ravel()
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages): phrases that each text needs; and its characters."""
@@ -143,26 +145,39 @@ class CrossParser:
         window = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         begin, end = first[owner] + window * WINDOW, (first + lengths)[owner]
         counts = np.zeros((len(texts), len(self.labels)), "i8")
-        for lo in range(0, len(owner), 8192):
-            b, e = begin[lo : lo + 8192], end[lo : lo + 8192]
+        for lo in range(0, len(owner), LANES):
+            b, e = begin[lo : lo + LANES], end[lo : lo + LANES]
             at = b[:, None] + np.arange(WINDOW)
-            lanes = np.where(at < e[:, None], flat[np.minimum(at, len(flat) - 1)], 0).T.astype("i8")
+            lanes = np.where(at < e[:, None], flat[np.minimum(at, len(flat) - 1)], 0).T.astype("i4")
             for k, start in enumerate(self.starts):
-                state = np.full(len(b), start, "i8")
+                state = np.full(len(b), start, "i4")
                 total = np.zeros(len(b), "i8")
                 for c in lanes:
                     found = self.next[state + c]
                     total += found & 3
                     state = found >> 2
                 total += state != start
-                np.add.at(counts[:, k], owner[lo : lo + 8192], total)
+                np.add.at(counts[:, k], owner[lo : lo + LANES], total)
         return counts, lengths
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language, and how clear it is: the share of the winner when shares fall with the phrases needed."""
-        lowered = ["" if t is None else t.lower() for t in texts]
         if not self.labels:
             return [(UNKNOWN, 0.0)] * len(texts)
+        out: list[tuple[str, float]] = []
+        part: list[str] = []
+        size = 0
+        for t in texts:
+            part.append("" if t is None else t.lower())
+            size += len(part[-1])
+            if size > 1_500_000:
+                out += self._predicted(part)
+                part, size = [], 0
+        return out + self._predicted(part)
+
+    def _predicted(self, lowered: list[str]) -> list[tuple[str, float]]:
+        if not lowered:
+            return []
         counts, lengths = self.phrases(lowered)
         rates = counts / np.maximum(lengths, 1)[:, None]
         out = []

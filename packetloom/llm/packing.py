@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import documents, whole_text, written
-from packetloom.llm.wordbpe import WordBpe
+from packetloom.llm.wordbpe import KEPT_CHUNKS, WordBpe
 
 END_ID = 2
 CAPACITY = 4096
@@ -48,7 +48,7 @@ class LibraryIds(WordBpe):
         self.library.no_padding()
 
     def learn(self, chunks: Iterable[str]) -> None:
-        if len(self.kept) > 600_000:
+        if len(self.kept) > KEPT_CHUNKS:
             self.kept = {}
         new = [c for c in chunks if c not in self.kept]
         for c, x in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):

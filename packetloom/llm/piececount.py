@@ -24,7 +24,7 @@ from packetloom.llm.common import documents, whole_text
 
 MARK = "▁"
 #: Counts are kept for so many words in each worker; then the store is emptied.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 500_000
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from packetloom.llm.common import documents, whole_text
 
 #: Results are kept for so many chunks in each worker; then the store is emptied.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 250_000
 #: The control characters that Python counts as white space and the vocabulary's pattern doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACES = regex.compile(r"\p{White_Space}+")
@@ -179,7 +179,7 @@ class WordBpe:
         for text in texts:
             batch.append(self.parts(text))
             size += len(text)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield from self._encoded(batch)
                 batch, size = [], 0
         yield from self._encoded(batch)
