@@ -29,33 +29,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import documents, whole_text, written
-from packetloom.llm.wordbpe import KEPT_CHUNKS, WordBpe
+from packetloom.llm.wordbpe import WordBpe
 
 END_ID = 2
 CAPACITY = 4096
 
 
 class LibraryIds(WordBpe):
-    """Ids by the tokenizers library, which gets each new white-space-free chunk once."""
+    """Ids by the tokenizers library, which gets each new piece of a white-space-free chunk once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__(path)
+        super().__init__(path, most)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        if len(self.kept) > KEPT_CHUNKS:
-            self.kept = {}
-        new = [c for c in chunks if c not in self.kept]
-        for c, x in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.kept[c] = np.array(x.ids, "<u4").tobytes()
+    def ids(self, words: list[str]) -> Iterable[list[int]]:
+        for k in range(0, len(words), 2000):
+            for x in self.library.encode_batch_fast(words[k : k + 2000], add_special_tokens=False):
+                yield x.ids
 
 
-_LOADED: dict[str, LibraryIds] = {}
+_LOADED: dict[tuple[str, int], LibraryIds] = {}
+#: Results are kept for so many chunks in each worker, and as many older ones.
+MOST_KEPT = 300_000
 
 
 def shortest_pack_first(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -101,13 +101,13 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(out), "i8").reshape(-1, 5)
 
 
-def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", most: int = MOST_KEPT) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens) of each piece, and its partition and rank there among equal lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _LOADED:
-            _LOADED[path] = LibraryIds(path)
-        v, seen, part = _LOADED[path], np.zeros(capacity + 1, "i8"), TaskContext.get().partitionId()
+        if (path, most) not in _LOADED:
+            _LOADED[path, most] = LibraryIds(path, most)
+        v, seen, part = _LOADED[path, most], np.zeros(capacity + 1, "i8"), TaskContext.get().partitionId()
         end = END_ID.to_bytes(4, "little")
         for b in batches:
             rows = []
@@ -126,9 +126,9 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_i
     return rows.mapInArrow(run, "key long, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long")
 
 
-def pack(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", most: int = MOST_KEPT) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece of `df`'s rows."""
-    table = written(pieces(df, path, capacity, key, text), "pieces")
+    table = written(pieces(df, path, capacity, key, text, most), "pieces")
     by_part = table.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     places = slots(shortest_pack_first(counts, capacity))

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from packetloom.llm.common import documents, whole_text
 
-#: Results are kept for so many chunks in each worker; then the store is emptied.
-KEPT_CHUNKS = 250_000
+#: Results are kept for so many chunks in each worker, and as many older ones.
+KEPT_CHUNKS = 150_000
 #: The control characters that Python counts as white space and the vocabulary's pattern doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACES = regex.compile(r"\p{White_Space}+")
@@ -51,7 +51,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """The vocabulary at `path` (a tokenizers .json with word ends), with results kept by chunk."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = KEPT_CHUNKS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -72,6 +72,9 @@ class WordBpe:
         self.kept: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.spelt: dict[str, bytes] = {}
+        self.last_kept: dict[str, bytes] = {}
+        self.last_pieces: dict[str, bytes] = {}
+        self.most = most
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """The ids of each word, by one pair occurrence index over all of them."""
@@ -160,17 +163,30 @@ class WordBpe:
                 out += self.chunks(piece)
         return out
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Encodes the chunks that aren't kept yet."""
-        if len(self.kept) > KEPT_CHUNKS or len(self.pieces) > KEPT_CHUNKS:
-            self.kept, self.pieces, self.spelt = {}, {}, {}
-        kept, pieces = self.kept, self.pieces
-        new = {c: self.cut.findall(c) for c in chunks if c not in kept}
-        words = list({w for ws in new.values() for w in ws if w not in pieces})
-        for w, ids in zip(words, self.merge(words)):
+    def learn(self, chunks: set[str]) -> None:
+        """Encodes chunks that aren't kept. When the store is full a new one is begun, and takes from the last what is met again."""
+        if len(self.kept) > self.most:
+            self.last_kept, self.kept = self.kept, {}
+            self.last_pieces, self.pieces, self.spelt = self.pieces, {}, {}
+        kept, pieces, was, was_pieces = self.kept, self.pieces, self.last_kept, self.last_pieces
+        cut, new, words = self.cut.findall, {}, []
+        for c in chunks:
+            if c in was:
+                kept[c] = was[c]
+                continue
+            new[c] = ws = (c,) if c.isalpha() else cut(c)
+            for w in ws:
+                if w not in pieces:
+                    pieces[w] = was_pieces.get(w, b"")
+                    if not pieces[w]:
+                        words.append(w)
+        for w, ids in zip(words, self.ids(words)):
             pieces[w] = array("I", ids).tobytes()
         for c, ws in new.items():
-            kept[c] = pieces[ws[0]] if len(ws) == 1 else b"".join(pieces[w] for w in ws)
+            kept[c] = pieces[ws[0]] if len(ws) == 1 else b"".join([pieces[w] for w in ws])
+
+    def ids(self, words: list[str]) -> Iterable[list[int]]:
+        return self.merge(words)
 
     def encode_all(self, texts: list[str]) -> Iterator[tuple[bytes, list[str | int]]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and its parts."""
@@ -185,17 +201,17 @@ class WordBpe:
         yield from self._encoded(batch)
 
     def _encoded(self, batch: list[list[str | int]]) -> Iterator[tuple[bytes, list[str | int]]]:
-        distinct: set[str | int] = set()
-        for parts in batch:
-            distinct.update(parts)
-        numbers = {x for x in distinct if isinstance(x, int)}
-        self.learn(distinct - numbers)
+        """One lookup for each chunk; what isn't kept is learned for the whole batch."""
+        get = self.kept.get
+        found = [list(map(get, parts)) for parts in batch]
+        missing = {x for parts, raws in zip(batch, found) if None in raws for x, raw in zip(parts, raws) if raw is None}
+        numbers = {x: x.to_bytes(4, "little") for x in missing if isinstance(x, int)}
+        self.learn(missing.difference(numbers))
         kept = self.kept
-        for parts in batch:
-            if numbers and not numbers.isdisjoint(parts):
-                yield b"".join(x.to_bytes(4, "little") if isinstance(x, int) else kept[x] for x in parts), parts
-            else:
-                yield b"".join([kept[x] for x in parts]), parts
+        for parts, raws in zip(batch, found):
+            if None in raws:
+                raws = [raw if raw is not None else numbers[x] if isinstance(x, int) else kept[x] for x, raw in zip(parts, raws)]
+            yield b"".join(raws), parts
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the library does for a file without a decoder: the tokens, joined by spaces."""
@@ -207,7 +223,11 @@ class WordBpe:
             return self.tokens[part].encode()
         found = self.spelt.get(part)
         if found is None:
-            found = self.spelt[part] = self.decode(np.frombuffer(self.kept[part], "<u4")).encode()
+            raw = self.kept.get(part)
+            if raw is None:
+                self.learn({part})
+                raw = self.kept[part]
+            found = self.spelt[part] = self.decode(np.frombuffer(raw, "<u4")).encode()
         return found
 
     def decoded(self, parts: list[str | int]) -> bytes:
