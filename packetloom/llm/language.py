@@ -34,6 +34,8 @@ LANES = 8192
 #: Bounds of the labelled sample, in characters.
 TOTAL_CHARS = 120_000
 DOC_CHARS = 600
+#: Times as many rows as are needed lie below the cut.
+SPARE = 8
 #: Letters that have a class of their own, the most frequent of the labelled text; the others share one.
 LETTERS = 62
 LETTER = re.compile(r"[^\W\d_]")
@@ -45,17 +47,37 @@ def held_out(key: Column, divisor: int, remainder: int) -> Column:
 
 
 def labelled_sample(df: DataFrame, label: str, text: str, total_chars: int = TOTAL_CHARS, doc_chars: int = DOC_CHARS) -> dict[str, str]:
-    """Labelled text by language, within the bounds."""
+    """Labelled text by language, within the bounds.
+
+    What comes first in the order of hashes lies below a cut that row counts give, with room to spare, so few rows of a language meet in its
+    window. Where copies leave too few below the cut, the sample is taken without cuts.
+    """
+    most = total_chars // doc_chars * 4  # a language's share is 200 documents or more when documents are of full length
+    name = df[label].cast("string")
+    counts = {r[0]: r[1] for r in df.filter(name.isNotNull()).groupBy(name).count().collect()}
+    cuts = {k: (SPARE * most << 64) // n - (1 << 63) for k, n in counts.items() if n > SPARE * most}
+    found = _first_texts(df, label, text, most, doc_chars, cuts)
+    if any(len(found.get(k, ())) < most for k in cuts):
+        found = _first_texts(df, label, text, most, doc_chars, {})
+    share = total_chars // max(1, len(found))
+    return {k: "\n".join(v)[:share] for k, v in sorted(found.items())}
+
+
+def _first_texts(df: DataFrame, label: str, text: str, most: int, doc_chars: int, cuts: dict[str, int]) -> dict[str, list[str]]:
+    """The first `most` distinct texts of each label in the order of their hashes; of labels in `cuts` only those with hashes up to the cut."""
     rows = df.select(df[label].cast("string").alias("label"), F.lower(df[text].cast("string")).alias("text")).filter("label is not null and length(text) > 0")
-    rows = rows.select("label", F.xxhash64("text").alias("order"), F.substring("text", 1, doc_chars).alias("text")).distinct()
+    rows = rows.withColumn("order", F.xxhash64("text"))
+    if cuts:
+        cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
+        rows = rows.filter(F.col("order") <= F.coalesce(F.try_element_at(cut, F.col("label")), F.lit((1 << 63) - 1)))
+    rows = rows.select("label", "order", F.substring("text", 1, doc_chars).alias("text")).distinct()
     best = Window.partitionBy("label").orderBy("order", "text")
-    # limits within a window run before its shuffle too; a language's share is 200 documents or more when documents are of full length
-    ranked = rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= total_chars // doc_chars * 4)
+    # limits within a window run before its shuffle too
+    ranked = rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
     out: dict[str, list[str]] = {}
     for r in ranked.orderBy("label", "rank").collect():
         out.setdefault(r["label"], []).append(r["text"])
-    share = total_chars // max(1, len(out))
-    return {k: "\n".join(v)[:share] for k, v in sorted(out.items())}
+    return out
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
