@@ -55,7 +55,7 @@ class LibraryIds(WordBpe):
 
 _LOADED: dict[tuple[str, int], LibraryIds] = {}
 #: Results are kept for so many chunks in each worker, and as many older ones.
-MOST_KEPT = 300_000
+MOST_KEPT = 500_000
 
 
 def shortest_pack_first(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -164,10 +164,7 @@ class WordBpe:
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        """Encodes chunks that aren't kept. When the store is full a new one is begun, and takes from the last what is met again."""
-        if len(self.kept) > self.most:
-            self.last_kept, self.kept = self.kept, {}
-            self.last_pieces, self.pieces, self.spelt = self.pieces, {}, {}
+        """Encodes chunks that aren't kept; what the last store has is taken from there."""
         kept, pieces, was, was_pieces = self.kept, self.pieces, self.last_kept, self.last_pieces
         cut, new, words = self.cut.findall, {}, []
         for c in chunks:
@@ -200,18 +197,25 @@ class WordBpe:
                 batch, size = [], 0
         yield from self._encoded(batch)
 
+    def renew(self) -> None:
+        """When the store is full a new one is begun, beside the last."""
+        if len(self.kept) > self.most:
+            self.last_kept, self.kept = self.kept, {}
+            self.last_pieces, self.pieces, self.spelt = self.pieces, {}, {}
+
     def _encoded(self, batch: list[list[str | int]]) -> Iterator[tuple[bytes, list[str | int]]]:
-        """One lookup for each chunk; what isn't kept is learned for the whole batch."""
-        get = self.kept.get
-        found = [list(map(get, parts)) for parts in batch]
-        missing = {x for parts, raws in zip(batch, found) if None in raws for x, raw in zip(parts, raws) if raw is None}
+        """What isn't kept is learned for the whole batch; then each chunk is one lookup."""
+        self.renew()
+        missing = set().union(*batch).difference(self.kept)
         numbers = {x: x.to_bytes(4, "little") for x in missing if isinstance(x, int)}
         self.learn(missing.difference(numbers))
-        kept = self.kept
-        for parts, raws in zip(batch, found):
-            if None in raws:
-                raws = [raw if raw is not None else numbers[x] if isinstance(x, int) else kept[x] for x, raw in zip(parts, raws)]
-            yield b"".join(raws), parts
+        get, kept = self.kept.__getitem__, self.kept
+        for parts in batch:
+            try:
+                raw = b"".join(map(get, parts))
+            except KeyError:  # special strings are among them
+                raw = b"".join([numbers[x] if isinstance(x, int) else kept[x] for x in parts])
+            yield raw, parts
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the library does for a file without a decoder: the tokens, joined by spaces."""
