@@ -84,9 +84,10 @@ def samples(rows: DataFrame, most: int = SAMPLES) -> DataFrame:
     """SESSION and n_iat, iat_mean, iat_std (milliseconds, population) and size_var of the first `most` gaps and sizes."""
     first = Window.partitionBy(*SESSION).orderBy("ts_us", "seq")
     ranked = rows.select(*SESSION, "ts_us", "seq", "iat_us", "size").withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= most + 1)
-    iat, size = F.when(F.col("rn") > 1, F.col("iat_us") / 1000.0), F.when(F.col("rn") <= most, F.col("size"))
+    gap_us = F.when(F.col("rn") > 1, F.col("iat_us"))  # whole numbers, so that the mean doesn't depend on the order of adding
+    iat, size = gap_us / 1000.0, F.when(F.col("rn") <= most, F.col("size"))
     return ranked.groupBy(*SESSION).agg(
-        F.count(iat).alias("n_iat"), F.coalesce(F.avg(iat), F.lit(0.0)).alias("iat_mean"), F.coalesce(F.stddev_pop(iat), F.lit(0.0)).alias("iat_std"), F.coalesce(F.var_pop(size), F.lit(0.0)).alias("size_var")
+        F.count(iat).alias("n_iat"), F.coalesce(F.avg(gap_us) / 1000.0, F.lit(0.0)).alias("iat_mean"), F.coalesce(F.stddev_pop(iat), F.lit(0.0)).alias("iat_std"), F.coalesce(F.var_pop(size), F.lit(0.0)).alias("size_var")
     )
 
 

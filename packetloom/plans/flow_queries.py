@@ -30,7 +30,7 @@ FLOWS = f"""{SPLIT}, q as (select *, row_number() over (partition by {SESSION} o
 n as (select {SESSION}, string_agg(dns_query, '' order by dn) as joined, string_agg(dns_query, ',' order by dn) as dns_names from q where dn <= {fl.NAMES} group by all),
 a as (select {SESSION}, min(ts_us) as first_us, max(ts_us) as last_us, count(*) filter (where forward) as fwd_packets, count(*) filter (where not forward) as rev_packets,
  coalesce(sum(size) filter (where forward), 0) as fwd_bytes, coalesce(sum(size) filter (where not forward), 0) as rev_bytes, bit_or(tcp_flags) as tcp_flags,
- count(iat_us) filter (where rn between 2 and {fl.SAMPLES + 1}) as n_iat, coalesce(avg(iat_us / 1000.0) filter (where rn between 2 and {fl.SAMPLES + 1}), 0) as iat_mean,
+ count(iat_us) filter (where rn between 2 and {fl.SAMPLES + 1}) as n_iat, coalesce(avg(iat_us) filter (where rn between 2 and {fl.SAMPLES + 1}) / 1000.0, 0) as iat_mean,
  coalesce(stddev_pop(iat_us / 1000.0) filter (where rn between 2 and {fl.SAMPLES + 1}), 0) as iat_std, coalesce(var_pop(size) filter (where rn <= {fl.SAMPLES}), 0) as size_var from r group by all),
 f as (select a.*, coalesce(joined, '') as joined, coalesce(dns_names, '') as dns_names, fwd_packets + rev_packets as packets, fwd_bytes + rev_bytes as bytes from a left join n using ({SESSION}))"""
 ENTROPY = f"""ch as (select {SESSION}, unnest(string_split(joined, '')) as c from f where joined <> ''), cn as (select {SESSION}, c, count(*) as n from ch group by all),
