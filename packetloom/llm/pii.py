@@ -39,6 +39,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+#: A match can't begin inside a run of digits whose start failed.
+IP = re.compile(r"(?<![0-9])" + PATTERNS["ip"])
+#: An address as the network may find it; signs that are written out stand apart.
+WRITTEN_EMAIL = re.compile(r"[\w.%+-]+( ?@ ?| ?[(\[{] ?at ?[)\]}] ?| at )[\w-]+(( ?\. ?| ?[(\[{] ?(\.|dot) ?[)\]}] ?| dot )[\w-]+)+")
 TRIGGER = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]| at (?=[\w-]+ dot )", re.IGNORECASE)
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -60,7 +65,8 @@ def luhn(digits: str) -> bool:
 def holds(kind: str, match: str) -> bool:
     """The check of a base match."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in match.split("."))
+        parts = [p.lstrip("0") or "0" for p in match.split(".")]
+        return all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         digits = NOT_DIGIT.sub("", match)
         return 14 <= len(digits) <= 19 and luhn(digits)
@@ -69,13 +75,23 @@ def holds(kind: str, match: str) -> bool:
     return True
 
 
+def emails(text: str) -> Iterator[re.Match[str]]:
+    """What the e-mail pattern's finditer gives, in time in proportion to the text: each at sign is tried once, from the first character that may precede it."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        m = COMPILED["email"].match(text, done + len(text[done:at].rstrip(LOCAL)))
+        if m:
+            yield m
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as listed."""
     out = []
     for rank, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
-            continue
-        out += [(m.start(), rank, m.end()) for m in COMPILED[kind].finditer(text) if holds(kind, m[0])]
+        found = emails(text) if kind == "email" else (IP if kind == "ip" else COMPILED[kind]).finditer(text)
+        out += [(m.start(), rank, m.end()) for m in found if holds(kind, m[0])]
     return [(s, e, KINDS[r]) for s, r, e in sorted(out)]
 
 
@@ -325,7 +341,7 @@ def plausible(kind: str, s: str) -> bool:
     """The check of a span that the network found."""
     low = s.lower()
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+ ?(@|[(\[{] ?at ?[)\]}]|at) ?[\w-]+( ?(\.|[(\[{] ?dot ?[)\]}]|dot) ?[\w-]+)+", low)) and not re.fullmatch(r"[\w.%+-]+at[\w.-]+", low)
+        return bool(WRITTEN_EMAIL.fullmatch(low))
     if kind == "ip":
         parts = re.split(r" ?(?:\.|[(\[{] ?\.? ?[)\]}]|dot| ) ?", low)
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
