@@ -105,6 +105,22 @@ def test_pii_network_finds_written_out_forms():
     assert [text[s:e] for s, e, k in spans if k == "email"] == ["anton_mi (at) verlu dot com"]
 
 
+def test_base_spans_as_plain_patterns():
+    rng = np.random.default_rng(3)
+    bits = ["a", "B", ".", "@", "-", "_", " ", "1", "25", "300", "+", "(", "é", "a@b.c", "1.2.3.4", "x.y"]
+    for n in (1, 3, 8, 30) * 100:
+        text = "".join(rng.choice(bits, n))
+        plain = sorted((m.start(), rank, m.end()) for rank, k in enumerate(pii.KINDS) for m in pii.COMPILED[k].finditer(text) if pii.holds(k, m[0]))
+        assert pii.base_spans(text) == [(s, e, pii.KINDS[r]) for s, r, e in plain], text
+
+
+@pytest.mark.parametrize("part", ["a", "1", "a@", "1.", "+1 ", "x dot ", "atdot"])
+def test_base_spans_of_very_long_texts(part):
+    text = part * 200_000
+    assert pii.base_spans(f"{text} 10.0.0.1")[-1][2] in pii.KINDS
+    assert pii.holds("ip", "0" * 9000 + "1.2.3.4") and not pii.plausible("email", "x at " + part * 5000 + "(")
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
@@ -178,6 +194,27 @@ def test_toxicity(spark):
     assert {r["toxic_score"] for r in toxicity.score(docs(spark), none).collect()} == {0.0}
 
 
+def test_restored_strings_are_the_cheapest():
+    channel = toxicity.Deobfuscator.learned({"hello": 5, "ill": 3, "look": 4, "sell": 2})
+    spelt = lambda path: sum(channel.cost(a + b, c) for a, b, c in zip(path, path[1:], path[2:]))
+
+    def paths(runs):
+        if not runs:
+            yield "", 0.0
+            return
+        (c, n), *rest = runs
+        for x, cost in channel.options(c):
+            for times in {0} if not x else {1, 2} if n > 2 else {n, 1}:
+                for tail, more in paths(rest):
+                    yield x * times + tail, more + cost * n + (channel.shrink if times != n and x else 0.0)
+
+    for token, runs in {"h3ll0": [*"h3", ("l", 2), "0"], "h.e.1.1.o": "h.e.1.1.o", "looook!": ["l", ("o", 4), *"k!"], "$3||": ["$", "3", ("|", 2)]}.items():
+        found = [(cost + spelt(toxicity.START * 2 + text + toxicity.END), text) for text, cost in paths([x if len(x) == 2 else (x, 1) for x in runs])]
+        best = channel.restore(token)
+        assert min(cost for cost, text in found if text == best) <= min(found)[0] + 1e-9, token
+    assert set(channel.restore("h3l" * 60_000)) <= set("hel")
+
+
 def test_urls_as_regular_expressions():
     import re
 
