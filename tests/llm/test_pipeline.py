@@ -1,7 +1,9 @@
 """The pipeline on the smallest tables, and its place in the entry module."""
 
+import numpy as np
+
 import corpus_pipeline
-from packetloom.llm import registry
+from packetloom.llm import nearcopies, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +21,34 @@ def test_stages(spark):
 
 def test_a_query_for_each_operator():
     assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_near_copies_as_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(400)]
+    texts = [None, "", "one two", "One  TWO", "one three"]
+    for n in (60, 100, 250):
+        for _ in range(12):
+            base = list(rng.choice(words, n))
+            texts.append(" ".join(base))
+            for edits in range(1, 7):  # similarities on both sides of 0.8
+                copy = base.copy()
+                for at in rng.integers(0, n, edits * n // 150):
+                    copy[at] = "other" + str(rng.integers(9))
+                texts.append(" ".join(copy))
+    order = rng.permutation(len(texts))
+    texts = [texts[k] for k in order]
+    split = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                least, most = sorted((root[i], root[j]))
+                root = [least if r == most else r for r in root]
+    rows = spark.createDataFrame([(k, t, "en", "web", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = lambda: sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, rows, SF).collect())
+    assert kept() == sorted(set(root)) and len(set(root)) < 0.8 * len(texts)
+    monkeypatch.setattr(nearcopies, "PART_SHINGLES", 300)  # buckets in several parts
+    assert kept() == sorted(set(root))
+    assert corpus_pipeline.drop_near_copies(spark, rows.limit(0), SF).count() == 0
