@@ -194,6 +194,23 @@ def test_toxicity(spark):
     assert {r["toxic_score"] for r in toxicity.score(docs(spark), none).collect()} == {0.0}
 
 
+def test_toxic_words_in_pieces(spark):
+    bad, good = ["zorgish", "flumpy", "gub"], "this is a calm day and people walk in the park near the river you are such".split()
+    rng = np.random.default_rng(4)
+    text = lambda toxic: " ".join([*rng.choice(good, 12), *([rng.choice(bad)] if toxic else [])])
+    rows = spark.createDataFrame([(k, text(k % 2)) for k in range(600)], "doc_id long, text string")
+    model = toxicity.learn(rows, spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id long, toxic int"))
+    asked = ["you are a f l u m p y", "you are a f l u m p y a day", "such a g u b day", "such a g u b", "calm z  o  r   g i\ts  h day", "calm f. l. u. m. p. y. day", "you are flu mpy", "you are zo rgi sh, people", "such fl u mpy people"]
+    clean = ["you are a calm day", "such a day in the park a a a", "a x b y", "people near rov er walk", "- - - a", ""]
+    found = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(asked + clean)), "doc_id long, text string"), model).collect()}
+    assert [t for k, t in enumerate(asked) if found[k] < 0.5] == []
+    assert [t for k, t in enumerate(clean, len(asked)) if found[k] >= 0.3] == []
+    for run in ["a f l u m p y", "f|u (m) py", "f 1 u m m m p y", "gg ü b", "g u - b", "calm day", "z0 rg 1 sh"]:
+        if any(m in model.evidence for w in toxicity.forms(run, model.channel) for m in toxicity.marks(w)):
+            assert model.hinted(run), run
+    assert {"a", "flumpy"} <= toxicity.restored("a f l u m p y", model.channel)
+
+
 def test_restored_strings_are_the_cheapest():
     channel = toxicity.Deobfuscator.learned({"hello": 5, "ill": 3, "look": 4, "sell": 2})
     spelt = lambda path: sum(channel.cost(a + b, c) for a, b, c in zip(path, path[1:], path[2:]))
