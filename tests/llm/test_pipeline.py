@@ -52,3 +52,8 @@ def test_near_copies_as_brute_force(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "PART_SHINGLES", 300)  # buckets in several parts
     assert kept() == sorted(set(root))
     assert corpus_pipeline.drop_near_copies(spark, rows.limit(0), SF).count() == 0
+
+
+def test_language_stage_without_labels(spark):
+    rows = spark.createDataFrame([(1, "a b", None, "w", 3), (2, "12 !", None, "w", 4), (3, None, None, "w", 0), (4, "日本", None, "w", 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_without_language(spark, rows, SF).collect()) == [1, 4]
