@@ -57,3 +57,11 @@ def test_near_copies_as_brute_force(spark, monkeypatch):
 def test_language_stage_without_labels(spark):
     rows = spark.createDataFrame([(1, "a b", None, "w", 3), (2, "12 !", None, "w", 4), (3, None, None, "w", 0), (4, "日本", None, "w", 2)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_without_language(spark, rows, SF).collect()) == [1, 4]
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    one, two, three = ("the same words " * 5 + "one", "of another text altogether " * 4 + "two", "something else that stays here " * 3)
+    rows = [(1, one), (1, one), (2, one.upper()), (2, two), (None, two), (None, three), (None, three), (None, None), (None, None)]
+    df = spark.createDataFrame([(k, t, None, "w", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()]
+    assert len(kept) == 4 and set(kept) == {(1, one), (2, two), (None, three), (None, None)}
