@@ -13,7 +13,7 @@ Equal vectors are one vector with its smallest ids, of which only as many are ne
 is still found. Ranges with many vectors are divided into cells by hash, so that a task's size is bounded.
 
 Vectors that are null, zero or hold null or non-finite components take no part, neither do those whose dimension differs from
-that of the vector with the smallest id, nor rows with a null id. Of rows with one id, each counts as a vector of
+that of most vectors (of equally many the smaller), nor rows with a null id. Of rows with one id, each counts as a vector of
 its own; a query with such an id finds all rows with other ids. An empty table gives an empty table.
 """
 
@@ -96,8 +96,8 @@ def usable(vector: Column) -> Column:
 def nearest(df: DataFrame, is_query: Column, k: int = 20, c: Curves = Curves(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, key, score): the k nearest found of each row of `df` where is_query holds, of all rows but those with its id."""
     rows = df.select(df[key].cast("long").alias("id"), df[vector].alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).filter(usable(F.col("v")) & F.col("id").isNotNull())
-    size = rows.agg(F.min_by(F.size("v"), "id")).first()[0]
-    rows = rows.filter(F.size("v") == F.lit(size or 0))
+    size = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    rows = rows.filter(F.size("v") == F.lit(size["size"] if size else 0))
     # a vector's smallest ids; the limit within a window runs before its shuffle, too, so a vector with many rows is no hot key
     members = rows.select("id", "v").withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1)
     asked = rows.filter("q").select("v").distinct().withColumn("q", F.lit(True))

@@ -296,3 +296,9 @@ def test_nearest_against_brute_force(spark):
         right += len({r["vec_id"] for r in own} & {int(k) for k in sorted((k for k in range(1500) if k != q), key=lambda k: (-scores[q, k], k))[:20]})
     assert right / (75 * 20) >= 0.9 and set(found) == set(range(0, 1500, 20))
     assert hilbert.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_nearest_with_a_ragged_vector_first(spark):
+    df = spark.createDataFrame([(0, [1.0])] + [(k, [1.0, float(k), 2.0]) for k in range(1, 400)], "vec_id long, embedding array<float>")
+    found = hilbert.nearest(df, F.col("vec_id") % 200 == 0, k=3).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in found) == [(200, n) for n in (1, 2, 3)]
