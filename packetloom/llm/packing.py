@@ -12,15 +12,15 @@
    sequence and the offset in it.
 
 Nulls count as empty texts, which have the end id alone; repeated rows are packed as often as they occur; rows
-with a null key are packed too; an empty table gives an empty table.
+with a null key are packed too; an empty table gives an empty table. A text of any length is encoded whole and cut at capacity. Other columns
+of the table are not looked at, so their names may clash.
 """
 
 from __future__ import annotations
 
 import heapq
-import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,33 +29,126 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import documents, whole_text, written
-from packetloom.llm.wordbpe import WordBpe
+from packetloom.llm.wordbpe import WordBpe, spread
 
 END_ID = 2
 CAPACITY = 4096
-
-
-class LibraryIds(WordBpe):
-    """Ids by the tokenizers library, which gets each new piece of a white-space-free chunk once."""
-
-    def __init__(self, path: str, most: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        super().__init__(path, most)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-
-    def ids(self, words: list[str]) -> Iterable[list[int]]:
-        for k in range(0, len(words), 2000):
-            for x in self.library.encode_batch_fast(words[k : k + 2000], add_special_tokens=False):
-                yield x.ids
-
-
-_LOADED: dict[tuple[str, int], LibraryIds] = {}
-#: Results are kept for so many chunks in each worker, and as many older ones.
-MOST_KEPT = 500_000
+#: Words of more bytes take the pair occurrence index.
+LONG = 64
+NONE = np.uint64(2**64 - 1)
+EMPTY = NONE
+LOW = np.uint64(2**32 - 1)
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Ids(WordBpe):
+    """The ids that the tokenizers library gives, for all distinct words of a batch in rounds of numpy steps: in each, every word merges its first pair of least rank.
+
+    Nothing is kept from batch to batch. Words of over `LONG` bytes, which would need many rounds, take the pair occurrence index.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        keys = np.array([a << 32 | b for a, b in self.ranks], "u8")
+        values = np.array([r << 32 | new for r, new in self.ranks.values()], "u8")
+        # a hash table with free places next to taken ones: (key, rank and merged symbol)
+        self.shift = np.uint64(64 - 19)
+        self.keys, self.values = np.full((1 << 19) + 64, EMPTY), np.zeros((1 << 19) + 64, "u8")
+        place = ((keys * FACTOR) >> self.shift).astype("i8")
+        left = np.arange(len(keys))
+        self.probes = 0
+        while len(left):
+            at = place[left] + self.probes
+            first = np.unique(at, return_index=True)[1]
+            first = first[self.keys[at[first]] == EMPTY]
+            self.keys[at[first]], self.values[at[first]] = keys[left[first]], values[left[first]]
+            left = np.delete(left, first)
+            self.probes += 1
+        self.first = np.array(self.inner, "i8")
+        self.final = np.array(self.last, "i8")
+
+    def ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and merged symbol of each pair, NONE where it is no pair."""
+        key = a.astype("u8") << np.uint64(32) | b.astype("u8")
+        place = ((key * FACTOR) >> self.shift).astype("i8")
+        held = self.keys[place]
+        out = np.where(held == key, self.values[place], NONE)
+        open_ = np.flatnonzero((held != key) & (held != EMPTY))
+        for k in range(1, self.probes):
+            if not len(open_):
+                break
+            at = place[open_] + k
+            held = self.keys[at]
+            hit = held == key[open_]
+            out[open_[hit]] = self.values[at[hit]]
+            open_ = open_[~hit & (held != EMPTY)]
+        return out
+
+    def merged(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(edges) < 2:
+            return np.empty(0, "<u4"), np.empty(0, "i8")
+        words = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype("i4")), pa.py_buffer(raw)]).dictionary_encode()
+        _, offsets, data = words.dictionary.buffers()
+        at = np.frombuffer(offsets, "i4")[: len(words.dictionary) + 1].astype("i8")
+        ids, size = self.by_rounds(np.frombuffer(data, "u1")[: at[-1]], at)
+        which = words.indices.to_numpy()
+        return spread(ids, np.concatenate(([0], np.cumsum(size))), which)[0], size[which]
+
+    def by_rounds(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after another, and how many each has."""
+        n = len(at) - 1
+        size = np.diff(at)
+        total = np.zeros(n, "i8")
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, how many ids each has, ids
+        long = np.flatnonzero(size > LONG)
+        if len(long):
+            found = self.merge([raw[at[k] : at[k + 1]].tobytes() for k in long])
+            done.append((long, np.array([len(x) for x in found]), np.array([i for x in found for i in x], "i8")))
+        word = np.flatnonzero(size <= LONG)
+        symbols = spread(self.first[raw], at, word)[0]
+        count = size[word]
+        ends = np.cumsum(count)
+        symbols[ends - 1] = self.final[raw[at[word + 1] - 1]]
+        rank = np.full(len(symbols), NONE)
+        rank[:-1] = self.ranked(symbols[:-1], symbols[1:])
+        rank[ends - 1] = NONE
+        while len(word):
+            least = np.minimum.reduceat(rank, ends - count)
+            open_ = least != NONE
+            if not open_.all():
+                lasts = np.repeat(open_, count)
+                done.append((word[~open_], count[~open_], symbols[~lasts]))
+                word, count, least, symbols, rank = word[open_], count[open_], least[open_], symbols[lasts], rank[lasts]
+                if not len(word):
+                    break
+                ends = np.cumsum(count)
+            hit = np.flatnonzero(rank == np.repeat(least, count))
+            of = np.searchsorted(ends, hit, side="right")
+            hit = hit[np.concatenate(([True], of[1:] != of[:-1]))]  # the first of each word
+            symbols[hit] = (least & LOW).astype("i8")
+            keep = np.ones(len(symbols), bool)
+            keep[hit + 1] = False
+            symbols, rank = symbols[keep], rank[keep]
+            hit = hit - np.arange(len(hit))
+            count = count - 1
+            ends = np.cumsum(count)
+            starts = ends - count
+            right = hit < ends - 1
+            rank[hit] = NONE
+            rank[hit[right]] = self.ranked(symbols[hit[right]], symbols[hit[right] + 1])
+            left = hit[hit > starts]
+            rank[left - 1] = self.ranked(symbols[left - 1], symbols[left])
+        for words, counts, _ in done:
+            total[words] = counts
+        offsets = np.concatenate(([0], np.cumsum(total)))
+        out = np.empty(offsets[-1], "<u4")
+        for words, counts, ids in done:
+            ends = np.cumsum(counts)
+            out[np.repeat(offsets[words] - ends + counts, counts) + np.arange(len(ids))] = ids
+        return out, total
+
+
+_LOADED: dict[str, Ids] = {}
 
 
 def shortest_pack_first(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -101,19 +194,19 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(out), "i8").reshape(-1, 5)
 
 
-def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", most: int = MOST_KEPT) -> DataFrame:
+def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens) of each piece, and its partition and rank there among equal lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, most) not in _LOADED:
-            _LOADED[path, most] = LibraryIds(path, most)
-        v, seen, part = _LOADED[path, most], np.zeros(capacity + 1, "i8"), TaskContext.get().partitionId()
+        if path not in _LOADED:
+            _LOADED[path] = Ids(path)
+        v, seen, part = _LOADED[path], np.zeros(capacity + 1, "i8"), TaskContext.get().partitionId()
         end = END_ID.to_bytes(4, "little")
         for b in batches:
             rows = []
             keys = b.column(0).to_pylist()
-            for k, (raw, _) in zip(keys, v.encode_all(b.column(1).to_pylist())):
-                raw += end
+            for k, ids in zip(keys, v.encode_all(b.column(1).to_pylist())):
+                raw = ids.tobytes() + end
                 n = len(raw) // 4
                 for start in range(0, n, capacity):
                     length = min(capacity, n - start)
@@ -126,9 +219,9 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_i
     return rows.mapInArrow(run, "key long, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long")
 
 
-def pack(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", most: int = MOST_KEPT) -> DataFrame:
+def pack(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece of `df`'s rows."""
-    table = written(pieces(df, path, capacity, key, text, most), "pieces")
+    table = written(pieces(df, path, capacity, key, text), "pieces")
     by_part = table.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     places = slots(shortest_pack_first(counts, capacity))
