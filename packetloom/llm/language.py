@@ -4,15 +4,17 @@ Labelled text of each language is indexed by a suffix automaton. A text is parse
 match with the labelled text from where the last one ended; the fewer phrases a character, the closer the language. The
 language that needs the fewest normalised phrases wins; ties go to the smaller name.
 
-The automata are dense tables, whose entries hold the next state and how many phrases end on the way, so
-that thousands of windows of a batch take each step together in one lookup. Texts are parsed whole, in windows of `WINDOW`
-characters, each from the automaton's start.
+All transitions lie in one table, a place for each. All texts of a batch and all languages take each step
+together; a text is parsed from its first to its last character without a restart. When only a few long texts are left they are
+walked one by one.
 
-The labelled text is a bounded sample: for each language `sample_chars` characters at most in all, over documents in the order
-of a hash of their text, `doc_chars` of each at most. Languages share `total_chars`. Predictions take nothing but the text.
+The labelled text is a bounded sample, chosen in Spark by a hash of the text: `total_chars` characters in all, which languages share equally, of `doc_chars`
+at most from one document. With more languages each has less text; `total_chars` can be raised. Every letter of the sample is a symbol of its own, all that
+is no letter is one, and a letter that the sample lacks is a phrase. Predictions take nothing but the text.
 
-A null text, or one without letters, is `und` with score 0. Repeated rows give equal rows. An empty table gives an empty
-table. Without any labelled text everything is `und`.
+A null text, or one without letters, is `und` with score 0. Of languages that need equally few phrases the smaller name is taken. Repeated rows give
+equal rows. An empty table gives an empty table. Without any labelled text everything is `und`. A column of the table that has the name of a
+result is replaced by it.
 """
 
 from __future__ import annotations
@@ -22,23 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import documents, whole_text
+from packetloom.llm.common import documents, written
 
 UNKNOWN = "und"
-WINDOW = 192
-#: Windows that take a step together.
-LANES = 8192
 #: Bounds of the labelled sample, in characters.
 TOTAL_CHARS = 120_000
 DOC_CHARS = 600
-#: Times as many rows as are needed lie below the cut.
-SPARE = 8
-#: Letters that have a class of their own, the most frequent of the labelled text; the others share one.
-LETTERS = 62
+#: Texts of a batch that are parsed together, in characters.
+BATCH_CHARS = 16_000_000
+#: So few lanes are walked one by one.
+FEW_LANES = 64
 LETTER = re.compile(r"[^\W\d_]")
+LETTERS = re.compile(r"[^\W\d_]+")
+LOW = 2**32 - 1
 
 
 def held_out(key: Column, divisor: int, remainder: int) -> Column:
@@ -47,39 +48,27 @@ def held_out(key: Column, divisor: int, remainder: int) -> Column:
 
 
 def labelled_sample(df: DataFrame, label: str, text: str, total_chars: int = TOTAL_CHARS, doc_chars: int = DOC_CHARS) -> dict[str, str]:
-    """Labelled text by language, within the bounds.
+    """Labelled text by language, within the bounds; 8 * total_chars / doc_chars texts at most come to the driver, of however many languages.
 
-    What comes first in the order of hashes lies below a cut that row counts give, with room to spare, so few rows of a language meet in its
-    window. Where copies leave too few below the cut, the sample is taken without cuts.
+    A text is taken if its hash lies below its language's cut, which the number of the language's texts gives, so that about
+    equally many of each are taken and no language's rows meet in one task.
     """
-    most = total_chars // doc_chars * 4  # a language's share is 200 documents or more when documents are of full length
-    name = df[label].cast("string")
-    counts = {r[0]: r[1] for r in df.filter(name.isNotNull()).groupBy(name).count().collect()}
-    cuts = {k: (SPARE * most << 64) // n - (1 << 63) for k, n in counts.items() if n > SPARE * most}
-    found = _first_texts(df, label, text, most, doc_chars, cuts)
-    if any(len(found.get(k, ())) < most for k in cuts):
-        found = _first_texts(df, label, text, most, doc_chars, {})
+    most = max(1, 4 * total_chars // doc_chars)
+    rows = df.select(df[label].cast("string").alias("label"), df[text].cast("string").alias("text")).filter("label is not null and length(text) > 0")
+    rows = rows.withColumn("order", F.xxhash64("text"))
+    counts = written(rows.groupBy("label").agg(F.approx_count_distinct("order", 0.02).alias("n")), "labels")
+    each = max(1, most // max(1, counts.count()))
+    # twice the range of a hash is 2**64; a label's cut lies at the share of its texts that is wanted
+    cuts = counts.select(F.col("label").alias("of"), (F.lit(each) / F.col("n") * F.lit(2.0**64) - F.lit(2.0**63)).alias("cut"))
+    chosen = rows.join(cuts, F.col("label") == F.col("of")).filter(F.col("order").cast("double") <= F.col("cut"))
+    chosen = chosen.groupBy("label", "order").agg(F.min(F.substring("text", 1, doc_chars)).alias("text"))
+    found: dict[str, list[str]] = {}
+    for r in chosen.orderBy("order", "label").limit(2 * most).collect():
+        found.setdefault(r["label"], []).append(r["text"].lower())
     share = total_chars // max(1, len(found))
     return {k: "\n".join(v)[:share] for k, v in sorted(found.items())}
 
 
-def _first_texts(df: DataFrame, label: str, text: str, most: int, doc_chars: int, cuts: dict[str, int]) -> dict[str, list[str]]:
-    """The first `most` distinct texts of each label in the order of their hashes; of labels in `cuts` only those with hashes up to the cut."""
-    rows = df.select(df[label].cast("string").alias("label"), F.lower(df[text].cast("string")).alias("text")).filter("label is not null and length(text) > 0")
-    rows = rows.withColumn("order", F.xxhash64("text"))
-    if cuts:
-        cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
-        rows = rows.filter(F.col("order") <= F.coalesce(F.try_element_at(cut, F.col("label")), F.lit((1 << 63) - 1)))
-    rows = rows.select("label", "order", F.substring("text", 1, doc_chars).alias("text")).distinct()
-    best = Window.partitionBy("label").orderBy("order", "text")
-    # limits within a window run before its shuffle too
-    ranked = rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
-    out: dict[str, list[str]] = {}
-    for r in ranked.orderBy("label", "rank").collect():
-        out.setdefault(r["label"], []).append(r["text"])
-    return out
-
-
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     """The transitions of each state of the suffix automaton of a sequence; state 0 is the start."""
     moves: list[dict[int, int]] = [{}]
@@ -110,77 +99,110 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def spread_out(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the states, and a table that has at (number + symbol) the state's number and the next one's, in its upper and lower half.
+
+    States draw numbers until no two transitions share a place, those with many transitions first.
+    """
+    size = np.array([len(m) for m in moves], "i8")
+    ends = np.cumsum(size)
+    symbols, to = np.array([c for m in moves for c in m], "i8"), np.array([t for m in moves for t in m.values()], "i8")
+    room = 4 * len(to) + 2 * len(moves) + width
+    taken, used, numbers = np.zeros(room + width, bool), np.zeros(room, bool), np.full(len(moves), -1, "i8")
+    rng = np.random.default_rng(3)
+    for least in (64, 16, 4, 0):
+        left = np.flatnonzero((size >= least) & (numbers < 0))
+        left = left[np.argsort(-size[left], kind="stable")]
+        while len(left):
+            drawn = rng.integers(0, room, len(left))
+            n = size[left]
+            of = np.repeat(np.arange(len(left)), n)
+            place = drawn[of] + symbols[np.repeat(ends[left] - np.cumsum(n), n) + np.arange(n.sum())]
+            good = ~used[drawn]
+            good[np.setdiff1d(np.arange(len(left)), np.unique(drawn, return_index=True)[1])] = False
+            clash = taken[place]
+            clash[np.setdiff1d(np.arange(len(place)), np.unique(place, return_index=True)[1])] = True
+            good[of[clash]] = False
+            used[drawn[good]] = True
+            taken[place[good[of]]] = True
+            numbers[left[good]] = drawn[good]
+            left = left[~good]
+    table = np.full(room + width, -1 << 32, "i8")
+    own = np.repeat(numbers, size)
+    table[own + symbols] = own << 32 | numbers[to]
+    return numbers, table
+
+
 class CrossParser:
-    """Suffix automata of `texts` by language as one table; classes: 0 padding, 1 no letter, 2 a rare letter, then frequent letters."""
+    """Suffix automata of `texts` by language as one table of transitions. Symbols: 0 no letter, 1 a letter that no text has, then the letters."""
 
     def __init__(self, texts: dict[str, str]):
         self.labels = sorted(texts)
-        counts: dict[str, int] = {}
-        for t in texts.values():
-            for c in t:
-                if LETTER.match(c):
-                    counts[c] = counts.get(c, 0) + 1
-        frequent = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-        self.width = len(frequent) + 3
-        self.classes = np.full(0x10000, 1, "u1")
-        for i in range(0x10000):
-            if not 0xD800 <= i < 0xE000 and LETTER.match(chr(i)):
-                self.classes[i] = 2
-        for k, c in enumerate(frequent):
-            self.classes[min(ord(c), 0xFFFF)] = 3 + k
-        self.starts, tables, base = [], [], 0
+        letters = sorted({c for t in texts.values() for c in t if LETTER.match(c)})
+        self.width = len(letters) + 2
+        self.symbols = np.zeros(0x110000, "u4")
+        for m in LETTERS.finditer("".join(map(chr, [*range(0xD800), *([0] * 0x800), *range(0xE000, 0x110000)]))):
+            self.symbols[m.start() : m.end()] = 1
+        for k, c in enumerate(letters):
+            self.symbols[ord(c)] = 2 + k
+        moves: list[dict[int, int]] = []
+        starts = []
         for label in self.labels:
-            moves = suffix_automaton(self.codes(texts[label]).tolist())
-            self.starts.append(base)
-            tables.append(self.table(moves, base))
-            base += len(moves) * self.width
-        self.next = np.concatenate(tables) if tables else np.empty(0, "i4")
+            base = len(moves)
+            starts.append(base)
+            moves += [{c: base + t for c, t in m.items()} for m in suffix_automaton(self.codes(texts[label]).tolist())]
+        numbers, self.table = spread_out([{} if i in starts else m for i, m in enumerate(moves)], self.width)
+        self.starts = numbers[starts]
+        #: the state after each symbol from a language's start (language, symbol); its start where the text has none
+        self.first = np.repeat(self.starts[:, None], self.width, axis=1) if starts else np.empty((0, self.width), "i8")
+        for k, s in enumerate(starts):
+            for c, t in moves[s].items():
+                self.first[k, c] = numbers[t]
+        self.entries: list[int] = []
 
     def codes(self, text: str) -> np.ndarray:
-        return self.classes[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 0xFFFF)]
-
-    def table(self, moves: list[dict[int, int]], base: int) -> np.ndarray:
-        """Entry (state, class): 4 times the next state's place, plus the phrases that end."""
-        w = self.width
-        out = np.full((len(moves), w), -1, "i8")
-        for s, m in enumerate(moves):
-            for c, t in m.items():
-                out[s, c] = t
-        first = out[0].copy()
-        ended = np.where(out < 0, 1, 0)
-        ended[0] = 0  # no phrase is open at the start
-        again = np.where(out < 0, first[None, :], out)
-        ended += again < 0  # a character that the labelled text lacks is a phrase
-        again = np.where(again < 0, 0, again)
-        place = 4 * (base + again * w) + ended
-        place[:, 0] = 4 * (base + np.arange(len(moves)) * w)
-        return place.astype("i4").ravel()
+        return self.symbols[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages): phrases that each text needs; and its characters."""
         codes = [self.codes(t) for t in texts]
         lengths = np.array([len(c) for c in codes], "i8")
-        n = -(-lengths // WINDOW)
-        owner = np.repeat(np.arange(len(texts)), n)
-        flat = np.concatenate([*codes, np.zeros(WINDOW, "u1")])
-        first = np.cumsum(lengths) - lengths
-        window = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        begin, end = first[owner] + window * WINDOW, (first + lengths)[owner]
-        counts = np.zeros((len(texts), len(self.labels)), "i8")
-        for lo in range(0, len(owner), LANES):
-            b, e = begin[lo : lo + LANES], end[lo : lo + LANES]
-            at = b[:, None] + np.arange(WINDOW)
-            lanes = np.where(at < e[:, None], flat[np.minimum(at, len(flat) - 1)], 0).T.astype("i4")
-            for k, start in enumerate(self.starts):
-                state = np.full(len(b), start, "i4")
-                total = np.zeros(len(b), "i8")
-                for c in lanes:
-                    found = self.next[state + c]
-                    total += found & 3
-                    state = found >> 2
-                total += state != start
-                np.add.at(counts[:, k], owner[lo : lo + LANES], total)
-        return counts, lengths
+        order = np.argsort(-lengths, kind="stable")  # the lanes that are still walked come first
+        begin = (np.cumsum(lengths) - lengths)[order]
+        flat = np.concatenate(codes) if codes else np.empty(0, "u4")
+        k = len(self.labels)
+        state = np.repeat(self.starts[:, None], len(texts), axis=1)
+        counts = np.zeros((k, len(texts)), "i8")
+        active = np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), side="left")  # texts longer than each step
+        for t, n in enumerate(active.tolist()):
+            if n * k <= FEW_LANES:
+                for lane in range(n):
+                    rest = flat[begin[lane] + t : begin[lane] + lengths[order[lane]]].tolist()
+                    for label in range(k):
+                        counts[label, lane] += self.walk(label, int(state[label, lane]), rest)
+                break
+            symbol = flat[begin[:n] + t]
+            was = state[:, :n]
+            entry = self.table[was + symbol]
+            begun = entry >> 32 != was
+            counts[:, :n] += begun
+            state[:, :n] = np.where(begun, self.first[:, symbol], entry & LOW)
+        out = np.empty((len(texts), k), "i8")
+        out[order] = counts.T
+        return out, lengths
+
+    def walk(self, label: int, state: int, symbols: list[int]) -> int:
+        """The phrases that begin within the symbols."""
+        self.entries = self.entries or self.table.tolist()
+        entries, first, n = self.entries, self.first[label].tolist(), 0
+        for c in symbols:
+            entry = entries[state + c]
+            if entry >> 32 == state:
+                state = entry & LOW
+            else:
+                state = first[c]
+                n += 1
+        return n
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language, and how clear it is: the share of the winner when shares fall with the phrases needed."""
@@ -192,7 +214,7 @@ class CrossParser:
         for t in texts:
             part.append("" if t is None else t.lower())
             size += len(part[-1])
-            if size > 1_500_000:
+            if size > BATCH_CHARS:
                 out += self._predicted(part)
                 part, size = [], 0
         return out + self._predicted(part)
@@ -227,16 +249,17 @@ def parser(texts: dict[str, str]) -> CrossParser:
 
 def identify(df: DataFrame, sample: dict[str, str], text: str = "text", lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """`df` with the predicted language and its score; the parser is made from `sample` in each worker."""
-    names = df.columns
-    inner = df.toDF(*[f"c{i}" for i in range(len(names))])
+    at = df.columns.index(text)
+    names = [c for c in df.columns if c not in (lang, score)]
+    inner = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(names)], df[df.columns[at]].cast("string").alias("text_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(names.index(text)).to_pylist()
+            texts = b.column(len(names)).to_pylist()
             found = parser(sample).predict(texts)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*b.schema.names, "lang_pred_", "score_"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*b.schema.names[:-1], "lang_pred_", "score_"])
 
-    out = inner.mapInArrow(run, ",".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(inner.schema.fields)), "lang_pred_ string", "score_ double"]))
+    out = inner.mapInArrow(run, ",".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(inner.schema.fields[:-1])), "lang_pred_ string", "score_ double"]))
     return out.toDF(*names, lang, score)
 
 
