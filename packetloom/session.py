@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "packetloom", master: str | None = None, **settings: str) -> SparkSession:
@@ -20,11 +22,33 @@ def session(name: str = "packetloom", master: str | None = None, **settings: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/packetloom-{os.getuid()}"
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``, or the checkpoint folder that was set on the context.
+
+    Where neither is set a local session takes a folder of this machine; a cluster has none that all see, so there it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
+        found = f"file://{tempfile.gettempdir()}/checkpoints/packetloom-{os.getuid()}"
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/packetloom/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in a folder of this application, which `clear_scratch` removes."""
+    return f"{shared_dir(spark)}/packetloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, so that lost executors cost no recomputation. It has to stay until what is derived from it was read."""
+    spark = df.sparkSession
+    df.write.parquet(path := scratch(spark, name))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Removes all that this application has written to the shared folder; whether there was any. For the end of an application: results that weren't read yet are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/packetloom/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
