@@ -4,13 +4,15 @@ Packets have src_ip, dst_ip (of any type that has an order), src_port, dst_port,
 and, if there are any, dns_query. Rows without a time or an address take no part; null ports, protocols and flags count as 0, null lengths too.
 
 Order within a flow is taken in time slices, so that no flow, however many packets it has, is one task: gaps are found within a
-slice, and the ends of a flow's slices (one row each) give the gaps between them. Aggregates combine before their
-shuffle, and the first samples are limited before theirs.
+slice, and runs of packets (a row each) give the gaps between slices. What one task sorts is a flow's packets of one slice; slices may be
+of any length (`slice_us`), the result is the same, so where a burst is too much for a task they are made shorter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import features as f
@@ -66,10 +68,24 @@ def sessions(packets: DataFrame, idle_us: int = IDLE_US, slice_us: int | None =
     return out.drop("slice", "gap", "cut", "splits", "before", "offset")
 
 
-def aggregates(rows: DataFrame) -> DataFrame:
-    """A row for each session: first and last time, packets and bytes by direction, the union of flags."""
+def pieces(packets: DataFrame, idle_us: int, slice_us: int) -> DataFrame:
+    """A row for each run of a flow's packets within a slice that no idle gap splits: its counts, its first gaps and sizes, its first names. One shuffle of the packets."""
+    within = Window.partitionBy(*KEY, "slice").orderBy("ts_us", "seq")
+    rows = normalized(packets).select(*KEY, "ts_us", "seq", "forward", "size", "tcp_flags", "dns_query").withColumn("slice", F.floor(F.col("ts_us") / slice_us))
+    rows = rows.withColumns({"gap": F.col("ts_us") - F.lag("ts_us").over(within), "rn": F.row_number().over(within), "named": F.count("dns_query").over(within)})
+    opens = F.col("gap").isNull() | (F.col("gap") > idle_us)
+    # where the run began: packets and names of the slice before it
+    rows = rows.withColumns(
+        {
+            "piece": F.count_if(opens).over(within),
+            "rn": F.col("rn") - F.max(F.when(opens, F.col("rn"))).over(within) + 1,
+            "nth": F.col("named") - F.max(F.when(opens, F.col("named") - F.col("dns_query").isNotNull().cast("int"))).over(within),
+        }
+    )
     fwd = F.col("forward")
-    return rows.groupBy(*SESSION).agg(
+    sample = F.when(F.col("rn") <= SAMPLES + 1, F.struct("rn", F.when(F.col("rn") > 1, F.col("gap")).alias("gap"), "size"))
+    name = F.when(F.col("dns_query").isNotNull() & (F.col("nth") <= NAMES), F.struct("nth", "dns_query"))
+    return rows.groupBy(*KEY, "slice", "piece").agg(
         F.min("ts_us").alias("first_us"),
         F.max("ts_us").alias("last_us"),
         F.count_if(fwd).alias("fwd_packets"),
@@ -77,32 +93,54 @@ def aggregates(rows: DataFrame) -> DataFrame:
         F.sum(F.when(fwd, F.col("size")).otherwise(0)).cast("long").alias("fwd_bytes"),
         F.sum(F.when(fwd, 0).otherwise(F.col("size"))).cast("long").alias("rev_bytes"),
         F.bit_or("tcp_flags").alias("tcp_flags"),
+        F.count("dns_query").alias("names"),
+        F.array_sort(F.collect_list(sample)).alias("samples"),
+        F.array_sort(F.collect_list(name)).alias("queries"),
     )
 
 
-def samples(rows: DataFrame, most: int = SAMPLES) -> DataFrame:
-    """SESSION and n_iat, iat_mean, iat_std (milliseconds, population) and size_var of the first `most` gaps and sizes."""
-    first = Window.partitionBy(*SESSION).orderBy("ts_us", "seq")
-    ranked = rows.select(*SESSION, "ts_us", "seq", "iat_us", "size").withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= most + 1)
-    gap_us = F.when(F.col("rn") > 1, F.col("iat_us"))  # whole numbers, so that the mean doesn't depend on the order of adding
-    iat, size = gap_us / 1000.0, F.when(F.col("rn") <= most, F.col("size"))
-    return ranked.groupBy(*SESSION).agg(
-        F.count(iat).alias("n_iat"), F.coalesce(F.avg(gap_us) / 1000.0, F.lit(0.0)).alias("iat_mean"), F.coalesce(F.stddev_pop(iat), F.lit(0.0)).alias("iat_std"), F.coalesce(F.var_pop(size), F.lit(0.0)).alias("size_var")
+def flows(packets: DataFrame, idle_us: int = IDLE_US, slice_us: int | None = None) -> DataFrame:
+    """A row for each session: first and last time, packets and bytes by direction, the union of flags; n_iat, iat_mean, iat_std (milliseconds, population) and size_var of its
+    first SAMPLES gaps and sizes; dns_queries, its first NAMES names in order (empty array without any). Runs are joined to sessions; packets are read and shuffled once."""
+    across = Window.partitionBy(*KEY).orderBy("slice", "piece")
+    runs = pieces(packets, idle_us, slice_us or SLICE_IDLES * idle_us).withColumn("before", F.col("first_us") - F.lag("last_us").over(across))
+    runs = runs.withColumn("session", F.sum(F.when(F.col("before") > idle_us, 1).otherwise(0)).over(across))
+    earlier = Window.partitionBy(*SESSION).orderBy("slice", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumns({"had": F.coalesce(F.sum(F.col("fwd_packets") + F.col("rev_packets")).over(earlier), F.lit(0)), "had_names": F.coalesce(F.sum("names").over(earlier), F.lit(0))})
+    # only the first runs of a session have samples and names that count, so these lists are bounded
+    place = lambda x, limit, had: F.when(F.col(had) < limit, F.struct("slice", "piece", F.col("had"), "before", F.col(x).alias("x")))
+    out = runs.groupBy(*SESSION).agg(
+        *(f("first_us").alias("first_us") if f is F.min else f("last_us").alias("last_us") for f in (F.min, F.max)),
+        *(F.sum(c).alias(c) for c in ("fwd_packets", "rev_packets", "fwd_bytes", "rev_bytes")),
+        F.bit_or("tcp_flags").alias("tcp_flags"),
+        F.array_sort(F.collect_list(place("samples", SAMPLES + 1, "had"))).alias("_samples"),
+        F.array_sort(F.collect_list(place("queries", NAMES, "had_names"))).alias("_queries"),
     )
+    # a run's first packet has the gap to the run before, if that is of its session
+    gaps = F.flatten(F.transform("_samples", lambda r: F.transform(r["x"], lambda x: F.when(x["rn"] > 1, x["gap"]).when(r["had"] > 0, r["before"]))))
+    sizes = F.flatten(F.transform("_samples", lambda r: r["x"]["size"]))
+    names = F.flatten(F.transform("_queries", lambda r: r["x"]["dns_query"]))
+    out = out.withColumns({"_gaps": F.slice(gaps, 2, SAMPLES), "_sizes": F.slice(sizes, 1, SAMPLES), "dns_queries": F.slice(names, 1, NAMES)})
+    mean = F.coalesce(total("_gaps") / F.nullif(F.size("_gaps"), F.lit(0)) / 1000.0, F.lit(0.0))
+    out = out.withColumns({"n_iat": F.size("_gaps").cast("long"), "iat_mean": mean, "iat_std": F.sqrt(spread("_gaps", 1000.0)), "size_var": spread("_sizes")})
+    return out.drop("_samples", "_queries", "_gaps", "_sizes")
 
 
-def names(rows: DataFrame, most: int = NAMES) -> DataFrame:
-    """SESSION and dns_queries, the first `most` names in order, of sessions that have some."""
-    first = Window.partitionBy(*SESSION).orderBy("ts_us", "seq")
-    ranked = rows.filter(F.col("dns_query").isNotNull()).select(*SESSION, "ts_us", "seq", "dns_query").withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= most)
-    return ranked.groupBy(*SESSION).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "dns_query"))), lambda x: x["dns_query"]).alias("dns_queries"))
+def total(values: str) -> Column:
+    """The sum of a list of whole numbers."""
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def flows(packets: DataFrame, idle_us: int = IDLE_US, slice_us: int | None = None) -> DataFrame:
-    """A row for each session with its aggregates, samples and names (empty array without any)."""
-    rows = sessions(packets, idle_us, slice_us)
-    out = aggregates(rows).join(samples(rows), list(SESSION), "left").join(names(rows), list(SESSION), "left")
-    return out.withColumn("dns_queries", F.coalesce("dns_queries", F.array().cast("array<string>")))
+def spread(values: str, unit: float = 1.0) -> Column:
+    """The population variance of a list, in units of `unit`, by a running mean; 0 of an empty one."""
+
+    def add(a: Column, x: Column) -> Column:
+        n, x = a["n"] + 1, x / unit
+        mean = a["mean"] + (x - a["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["squares"] + (x - mean) * (x - a["mean"])).alias("squares"))
+
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    return F.aggregate(values, none, add, lambda a: F.when(a["n"] > 0, a["squares"] / a["n"]).otherwise(0.0))
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -141,6 +179,13 @@ def summary(shown: DataFrame) -> DataFrame:
     )
 
 
+def lookup(found: DataFrame, src_ip, dst_ip, src_port: int, dst_port: int, proto: int) -> DataFrame:
+    """The sessions of one flow, by either of its directions. Addresses are literals of the packets' type."""
+    one = found.sparkSession.range(1).select(F.lit(src_ip).alias("src_ip"), F.lit(dst_ip).alias("dst_ip"), F.lit(src_port).alias("src_port"), F.lit(dst_port).alias("dst_port"), F.lit(proto).alias("proto"))
+    wanted = normalized(one.withColumns({"ts_us": F.lit(0), "tcp_flags": F.lit(0), "payload_len": F.lit(0)})).select(*KEY).first()
+    return found.filter(reduce(lambda a, b: a & b, [F.col(c) == F.lit(wanted[c]) for c in KEY]))
+
+
 def latest(found: DataFrame) -> DataFrame:
     """Each flow's last session: the record that a table of live flows would hold."""
     newest = found.groupBy(*KEY).agg(F.max("session").alias("session"))

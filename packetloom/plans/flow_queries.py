@@ -64,17 +64,17 @@ def flow_sessions(spark, sf_dir):
 
 @query(FLOW_QUERIES, "flow_aggregate", f"{SESSION_COLUMNS} first_us last_us fwd_packets rev_packets fwd_bytes rev_bytes tcp_flags", f"{FLOWS}, result as (select * from f)")
 def flow_aggregate(spark, sf_dir):
-    return fl.aggregates(fl.sessions(fixtures.packets(spark, sf_dir), IDLE))
+    return found(spark, sf_dir)
 
 
 @query(FLOW_QUERIES, "flow_first_n_samples", f"{SESSION_COLUMNS} n_iat d:iat_mean iat_std size_var", f"{FLOWS}, result as (select * from f)")
 def flow_first_n_samples(spark, sf_dir):
-    return fl.samples(fl.sessions(fixtures.packets(spark, sf_dir), IDLE))
+    return found(spark, sf_dir)
 
 
 @query(FLOW_QUERIES, "flow_dns_names", f"{SESSION_COLUMNS} s:dns_names", f"{FLOWS}, result as (select * from f where dns_names <> '')")
 def flow_dns_names(spark, sf_dir):
-    return fl.names(fl.sessions(fixtures.packets(spark, sf_dir), IDLE)).withColumn("dns_names", F.array_join("dns_queries", ","))
+    return found(spark, sf_dir).filter(F.size("dns_queries") > 0).withColumn("dns_names", F.array_join("dns_queries", ","))
 
 
 @query(FLOW_QUERIES, "flow_active", f"{SESSION_COLUMNS} last_us", f"{FLOWS}, {LAST}, {LIVE}, result as (select * from live)")
@@ -98,6 +98,15 @@ def flow_closed(spark, sf_dir):
     return fl.closed(found(spark, sf_dir), views.as_of(fixtures.packets(spark, sf_dir)), IDLE, MOST)
 
 
+WANTED = (3232235777, 167772161, 53, 1024, 17)
+
+
+@query(FLOW_QUERIES, "flow_lookup", f"{SESSION_COLUMNS} fwd_packets rev_packets last_us", f"{FLOWS}, result as (select * from f where a_ip = {WANTED[1]} and b_ip = {WANTED[0]} and a_port = {WANTED[3]} and b_port = {WANTED[2]} and proto = {WANTED[4]})")
+def flow_lookup(spark, sf_dir):
+    """The sessions of one flow, asked for by its reverse direction."""
+    return fl.lookup(found(spark, sf_dir), *WANTED)
+
+
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.with_features(found(spark, sf_dir))
 
