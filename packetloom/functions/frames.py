@@ -105,7 +105,10 @@ def header_fields(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(arrays, HEADERS.names)
 
 
-@F.arrow_udf(HEADERS)
-def frame_headers(column: pa.Array) -> pa.Array:
+def _frame_headers(column: pa.Array) -> pa.Array:
     """HEADERS of each frame."""
     return header_fields(column)
+
+
+#: Not deterministic as far as the optimizer knows: filters on its fields would run it a second time below.
+frame_headers = F.arrow_udf(_frame_headers, HEADERS).asNondeterministic()
