@@ -23,6 +23,8 @@ from packetloom.functions.net import ip_string, ip_struct
 VERDICTS = ("pass", "drop", "alert")
 #: Rules that `match_compiled` takes; longer lists are for `match_joined`.
 MOST_COMPILED = 200
+#: Tables of rules up to this size are broadcast.
+BROADCAST_BYTES = 4 << 20
 EQUAL = {"src_ip": "src_ip", "dst_ip": "dst_ip", "src_port": "src_port", "dst_port": "dst_port", "protocol": "proto"}
 LISTS = {"modbus_fcs": "modbus_fc", "dnp3_fcs": "dnp3_fc"}
 
@@ -105,6 +107,11 @@ def without(rules: DataFrame, rule_id: str) -> DataFrame:
     return rules.filter(F.col("id") != rule_id)
 
 
+def by_id(rules: DataFrame, rule_id: str) -> DataFrame:
+    """The first rule of this id, if there is one."""
+    return distinct_ids(rules.filter(F.col("id") == rule_id))
+
+
 def distinct_ids(rules: DataFrame) -> DataFrame:
     """The first rule of each id."""
     first = rules.groupBy("id").agg(F.min("ordinal").alias("ordinal"))
@@ -147,51 +154,48 @@ def match_compiled(packets: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, in
 
 def _shown(rows: DataFrame, hit: dict[str, Column], inline: bool, default: str) -> DataFrame:
     out = rows.withColumns({"rule_ordinal": hit["ordinal"], "rule_id": hit["id"], "rule_severity": hit["severity"], "rule_description": hit["description"], "verdict": verdict(hit["action"], inline, default)})
-    return out.drop("_hit", "_ordinal", "_action")
+    return out.drop("_hit")
 
 
 def match_joined(packets: DataFrame, rules: DataFrame, key: str = "seq", inline: bool = True, default: str = "pass") -> DataFrame:
-    """As `match_compiled`, for a table of rules; `key` is unique to a packet.
+    """As `match_compiled`, for a table of rules of any length.
 
-    Rules with the same criteria set (which fields, which flag mask, which code lists) are one equi-join on these fields; there are as many joins as
-    such sets occur. Rules without criteria are the least ordinal that all packets have.
+    Rules with the same criteria set (which fields, which flag mask, which code lists) are one table with a row for each combination of values: the first
+    rule that has them. Packets are read once and meet each such table in a left join; the first of what was found is the hit. Tables up to `BROADCAST_BYTES`
+    are broadcast, larger ones are joined as Spark sees fit. Rules without criteria are a table of one row. Packets need no unique key; `key` is not used.
     """
     live = rules.filter("enabled")
     mask = F.when(F.col("flags_value").isNotNull(), F.col("flags_mask"))
     shape = F.struct(*(F.col(c).isNotNull().alias(c) for c in EQUAL), mask.alias("mask"), *((F.size(c) > 0).alias(c) for c in LISTS))
     shaped = live.withColumn("shape", shape)
-    shapes = [r["shape"].asDict() for r in shaped.select("shape").distinct().collect()]  # combinations of criteria, not rules
-    found, every = [], None
-    for s in shapes:
-        same = shaped.filter(reduce(lambda a, b: a & b, [F.col("shape")[k].eqNullSafe(F.lit(v)) for k, v in s.items()]))
-        left, right = {}, {}
+    width = F.octet_length(F.concat_ws("", "id", "severity", "description", "action")) + 128
+    entries = reduce(lambda a, b: a * b, [F.greatest(F.size(c), F.lit(1)) for c in LISTS])
+    sizes = shaped.groupBy("shape").agg(F.sum(width * entries).alias("bytes")).collect()  # a row for each combination of criteria, not for each rule
+    rule = F.struct("ordinal", "id", "severity", "description", "action")
+    rows, hits = packets, []
+    for k, (s, size) in enumerate((r["shape"].asDict(), r["bytes"]) for r in sizes):
+        same = shaped.filter(reduce(lambda a, b: a & b, [F.col("shape")[c].eqNullSafe(F.lit(v)) for c, v in s.items()]))
+        left, right = [], []
         for name, field in EQUAL.items():
             if s[name]:
-                left[name], right[name] = F.col(field), F.col(name)
+                left.append(F.col(field))
+                right.append(F.col(name))
         if s["mask"] is not None:
-            left["flags"], right["flags"] = F.col("tcp_flags").bitwiseAND(s["mask"]), F.col("flags_value")
+            left.append(F.col("tcp_flags").bitwiseAND(s["mask"]))
+            right.append(F.col("flags_value"))
         for name, field in LISTS.items():
             if s[name]:
-                left[name] = F.col(field) if field in packets.columns else F.lit(None).cast("int")
-                right[name] = F.col(f"_{name}")
+                left.append(F.col(field) if field in packets.columns else F.lit(None).cast("int"))
+                right.append(F.col(f"_{name}"))
                 same = same.withColumn(f"_{name}", F.explode(F.array_distinct(name)))
-        if not left:
-            every = same.agg(F.min("ordinal")).first()[0]
-            continue
-        wanted = same.select(*(c.alias(k) for k, c in right.items()), "ordinal").groupBy(*right).agg(F.min("ordinal").alias("_ordinal"))
-        asked = packets.select(F.col(key), *(c.alias(k) for k, c in left.items()))
-        found.append(asked.join(wanted, list(left)).select(key, "_ordinal"))
-    if found:
-        least = reduce(DataFrame.unionByName, found).groupBy(key).agg(F.min("_ordinal").alias("_ordinal"))
-        rows = packets.join(least, key, "left")
-    else:
-        rows = packets.withColumn("_ordinal", F.lit(None).cast("int"))
-    if every is not None:
-        rows = rows.withColumn("_ordinal", F.least(F.col("_ordinal"), F.lit(every)))
-    shown = live.select(F.col("ordinal").alias("_ordinal"), F.struct("id", "severity", "description", "action").alias("_hit"))
-    rows = rows.join(shown, "_ordinal", "left")
-    out = _shown(rows.withColumn("_action", F.col("_hit.action")), {"ordinal": F.col("_ordinal"), **{c: F.col(f"_hit.{c}") for c in ("id", "severity", "description", "action")}}, inline, default)
-    return out.select(*packets.columns, "rule_ordinal", "rule_id", "rule_severity", "rule_description", "verdict")
+        names = [f"_{k}_{i}" for i in range(len(right))]
+        first = same.select(*(c.alias(n) for c, n in zip(right, names)), rule.alias("_rule")).groupBy(*names).agg(F.min("_rule").alias(f"_hit{k}"))
+        fits = reduce(lambda a, b: a & b, [c == F.col(n) for c, n in zip(left, names)], F.lit(True))
+        rows = rows.join(F.broadcast(first) if size <= BROADCAST_BYTES else first, fits, "left").drop(*names)
+        hits.append(F.col(f"_hit{k}"))
+    none = F.lit(None).cast("struct<ordinal:int,id:string,severity:string,description:string,action:string>")
+    rows = rows.withColumn("_hit", F.least(*hits, none) if hits else none).drop(*(f"_hit{k}" for k in range(len(sizes))))
+    return _shown(rows, {c: F.col(f"_hit.{c}") for c in ("ordinal", "id", "severity", "description", "action")}, inline, default)
 
 
 def stats(judged: DataFrame) -> DataFrame:

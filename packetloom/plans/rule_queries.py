@@ -124,6 +124,11 @@ def rule_delete(spark, sf_dir):
     return r.without(table(spark), "GE-OT-002")
 
 
+@query(RULE_QUERIES, "rule_lookup", "l:ordinal s:id severity", f"{R}, result as (select * from rr where id = 'GE-OT-002' order by ordinal limit 1)")
+def rule_lookup(spark, sf_dir):
+    return r.by_id(table(spark), "GE-OT-002")
+
+
 @query(RULE_QUERIES, "rule_dedup", "l:ordinal s:id", f"{R}, result as (select id, min(ordinal) as ordinal from rr group by all)")
 def rule_dedup(spark, sf_dir):
     return r.distinct_ids(table(spark))
