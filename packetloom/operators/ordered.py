@@ -1,7 +1,7 @@
 """Running sums and ranks over a whole table without bringing it into one task.
 
-A global window would put all rows into one partition. Here the order column is cut into ranges at approximate quantiles;
-each range is a window of its own, and gets the sums of the ranges before it from a table with a row for each range.
+A global window would put all rows into one partition. Here the table is cut into ranges by Spark's own range partitioning; each range is a window of its own, and gets
+the sums of the ranges before it from a table with a row for each range.
 """
 
 from __future__ import annotations
@@ -11,31 +11,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a range takes, roughly.
-RANGE_ROWS = 500_000
-MOST_RANGES = 4_000
+from packetloom.session import written
 
 
-def running_sum(df: DataFrame, order: str, value: Column, name: str, ties: Sequence[str] = (), descending: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
+def running_sum(df: DataFrame, order: str, value: Column, name: str, ties: Sequence[str] = (), descending: bool = False, range_rows: int | None = None) -> DataFrame:
     """`df` with the sum of `value` over the rows up to and including each, by `order`, then `ties`.
 
-    Rows with a null order come first, or last if descending. Rows of one order value share a range.
+    Rows with a null order come first, or last if descending. Rows that agree in order and ties come in any order, but each has its own sum; however many they are,
+    they may lie in several ranges. There are as many ranges as the session has shuffle partitions, or as `range_rows` rows in each make. The ranges are written once to the shared folder.
     """
-    n = df.count()
-    ranges = min(MOST_RANGES, max(1, -(-n // range_rows)))
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(df.agg(F.percentile_approx(order, probs, 10_000)).first()[0] or [])) if probs else []
-    place = F.col(order)
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < place)) if cuts else F.lit(0)
-    part = F.coalesce(F.when(place.isNotNull(), part), F.lit(-1))
-    rows = df.withColumns({"_part": part, "_value": value})
+    way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    by = [way(order), *map(way, ties), way("_mixed")]
+    rows = df.withColumns({"_value": value, "_mixed": F.monotonically_increasing_id()})
+    ranges = [max(1, -(-df.count() // range_rows))] if range_rows else []
+    rows = rows.repartitionByRange(*ranges, *by).withColumn("_part", F.spark_partition_id())
+    rows = written(rows, "ranges")
     sums = rows.groupBy("_part").agg(F.sum("_value").alias("_sum"))
-    way = F.desc if descending else F.asc
-    others = Window.orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    others = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     before = sums.select("_part", F.coalesce(F.sum("_sum").over(others), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("_part").orderBy(way(order), *map(way, ties)).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn(name, F.sum("_value").over(own)).join(before, "_part")
-    return out.withColumn(name, F.coalesce(F.col(name), F.lit(0)) + F.col("_before")).drop("_part", "_value", "_before")
+    return out.withColumn(name, F.coalesce(F.col(name), F.lit(0)) + F.col("_before")).drop("_part", "_value", "_before", "_mixed")
 
 
 def newest(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
