@@ -1,25 +1,30 @@
 """PCAP files as a Spark data source, to read and to write, in batch and as a stream of files.
 
-Reading: each file below the path is a partition; records are read one by one and leave as Arrow batches of bounded size, so a
-file's size doesn't matter. Both byte orders, and microseconds or nanoseconds, are understood; a cut last record ends a file.
+Reading: files are cut into byte ranges, each a partition, so that neither a file's size nor the size of what a task holds grows. A range takes the records that
+begin in it. Its first one is found by looking for a run of sound record headers; so is the next one after a damaged place, which leaves a
+row of its own, with `error`, no data, and the bytes that were passed over as cap_len. Both byte orders, and microseconds or nanoseconds, are
+understood; a cut last record ends a file, and a file of another kind has no rows.
 
 Writing: each task writes one file of its rows in the order in which they come; files get their names in the driver's commit.
 
-Rows: ts_us, orig_len, cap_len, data. On writing null data is an empty packet and a null time is 0.
+Rows: ts_us, orig_len, cap_len, data, error. On writing null data is an empty packet and a null time is 0.
 """
 
 from __future__ import annotations
 
 import posixpath
+import re
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -27,9 +32,15 @@ from pyspark.sql.types import StructType
 MAGIC_US, MAGIC_NS = 0xA1B2C3D4, 0xA1B23C4D
 VERSION = (2, 4)
 SNAPLEN, ETHERNET = 65535, 1
-SCHEMA = "ts_us long, orig_len long, cap_len long, data binary"
+SCHEMA = "ts_us long, orig_len long, cap_len long, data binary, error string"
 BATCH_BYTES = 4 << 20
+#: A record header that says more is damaged.
 LARGEST_RECORD = 1 << 26
+RANGE_BYTES = 64 << 20
+#: Bytes that are read at once.
+BLOCK = 1 << 22
+#: Sound headers in a row that make a place the start of a record, and how far their times may lie from the file's first.
+SOUND_RUN, SOUND_SECS = 8, 400 * 86_400
 
 
 def file_header(snaplen: int = SNAPLEN) -> bytes:
@@ -41,28 +52,97 @@ def record(ts_us: int | None, data: bytes | None, orig_len: int | None = None) -
     return struct.pack("<IIII", (ts_us or 0) // 1_000_000, (ts_us or 0) % 1_000_000, len(data), orig_len or len(data)) + data
 
 
-def records(f: BinaryIO) -> Iterator[tuple[int, int, int, bytes]]:
-    """(ts_us, orig_len, cap_len, data) of each whole record; nothing if it is no PCAP file."""
-    head = f.read(24)
-    if len(head) < 24:
-        return
-    for order in "<>":
-        (magic,) = struct.unpack(order + "I", head[:4])
-        if magic in (MAGIC_US, MAGIC_NS):
-            break
-    else:
-        return
-    unit = 1 if magic == MAGIC_US else 1000
-    while len(head := f.read(16)) == 16:
-        secs, part, size, orig = struct.unpack(order + "IIII", head)
-        if size > LARGEST_RECORD or len(data := f.read(size)) < size:
+class Capture:
+    """An open PCAP file of known size. `order` is None if it is no PCAP file."""
+
+    def __init__(self, f: BinaryIO, size: int):
+        self.f, self.size, self.at, self.block = f, size, 0, b""
+        head = self.bytes(0, 24)
+        self.order = next((o for o in "<>" if len(head) == 24 and struct.unpack(o + "I", head[:4])[0] in (MAGIC_US, MAGIC_NS)), None)
+        if self.order:
+            self.unit = 1 if struct.unpack(self.order + "I", head[:4])[0] == MAGIC_US else 1000
+            first = self.header(24)
+            self.first_secs = first[0] if first else 0
+
+    def bytes(self, at: int, n: int) -> bytes:
+        if not self.at <= at <= at + n <= self.at + len(self.block):
+            self.f.seek(at)
+            self.at, self.block = at, self.f.read(max(n, BLOCK))
+        return self.block[at - self.at : at - self.at + n]
+
+    def header(self, at: int) -> tuple[int, int, int, int] | None:
+        """Seconds, their part, captured and original length; None at the end."""
+        raw = self.bytes(at, 16)
+        return struct.unpack(self.order + "IIII", raw) if len(raw) == 16 else None
+
+    def sound(self, h: tuple[int, int, int, int]) -> bool:
+        return h[1] < 1_000_000 * self.unit and h[2] <= LARGEST_RECORD
+
+    def starts(self, at: int) -> bool:
+        """Whether a run of sound headers, or what is left of the file, begins here."""
+        for k in range(SOUND_RUN):
+            h = self.header(at)
+            if h is None:
+                return k > 0
+            if not self.sound(h) or not 0 < h[2] <= h[3] <= LARGEST_RECORD or abs(h[0] - self.first_secs) > SOUND_SECS:
+                return False
+            at += 16 + h[2]
+        return True
+
+    def next_start(self, at: int) -> int | None:
+        """The first place from `at` on where a record begins."""
+        kind = np.dtype(self.order + "u4")
+        while at + 16 <= self.size:
+            raw = np.frombuffer(self.bytes(at, min(BLOCK, self.size - at)), "u1")
+            n = len(raw) - 15
+            field = lambda k: np.lib.stride_tricks.as_strided(raw[k:], (n, 4), (1, 1)).copy().view(kind)[:, 0].astype("i8")  # noqa: B023, E731
+            secs, part, size, orig = (field(k) for k in (0, 4, 8, 12))
+            for k in np.flatnonzero((part < 1_000_000 * self.unit) & (size > 0) & (size <= orig) & (orig <= LARGEST_RECORD) & (np.abs(secs - self.first_secs) <= SOUND_SECS)).tolist():
+                if self.starts(at + k):
+                    return at + k
+            at += n
+        return None
+
+    def records(self, begin: int, end: int) -> Iterator[tuple[int, int, int, bytes | None, str | None]]:
+        """Rows of the records that begin in this range of bytes."""
+        if not self.order:
             return
-        yield secs * 1_000_000 + part // unit, orig, size, data
+        at = 24 if begin <= 24 else self.next_start(begin)
+        while at is not None and at < end and (h := self.header(at)):
+            secs, part, size, orig = h
+            if not self.sound(h):
+                found = self.next_start(at + 1)
+                yield None, None, (self.size if found is None else found) - at, None, f"damaged record at byte {at}"
+                at = found
+                continue
+            data = self.bytes(at + 16, size)
+            if len(data) < size:
+                return
+            yield secs * 1_000_000 + part // self.unit, orig, size, data, None
+            at += 16 + size
 
 
 @dataclass
 class File(InputPartition):
+    """A range of bytes of a file."""
+
     path: str
+    size: int = 0
+    begin: int = 0
+    end: int = 0
+
+
+def batches(store: pafs.FileSystem, part: File) -> Iterator[pa.RecordBatch]:
+    with store.open_input_file(part.path) as f:
+        rows, size = [], 0
+        for r in Capture(f, part.size).records(part.begin, part.end):
+            rows.append(r)
+            size += len(r[3] or b"")
+            if size >= BATCH_BYTES or len(rows) >= 10_000:
+                yield batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch(rows)
 
 
 @dataclass
@@ -72,33 +152,23 @@ class Written(WriterCommitMessage):
 
 class PcapReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.range_bytes = options["path"], int(options.get("rangeBytes", RANGE_BYTES))
 
     def partitions(self) -> list[File]:
         store, root = pafs.FileSystem.from_uri(self.path)
         here = store.get_file_info(root)
         found = [here] if here.is_file else store.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True))
-        return [File(i.path) for i in found if i.is_file and not posixpath.basename(i.path).startswith(("_", "."))] or [File("")]
+        files = [i for i in found if i.is_file and not posixpath.basename(i.path).startswith(("_", "."))]
+        return [File(i.path, i.size, at, min(i.size, at + self.range_bytes)) for i in files for at in range(0, i.size, self.range_bytes)] or [File("")]
 
     def read(self, partition: File) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        store, _ = pafs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(partition.path, buffer_size=1 << 20) as f:
-            rows, size = [], 0
-            for r in records(f):
-                rows.append(r)
-                size += r[2]
-                if size >= BATCH_BYTES or len(rows) >= 10_000:
-                    yield batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield batch(rows)
+        if partition.path:
+            yield from batches(pafs.FileSystem.from_uri(self.path)[0], partition)
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["ts_us", "orig_len", "cap_len", "data"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["ts_us", "orig_len", "cap_len", "data", "error"])
 
 
 class PcapWriter(DataSourceWriter):
@@ -135,7 +205,7 @@ class PcapWriter(DataSourceWriter):
 
 
 class PcapSource(DataSource):
-    """format("pcap"); option path."""
+    """format("pcap"); options path and rangeBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -151,9 +221,20 @@ class PcapSource(DataSource):
         return PcapWriter(self.options, schema)
 
 
-def read_pcap(spark: SparkSession, path: str) -> DataFrame:
+def read_pcap(spark: SparkSession, path: str, **options: str) -> DataFrame:
     spark.dataSource.register(PcapSource)
-    return spark.read.format("pcap").option("path", path).load()
+    return spark.read.format("pcap").option("path", path).options(**options).load()
+
+
+def capture_stats(frames: DataFrame) -> DataFrame:
+    """One row about what was read: received records, dropped (damaged places), bytes passed over there, and records that were captured in part."""
+    bad = F.col("error").isNotNull()
+    return frames.agg(
+        F.count_if(~bad).alias("received"),
+        F.count_if(bad).alias("dropped"),
+        F.coalesce(F.sum(F.when(bad, F.col("cap_len"))), F.lit(0)).alias("dropped_bytes"),
+        F.count_if(~bad & (F.col("orig_len") > F.col("cap_len"))).alias("truncated"),
+    )
 
 
 def write_pcap(packets: DataFrame, path: str) -> None:
@@ -163,22 +244,17 @@ def write_pcap(packets: DataFrame, path: str) -> None:
     packets.select(*columns).write.format("pcap").mode("append").option("path", path).save()
 
 
-def stream_pcap(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Frames of PCAP files as they arrive below `path`; files are whole when they get their name."""
+def stream_pcap(spark: SparkSession, path: str, files_per_trigger: int = 1000, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Frames of PCAP files as they arrive below `path`; files are whole when they get their name. Spark lists the files, tasks read ranges of them."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    rows = files.option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.pcap").load(path).select("content")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
-                found, size = [], 0
-                for r in records(pa.BufferReader(content.as_buffer())):
-                    found.append(r)
-                    size += r[2]
-                    if size >= BATCH_BYTES:
-                        yield batch(found)
-                        found, size = [], 0
-                if found:
-                    yield batch(found)
-
-    return rows.mapInArrow(split, SCHEMA)
+    rows = files.option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.pcap").load(path).select("path", "length").filter("length > 0")
+    begins = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
+    ranges = rows.select("path", "length", begins.alias("begin")).repartition("path", "begin")
+
+    def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for r in b.to_pylist():
+                store, name = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", r["path"]))
+                yield from batches(store, File(name, r["length"], r["begin"], r["begin"] + range_bytes))
+
+    return ranges.mapInArrow(split, SCHEMA)

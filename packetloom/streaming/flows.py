@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ CLOSED = f"a_ip string, b_ip string, a_port int, b_port int, proto int, {RECORD}
 
 
 class FlowTracker(StatefulProcessor):
-    """One flow: its open record in a value state, and a timer at the end of its idle time. Packets of a batch are taken in order of time."""
+    """One flow: its open record in a value state, and a timer at the end of its idle time. Packets of a batch are taken in order of time, all of a flow's together."""
 
     def __init__(self, idle_us: int):
         self.idle_us = idle_us
@@ -56,25 +57,29 @@ class FlowTracker(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         done = []
         state = list(self.record.get()) if self.record.exists() else None
-        for part in rows:
-            part = part.sort_values(["ts_us", "seq"], kind="stable")
-            for ts, fwd, size, flags, name in part[["ts_us", "forward", "size", "tcp_flags", "dns_query"]].itertuples(index=False):
-                if state is not None and ts - state[1] > self.idle_us:
-                    done.append((*key, *state, "IdleTimeout"))
-                    state = None
-                if state is None:
-                    state = [ts, ts, 0, 0, 0, 0, 0, [], [], []]
-                elif len(state[7]) < SAMPLES:
-                    state[7] = [*state[7], max(0, ts - state[1])]
-                state[0], state[1] = min(state[0], ts), max(state[1], ts)
-                side = 0 if fwd else 1
-                state[2 + side] += 1
-                state[4 + side] += int(size)
-                state[6] |= int(flags)
-                if len(state[8]) < SAMPLES:
-                    state[8] = [*state[8], int(size)]
-                if name is not None and name == name and len(state[9]) < NAMES:
-                    state[9] = [*state[9], name]
+        part = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "seq"], kind="stable")  # a flow's packets of one batch
+        ts, forward, size, flags = (part[c].to_numpy() for c in ("ts_us", "forward", "size", "tcp_flags"))
+        gaps = np.diff(ts, prepend=state[1] if state else ts[:1])
+        starts = np.flatnonzero(gaps > self.idle_us)
+        for lo, hi in zip((0, *starts), (*starts, len(ts))):
+            if lo == hi:  # the first packet is past the open record's idle time
+                continue
+            if state is not None and lo in starts:
+                done.append((*key, *state, "IdleTimeout"))
+                state = None
+            fresh = state is None
+            state = state or [int(ts[lo]), int(ts[lo]), 0, 0, 0, 0, 0, [], [], []]
+            fwd, own = forward[lo:hi].astype(bool), size[lo:hi].astype("i8")
+            state[0], state[1] = min(state[0], int(ts[lo])), max(state[1], int(ts[hi - 1]))
+            for k, side in ((0, fwd), (1, ~fwd)):
+                state[2 + k] += int(side.sum())
+                state[4 + k] += int(own[side].sum())
+            state[6] |= int(np.bitwise_or.reduce(flags[lo:hi].astype("i8")))
+            later = np.maximum(gaps[lo + fresh : hi], 0)
+            state[7] = [*state[7], *later[: SAMPLES - len(state[7])].tolist()]
+            state[8] = [*state[8], *own[: SAMPLES - len(state[8])].tolist()]
+            names = part["dns_query"].iloc[lo:hi].dropna()
+            state[9] = [*state[9], *names.iloc[: NAMES - len(state[9])].tolist()]
         if state is not None:
             self.record.update(tuple(state))
             for t in list(self.handle.listTimers()):
