@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.net import five_tuple
@@ -20,6 +20,7 @@ CAPTURE_ID = "ALT-%04d"
 DAY_SECS = 86_400
 BYTES_PER_PACKET = 128
 TRIGGERS = ("alert", "always")
+SPOOL_TIME = "yyyyMMddHHmmss"
 
 
 def ring(packets: DataFrame, max_bytes: int, order: str = "seq", length: str = "length") -> DataFrame:
@@ -117,7 +118,25 @@ def dead_letters(events: DataFrame, max_bytes: int, size: Column, order: str = "
     return rows.withColumn("admitted", F.col("_upto") - size + already < max_bytes * threshold).drop("_upto")
 
 
-def spool_bytes(spark, path: str) -> int:
-    """Bytes of the files directly below a spool folder."""
-    rows = spark.read.format("binaryFile").load(path).select("length")
-    return rows.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+def spooled(events: DataFrame, max_bytes: int, payload: Column, at: Column, order: str = "seq", threshold: float = 0.8, already: int = 0, first_no: int = 0) -> DataFrame:
+    """The events that the spool takes, with file_name (their time `at` and number), payload, bytes and spool_bytes, the size of the spool with each."""
+    size = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")
+    rows = events.withColumns({"payload": payload, "_at": at})
+    rows = dead_letters(rows.withColumn("bytes", size), max_bytes, F.col("bytes"), order, threshold, already).filter("admitted")
+    # what is taken comes before all that isn't, so its numbers have no gaps
+    rows = running_sum(running_sum(rows, order, F.lit(1), "_no"), order, F.col("bytes"), "spool_bytes")
+    name = F.concat(F.date_format("_at", SPOOL_TIME), F.lit("_"), F.lpad(F.lower(F.hex(F.col("_no") - 1 + first_no)), 16, "0"), F.lit(".ges"))
+    return rows.withColumns({"file_name": name, "spool_bytes": F.col("spool_bytes") + already}).drop("_no", "_at", "admitted")
+
+
+def write_spool(taken: DataFrame, path: str) -> None:
+    """Appends `spooled` events to the spool's table, partitioned by the hour of their names. A row stands for what would be a file. Fits foreachBatch."""
+    hour = F.substring("file_name", 1, 10)
+    taken.select("file_name", "payload", "bytes", hour.alias("hour")).write.mode("append").partitionBy("hour").parquet(path)
+
+
+def spool_state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(bytes, next number) of a spool's table: what `spooled` takes as `already` and `first_no`."""
+    rows = spark.read.schema("file_name string, bytes long").parquet(path)
+    number = F.conv(F.substring("file_name", 16, 16), 16, 10).cast("long")
+    return tuple(rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max(number) + 1, F.lit(0))).first())

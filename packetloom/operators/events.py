@@ -41,6 +41,29 @@ def as_json(events: DataFrame) -> DataFrame:
     return events.select(F.col("`source.ip`").alias("key"), value.alias("value"))
 
 
+#: The fields of an envelope, for reading it back.
+FIELDS = (
+    "`@timestamp` string, `tenant.id` string, `event.kind` string, `event.category` array<string>, `network.protocol` string, `source.ip` string, `source.port` int, `destination.ip` string, "
+    "`destination.port` int, `ge.trust_score` float, `ge.risk_score` float, `ge.raw` string, merkle_hash string, ml_features array<float>"
+)
+
+
+def from_json(sent: DataFrame, value: str = "value") -> DataFrame:
+    """The events of (value) rows as columns again; all null where the text is no event."""
+    return sent.select(F.from_json(value, FIELDS).alias("_e")).select("_e.*")
+
+
+def request_path(request: Column) -> Column:
+    """The second word of the first line of a request; null if there is none."""
+    return F.nullif(F.regexp_extract(request, r"^[^\S\n]*\S+[^\S\n]+(\S+)", 1), F.lit(""))
+
+
+def query_param(request: Column, key: str) -> Column:
+    """The value of the first `key=` in the query string of a request's path; null if there is none."""
+    pairs = F.split(F.get(F.split(request_path(request), r"\?"), F.lit(1)), "&")
+    return F.substr(F.get(F.filter(pairs, lambda x: x.startswith(f"{key}=")), F.lit(0)), F.lit(len(key) + 2))
+
+
 def write_kafka(events: DataFrame, brokers: list[str], topic: str = TOPIC) -> None:
     """Sends the events; needs Spark's Kafka connector on the class path."""
     out = as_json(events).write.format("kafka").option("kafka.bootstrap.servers", ",".join(brokers)).option("topic", topic)

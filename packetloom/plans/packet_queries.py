@@ -18,6 +18,7 @@ from packetloom.plans.flow_queries import FLOWS, IDLE, LAST, LIVE
 from packetloom.plans.queries import P, of_events, of_pages, query, u
 from packetloom.plans.rule_queries import JUDGED, STATS, V4, judged
 from packetloom.session import scratch
+from packetloom.sources.pcap import capture_stats as stats_of
 from packetloom.sources.pcap import read_pcap, write_pcap
 
 PACKET_QUERIES: list = []
@@ -133,6 +134,15 @@ def pcap_round_trip(spark, sf_dir):
     return read_pcap(spark, path).withColumn("hex", F.hex("data"))
 
 
+@query(Q, "capture_stats", "l:received dropped dropped_bytes truncated", f"{FR}, result as (select count(*) as received, 0 as dropped, 0 as dropped_bytes, count(*) filter (where length(h) // 2 > 60) as truncated from fr)")
+def capture_stats(spark, sf_dir):
+    """What reading the frames says when they were captured with a length of 60 bytes at most."""
+    path = scratch(spark, "pcap")
+    frames = fx.frames(spark, sf_dir)
+    write_pcap(frames.select("ts_us", F.length("data").alias("orig_len"), F.substring("data", 1, 60).alias("data")), path)
+    return stats_of(read_pcap(spark, path))
+
+
 # Protocols and telemetry
 
 
@@ -224,6 +234,30 @@ def dlq_admission(spark, sf_dir):
     return c.dead_letters(fx.packets(spark, sf_dir), 500_000, F.col("payload_len"))
 
 
+SPOOL = "k as (select *, 'event ' || seq as payload from p), w as (select *, length(payload) as bytes from k), x as (select *, sum(bytes) over (order by seq) as spool_bytes, row_number() over (order by seq) - 1 as no from w)"
+
+
+@query(
+    Q,
+    "dlq_spool",
+    "l:seq s:file_name payload l:bytes spool_bytes",
+    f"""{P}, {SPOOL}, result as (select seq, strftime(make_timestamp(ts_us), '%Y%m%d%H%M%S') || '_' || lpad(lower(to_hex(no)), 16, '0') || '.ges' as file_name, payload, bytes, spool_bytes from x where spool_bytes - bytes < 0.8 * 20000)""",
+)
+def dlq_spool(spark, sf_dir):
+    """Rejected events as the spool names and counts them, until it is shut."""
+    p = fx.packets(spark, sf_dir)
+    return c.spooled(p, 20_000, F.concat(F.lit("event "), F.col("seq").cast("string")), F.timestamp_micros("ts_us"))
+
+
+_REQUEST = "concat('GET /api?id=', cast(page_id as string), '&lang=', substr(url, 9, 3), '&id=again&flag HTTP/1.1', chr(13), chr(10), 'Host: x', chr(13), chr(10))"
+
+
+@query(Q, "request_params", "l:page_id s:path id lang flag", "result as (select page_id, '/api?id=' || page_id || '&lang=' || substr(url, 9, 3) || '&id=again&flag' as path, cast(page_id as varchar) as id, substr(url, 9, 3) as lang, null as flag from pages)")
+def request_params(spark, sf_dir):
+    m = F.col("m")
+    return fx.of_pages(spark, sf_dir, _REQUEST, "m").select("page_id", e.request_path(m).alias("path"), *(e.query_param(m, k).alias(k) for k in ("id", "lang", "flag")))
+
+
 TENANT = "tenant-1"
 JSON = f"""'{{"@timestamp":"' || strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%fZ') || '","tenant.id":"{TENANT}","event.kind":"event","event.category":["network"],"network.protocol":"' || case proto when 17 then 'udp' else 'tcp' end || '","source.ip":"' || {V4.format('src_ip')}
  || '","source.port":' || src_port || ',"destination.ip":"' || {V4.format('dst_ip')} || '","destination.port":' || dst_port || ',"ge.trust_score":100.0,"ge.risk_score":0.0,"ge.raw":"","merkle_hash":"","ml_features":null}}'"""
@@ -240,6 +274,20 @@ def event_envelope(spark, sf_dir):
     return envelopes(spark, sf_dir)
 
 
+@query(
+    Q,
+    "event_parse",
+    "s:sent_at tenant protocol source_ip l:source_port s:destination_ip l:destination_port d:trust",
+    f"""{P}, result as (select strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%fZ') as sent_at, '{TENANT}' as tenant, case proto when 17 then 'udp' else 'tcp' end as protocol, {V4.format('src_ip')} as source_ip, src_port as source_port,
+ {V4.format('dst_ip')} as destination_ip, dst_port as destination_port, 100.0 as trust from p)""",
+)
+def event_parse(spark, sf_dir):
+    """Events that were written as JSON, as columns again."""
+    x = e.from_json(envelopes(spark, sf_dir))
+    names = {"sent_at": "@timestamp", "tenant": "tenant.id", "protocol": "network.protocol", "source_ip": "source.ip", "source_port": "source.port", "destination_ip": "destination.ip", "destination_port": "destination.port", "trust": "ge.trust_score"}
+    return x.select(*(F.col(f"`{v}`").alias(k) for k, v in names.items()))
+
+
 @query(Q, "delivery_stats", "l:delivered errors bytes_sent", f"{P}, j as (select {JSON} as value from p), result as (select count(*) as delivered, 0 as errors, sum(strlen(value)) as bytes_sent from j)")
 def delivery_stats(spark, sf_dir):
     return e.delivery_stats(envelopes(spark, sf_dir))
