@@ -1,38 +1,13 @@
-"""What the operators of this subpackage share: the shared folder, tables written to cut lineage, fields."""
+"""What the operators of this subpackage share: tables written to cut lineage, fields."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.session import scratch, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, local mode)
-    is a folder of our own taken, and set for ``checkpoint()`` too.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file:///tmp/checkpoints/packetloom-{os.getuid()}"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/packetloom/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    df.write.parquet(path := scratch(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "scratch", "whole_text", "written"]
 
 
 def whole_text(df: DataFrame, text: str = "text") -> Column:
