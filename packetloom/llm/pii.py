@@ -3,16 +3,15 @@
 Base spans are what four patterns and their checks give (e-mail addresses, IPv4 addresses, card numbers that pass
 Luhn, phone numbers in international form). They always stay.
 
-The network adds spans that the patterns miss: written-out signs ("name (at) host dot com"), other separators in
+The network adds spans that the patterns miss: written-out signs ("name (at) host dot com", "name at host.org"), other separators in
 cards and addresses, phone numbers without a plus sign. It is trained in numpy, by gradients through time and through the CRF's
-forward-backward sums, on labelled spans that a seeded generator makes; it is small and takes some seconds. Texts are
-decoded in overlapping windows wherever a span can be: a span of these kinds holds a digit, an at sign or a
-written-out at sign, so windows around each of those cover all of them, in the whole text. Each character takes its
-label from the window in whose middle it lies most; spans are read off these labels over the whole text, once, must
-pass a check of their kind, and are added where they overlap no base span.
-
-Positions are code points, ends exclusive. Null and empty texts have no spans; rows with null keys and repeated rows are
-kept; an empty table gives an empty table.
+forward-backward sums, on labelled spans that a seeded generator makes; it is small and takes some seconds. A span of these kinds must pass a
+check (`plausible`), which wants a digit or an at sign, written out or not, as `TRIGGER` has it; overlapping windows around each of those, in
+the whole text, hold all that the check could take. Each character takes its scores from the window in whose middle it lies most, and one Viterbi run
+over all windows that touch each other gives the labels. Numbers are carried on over the groups of digits beside them. Spans are added where they overlap no base span.
+
+Positions are code points, ends exclusive. Null and empty texts have no spans; texts of any length are read whole; rows with null keys and repeated rows are
+kept; an empty table gives an empty table. `find` looks at key and text only, so other names may clash; `mask` keeps all columns.
 """
 
 from __future__ import annotations
@@ -44,12 +43,16 @@ LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 IP = re.compile(r"(?<![0-9])" + PATTERNS["ip"])
 #: An address as the network may find it; signs that are written out stand apart.
 WRITTEN_EMAIL = re.compile(r"[\w.%+-]+( ?@ ?| ?[(\[{] ?at ?[)\]}] ?| at )[\w-]+(( ?\. ?| ?[(\[{] ?(\.|dot) ?[)\]}] ?| dot )[\w-]+)+")
-TRIGGER = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]| at (?=[\w-]+ dot )", re.IGNORECASE)
+TRIGGER = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]| at (?=[\w-]+(?: ?\. ?| ?[(\[{] ?(?:\.|dot) ?[)\]}] ?| dot )[\w-])", re.IGNORECASE)
+#: A run of groups of digits.
+DIGITS = re.compile(r"[+(]?[0-9](?:[ ()./-]{0,3}[0-9])*")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 WINDOW = 64
 STRIDE = 32
 MARGIN = 28
+#: Characters of texts whose windows are scored together.
+BATCH_CHARS = 2_000_000
 
 
 def luhn(digits: str) -> bool:
@@ -214,21 +217,35 @@ class BiLstmCrf:
         np.add.at(dembed, codes.T, dxf + dxb[::-1])
         return float((z - gold).mean()), {"embed": dembed, "f": df, "b": db, "out": dout, "trans": dtrans / n}
 
-    def decode(self, codes: np.ndarray) -> np.ndarray:
-        """The best tags (n, steps) of windows, by Viterbi."""
-        em, _ = self.emissions(codes)
-        steps, n, k = em.shape
-        best, came = em[0], np.empty((steps, n, k), "i1")
-        for t in range(1, steps):
-            v = best[:, :, None] + self.p["trans"]
-            came[t] = v.argmax(1)
-            best = v.max(1) + em[t]
-        tags = np.empty((steps, n), "i1")
-        tags[-1] = best.argmax(1)
-        rows = np.arange(n)
-        for t in range(steps - 1, 0, -1):
-            tags[t - 1] = came[t][rows, tags[t]]
-        return tags.T
+    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of each run of scores (characters, tags), by Viterbi over the whole run."""
+        order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
+        out: list[np.ndarray] = [np.empty(0, "i1")] * len(scores)
+        lo = 0
+        while lo < len(order):
+            longest = len(scores[order[lo]])
+            part = order[lo : lo + max(1, 400_000 // longest)]
+            lo += len(part)
+            lengths = np.array([len(scores[i]) for i in part])
+            em = np.zeros((longest, len(part), len(TAGS)), "f4")
+            for j, i in enumerate(part):
+                em[: lengths[j], j] = scores[i]
+            best, came = em[0].copy(), np.empty((longest, len(part), len(TAGS)), "i1")
+            came[:] = np.arange(len(TAGS), dtype="i1")  # beyond a run's end tags stay
+            active = np.searchsorted(-lengths, -np.arange(longest), side="left")
+            for t in range(1, longest):
+                n = active[t]
+                v = best[:n, :, None] + self.p["trans"]
+                came[t, :n] = v.argmax(1)
+                best[:n] = v.max(1) + em[t, :n]
+            tags = np.empty((longest, len(part)), "i1")
+            tags[-1] = best.argmax(1)
+            rows = np.arange(len(part))
+            for t in range(longest - 1, 0, -1):
+                tags[t - 1] = came[t][rows, tags[t]]
+            for j, i in enumerate(part):
+                out[i] = tags[: lengths[j], j]
+        return out
 
 
 # Labelled spans --------------------------------------------------------------------------------------------------
@@ -243,28 +260,41 @@ def card_digits(r: random.Random) -> str:
     return next(d + c for c in "0123456789" if luhn(d + c))
 
 
+#: Sizes of the groups that phone numbers are written in.
+GROUPS = ((3, 4, 2), (4, 4), (3, 2, 2), (2, 2, 2, 2), (3, 3, 2), (7,), (8,))
+
+
 def personal(r: random.Random) -> tuple[str, str]:
     """(kind, string), plain or written in a way that the patterns don't know."""
     kind = r.choice(KINDS)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     if kind == "email":
-        at = r.choice(("@", "@", " @ ", " (at) ", "(at)", " [at] ", "[at]", " at "))
+        at = r.choice(("@", "@", " @ ", " (at) ", "(at)", " [at] ", "[at]", " at ", " at "))
         dot = r.choice((" dot ", " (dot) ", "[dot]", ".")) if "at" in at else "."
         if at == " at ":
-            dot = " dot "
+            dot = r.choice((" dot ", "."))
         return kind, r.choice((word(r), f"{word(r)}.{digits(2)}", f"{word(r)}_{word(r)}")) + at + word(r) + r.choice(("", digits(1))) + dot + r.choice(("com", "org", f"example{dot}com", "net", "de"))
     if kind == "ip":
         return kind, r.choice((".", ".", " . ", "[.]", "(.)", " dot ")).join(str(r.randint(0, 255)) for _ in range(4))
     if kind == "card":
         d, sep = card_digits(r), r.choice(("", " ", "-", ".", "/", "  ", " - "))
         return kind, sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+    if r.random() < 0.3:  # groups of other sizes
+        first = r.choice((f"0{digits(2)}", f"0{digits(3)}", f"00{digits(2)} {digits(2)}", f"00{digits(2)} {digits(3)}", f"({digits(4)})"))
+        return kind, f"{first}{r.choice((' ', '/', ' / ', '-'))}" + r.choice((" ", " ", "-")).join(digits(n) for n in r.choice(GROUPS))
     sep = r.choice((" ", "-", ".", "/", " - "))
     area = r.choice((digits(3), f"({digits(3)})"))
     return kind, r.choice((f"+{digits(1)} ", f"+{digits(2)} ", f"00{digits(2)} ", "", "")) + area + sep + digits(3) + sep + digits(4)
 
 
+#: Words before "at" that are no names.
+AT_WORDS = ("look", "more", "us", "them", "page", "site", "found", "available", "is", "it", "and", "online", "read", "visit", "here", "are", "was", "shop", "or", "me")
+
+
 def harmless(r: random.Random) -> str:
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    if r.random() < 0.12:
+        return f"{r.choice(AT_WORDS)} at {word(r)}.{r.choice(('com', 'org', 'net', 'de'))}"
     return r.choice(
         (
             lambda: f"{r.randint(1900, 2099)}-{digits(2)}-{digits(2)}",
@@ -302,7 +332,7 @@ def labelled_window(r: random.Random) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def trained(steps: int = 350, batch: int = 64, embed: int = 12, hidden: int = 20, seed: int = 11) -> BiLstmCrf:
+def trained(steps: int = 600, batch: int = 64, embed: int = 12, hidden: int = 20, seed: int = 11) -> BiLstmCrf:
     """A network, by Adam on so many generated batches."""
     r, net = random.Random(seed), BiLstmCrf.fresh(embed, hidden, np.random.default_rng(seed))
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -355,7 +385,17 @@ def plausible(kind: str, s: str) -> bool:
 
 def spans_of(texts: list[str], net: BiLstmCrf) -> list[tuple[list, list]]:
     """For each text its base spans, and all spans."""
-    base = [base_spans(t) if TRIGGER.search(t) else [] for t in texts]
+    out, part, size = [], [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size > BATCH_CHARS:
+            out += spans_of_some(part, net)
+            part, size = [], 0
+    return out + spans_of_some(part, net)
+
+
+def spans_of_some(texts: list[str], net: BiLstmCrf) -> list[tuple[list, list]]:
     owners, starts, rows = [], [], []
     for i, t in enumerate(texts):
         found = window_starts(t)
@@ -366,37 +406,75 @@ def spans_of(texts: list[str], net: BiLstmCrf) -> list[tuple[list, list]]:
             owners.append(i)
             starts.append(s)
             rows.append(codes[s : s + WINDOW])
-    labels = [net.decode(np.array(rows[k : k + 1024])) for k in range(0, len(rows), 1024)]
-    tags = np.concatenate(labels) if labels else np.empty((0, WINDOW), "i1")
-    added: dict[int, list] = {}
+    scores = [net.emissions(np.array(rows[k : k + 1024]))[0].transpose(1, 0, 2) for k in range(0, len(rows), 1024)]
+    windows = np.concatenate(scores) if scores else np.empty((0, WINDOW, len(TAGS)), "f4")
+    runs: list[np.ndarray] = []
+    places: list[tuple[int, int]] = []
     k = 0
     while k < len(rows):
         end = k + 1
         while end < len(rows) and owners[end] == owners[k] and starts[end] == starts[end - 1] + STRIDE:
             end += 1
-        # a run of overlapping windows: each character takes the label of the window in whose middle it lies most
-        lo = starts[k]
-        run = np.zeros(starts[end - 1] + WINDOW - lo, "i1")
+        # a run of overlapping windows: each character takes its scores from the window in whose middle it lies most
+        lo, last = starts[k], len(texts[owners[k]])
+        run = np.empty((starts[end - 1] + WINDOW - lo, len(TAGS)), "f4")
         for j in range(k, end):
             a = 0 if j == k else (WINDOW - STRIDE) // 2
-            run[starts[j] - lo + a : starts[j] - lo + WINDOW] = tags[j, a:]
-        text = texts[owners[k]]
-        for s, e, kind in read_off(run):
-            s, e = s + lo, min(e + lo, len(text))
-            while s < e and text[s] in " ,;:.\n|\"'":
-                s += 1
-            while s < e and text[e - 1] in " ,;:.\n|\"'":
-                e -= 1
-            if s < e and plausible(kind, text[s:e]):
-                added.setdefault(owners[k], []).append((s, e, kind))
+            run[starts[j] - lo + a : starts[j] - lo + WINDOW] = windows[j, a:]
+        runs.append(run[: last - lo])
+        places.append((owners[k], lo))
         k = end
+    added: dict[int, list] = {}
+    for (owner, lo), tags in zip(places, net.decode(runs)):
+        text = texts[owner]
+        for s, e, kind in read_off(tags):
+            s, e = trimmed(text, s + lo, e + lo)
+            if kind in ("card", "phone"):
+                s, e = carried_on(kind, text, s, e)
+            if s < e and plausible(kind, text[s:e]):
+                added.setdefault(owner, []).append((s, e, kind))
     out = []
-    for i, own in enumerate(base):
-        new = [x for x in added.get(i, []) if all(x[1] <= s or e <= x[0] for s, e, _ in own)]
+    for i, t in enumerate(texts):
+        own = base_spans(t) if TRIGGER.search(t) else []
+        new: list[tuple[int, int, str]] = []
+        for x in sorted(added.get(i, []), key=lambda x: (x[0], -x[1])):
+            if all(x[1] <= s or e <= x[0] for s, e, _ in new[-1:]):
+                new.append(x)
+        new = apart(new, own)
         out.append((own, sorted(own + new, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))))
     return out
 
 
+def apart(new: list[tuple[int, int, str]], own: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that overlap none of `own`; both are in order of their starts."""
+    out, k, reach = [], 0, 0
+    for x in new:
+        while k < len(own) and own[k][0] < x[1]:
+            reach = max(reach, own[k][1])
+            k += 1
+        if reach <= x[0]:
+            out.append(x)
+    return out
+
+
+def trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+    e = min(e, len(text))
+    while s < e and text[s] in " ,;:.\n|\"'":
+        s += 1
+    while s < e and text[e - 1] in " ,;:.\n|\"'":
+        e -= 1
+    return s, e
+
+
+def carried_on(kind: str, text: str, s: int, e: int) -> tuple[int, int]:
+    """The span, or the whole run of groups of digits that it is part of, if that passes the check; a number is not cut short."""
+    lo = s - len(text[max(0, s - 40) : s]) + len(text[max(0, s - 40) : s].rstrip("0123456789 ()./-+"))
+    for m in DIGITS.finditer(text, lo, min(len(text), e + 40)):
+        if m.start() <= s and e <= m.end():
+            return (m.start(), m.end()) if plausible(kind, m[0]) else (s, e)
+    return s, e
+
+
 def read_off(tags: np.ndarray) -> list[tuple[int, int, str]]:
     """Maximal runs of tags of one kind; a beginning tag inside a run starts another."""
     out: list[tuple[int, int, str]] = []
