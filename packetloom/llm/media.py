@@ -2,7 +2,8 @@
 
 Writing: each task puts its rows into ZIP archives as 8-bit mono WAV members, one sample for each byte, and
 starts a new archive at `archive_bytes`. The files get their final names in the driver's commit, so attempts that
-failed leave nothing that is read.
+failed leave nothing that is read; what they wrote is deleted with the commit, or when the job is given up. The archives of the query lie in the
+application's folder below the shared one, which `session.clear_scratch` removes.
 
 Reading: `media_archive` lists the archives and plans byte ranges of them. A task opens its archive, takes the members
 whose header starts in its range from the archive's directory, and streams them as Arrow batches of bounded
@@ -10,7 +11,8 @@ size. Each member is read by its offset and checked against its CRC; a failed on
 anew, and if it keeps failing it becomes a row with `error` and null `media`, not a failed task.
 
 Null texts are empty; a payload has one block of 64 zero bytes at least; null keys, repeated rows and empty tables are kept
-as they are (one member a row; no archive for an empty table, which reads as no rows).
+as they are (one member a row; no archive for an empty table, which reads as no rows). A text of any length is one member. Other columns of the table are
+not looked at, so their names may clash.
 """
 
 from __future__ import annotations
@@ -132,6 +134,7 @@ class ArchiveWriter(DataSourceWriter):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.archive_bytes = int(options.get("archiveBytes", 128 << 20))
+        self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator) -> Archives:
         store, root = open_store(self.path)
@@ -140,7 +143,7 @@ class ArchiveWriter(DataSourceWriter):
         for member, media in iterator:
             if archive is None:
                 store.create_dir(root)
-                names.append(f"{uuid.uuid4().hex}.zip")
+                names.append(f"{self.job}-{uuid.uuid4().hex}.zip")
                 out = store.open_output_stream(posixpath.join(root, "_" + names[-1]))
                 archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
             archive.writestr(zipfile.ZipInfo(member), media, zipfile.ZIP_DEFLATED, 1)
@@ -153,17 +156,17 @@ class ArchiveWriter(DataSourceWriter):
             out.close()
         return Archives(names)
 
-    def _each(self, messages: list, done: Callable[[pafs.FileSystem, str, str], None]) -> None:
-        store, root = open_store(self.path)
-        for m in messages:
-            for name in m.names if m is not None else ():
-                done(store, posixpath.join(root, "_" + name), posixpath.join(root, name))
-
     def commit(self, messages: list) -> None:
-        self._each(messages, lambda store, was, to: store.move(was, to))
+        store, root = open_store(self.path)
+        for name in (n for m in messages if m is not None for n in m.names):
+            store.move(posixpath.join(root, "_" + name), posixpath.join(root, name))
+        self.abort([])  # what attempts have left that were not counted
 
     def abort(self, messages: list) -> None:
-        self._each(messages, lambda store, was, to: store.delete_file(was))
+        store, root = open_store(self.path)
+        for i in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if posixpath.basename(i.path).startswith(f"_{self.job}-"):
+                store.delete_file(i.path)
 
 
 class ArchiveSource(DataSource):

@@ -8,7 +8,8 @@ counts as the bytes it is written in. No identifiers are made.
 No piece holds a word mark after another character, so words are counted apart and their counts kept.
 The same holds around characters that no longer piece contains (line ends, mostly): the text is cut there.
 
-Nulls count as empty texts, with no tokens; repeated rows give equal rows; an empty table gives an empty table.
+Nulls count as empty texts, with no tokens; repeated rows give equal rows; an empty table gives an empty table. A text of any length is counted
+whole, in time n log n of its longest word. Other columns of the table are not looked at, so their names may clash.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from packetloom.llm.common import documents, whole_text
 
 MARK = "▁"
-#: Counts are kept for so many words in each worker; then the store is emptied.
-KEPT_WORDS = 500_000
+#: Counts are kept for words up to so many bytes in each worker; then the store is emptied.
+KEPT_BYTES = 96 << 20
+#: What an entry of the store takes beside its word.
+ENTRY_BYTES = 150
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -41,6 +44,7 @@ class PieceCounter:
             raise ValueError("pieces that cross words can't be counted word by word")
         self.joined = {c for p in self.scores if len(p) > 1 for c in p}
         self.kept: dict[str, int] = {}
+        self.size = 0
 
     def symbols(self, c: str) -> int:
         """What a character that stays alone counts."""
@@ -99,8 +103,10 @@ class PieceCounter:
                     found += (self.merged("".join(run)) if run else 0) + self.symbols(c)
                     run = []
                 found += self.merged("".join(run)) if run else 0
-            if len(self.kept) > KEPT_WORDS:
+            self.size += len(word) + ENTRY_BYTES
+            if self.size > KEPT_BYTES:
                 self.kept.clear()
+                self.size = len(word) + ENTRY_BYTES
             self.kept[word] = found
         return found
 

@@ -9,7 +9,8 @@ A canonical URL is "." + host + "\\n" + path. In a rule `*` stands for any run o
 stays in the host or in the path, and `**` for any run at all. A rule has to match the whole canonical URL.
 
 Null URLs, and those without "://", have empty host and path, match no rule and are allowed. Repeated rows give
-equal rows; an empty table gives an empty table.
+equal rows; an empty table gives an empty table. Of rules of equal length the first in the list wins. URLs of any length are matched whole, a step for each
+character. Other columns of the table are not looked at, so their names may clash.
 """
 
 from __future__ import annotations
