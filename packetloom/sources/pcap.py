@@ -175,12 +175,13 @@ class PcapWriter(DataSourceWriter):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.names = options["path"], schema.names
         self.snaplen = int(options.get("snapLen", SNAPLEN))
+        self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator) -> Written:
         ts, data = self.names.index("ts_us"), self.names.index("data")
         orig = self.names.index("orig_len") if "orig_len" in self.names else None
         store, root = pafs.FileSystem.from_uri(self.path)
-        out, name = None, f"{uuid.uuid4().hex}.pcap"
+        out, name = None, f"{self.job}-{uuid.uuid4().hex}.pcap"
         for row in iterator:
             if out is None:
                 store.create_dir(root)
@@ -197,11 +198,13 @@ class PcapWriter(DataSourceWriter):
         store, root = pafs.FileSystem.from_uri(self.path)
         for name in (n for m in messages if m for n in m.names):
             store.move(posixpath.join(root, "_" + name), posixpath.join(root, name))
+        self.abort([])  # what attempts have left that were not counted
 
     def abort(self, messages: list) -> None:
         store, root = pafs.FileSystem.from_uri(self.path)
-        for name in (n for m in messages if m for n in m.names):
-            store.delete_file(posixpath.join(root, "_" + name))
+        for i in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if posixpath.basename(i.path).startswith(f"_{self.job}-"):
+                store.delete_file(i.path)
 
 
 class PcapSource(DataSource):
