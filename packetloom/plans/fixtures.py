@@ -80,7 +80,16 @@ def spark_sql(x: str) -> str:
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IPv4 packets of 30 hosts, in both directions; addresses are bigints."""
-    return events(spark, sf_dir).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), *(F.expr(spark_sql(x)).alias(c) for c, x in PACKETS.items()))
+    return as_packets(events(spark, sf_dir))
+
+
+def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`packets` as a stream of files. A pattern, since a stream's path may not be one file."""
+    return as_packets(spark.readStream.schema(events(spark, sf_dir).schema).parquet(f"{sf_dir}/event[s].parquet"))
+
+
+def as_packets(rows: DataFrame) -> DataFrame:
+    return rows.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), *(F.expr(spark_sql(x)).alias(c) for c, x in PACKETS.items()))
 
 
 def of_events(spark: SparkSession, sf_dir: str, x: str, name: str) -> DataFrame:

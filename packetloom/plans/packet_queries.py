@@ -151,6 +151,38 @@ def http_parse(spark, sf_dir):
     return fx.of_pages(spark, sf_dir, fx.HTTP, "m").select("page_id", pr.http_info(F.encode("m", "UTF-8")).alias("i")).select("page_id", "i.*")
 
 
+_ID, _LINE = "cast(page_id as string)", "chr(13), chr(10)"
+#: By page_id % 4: a request with a header in lower case, a response, a line with more words and bare line ends, no HTTP.
+HTTP_KINDS = f"""case page_id % 4 when 0 then concat('POST /p', {_ID}, ' HTTP/1.0', {_LINE}, 'host: h', {_ID}, '  ', {_LINE}, {_LINE}) when 1 then concat('HTTP/1.1 ', cast(200 + page_id % 300 as string), ' Some Text', {_LINE}, 'Host: x', {_LINE}, {_LINE})
+ when 2 then concat('PUT /a b c', chr(10), 'X: y', chr(10), 'Host: late', chr(10), chr(10), 'Host: no') else 'nothing here' end"""
+
+
+@query(
+    Q,
+    "http_kinds",
+    "l:page_id s:method uri version l:status_code s:host",
+    """result as (select page_id, case page_id % 4 when 0 then 'POST' when 1 then '' when 2 then 'PUT' end as method, case page_id % 4 when 0 then '/p' || page_id when 1 then '' when 2 then '/a' end as uri,
+ case page_id % 4 when 0 then 'HTTP/1.0' when 1 then 'HTTP/1.1' when 2 then 'b c' end as version, case page_id % 4 when 1 then 200 + page_id % 300 when 3 then null else 0 end as status_code, case page_id % 4 when 0 then 'h' || page_id when 1 then 'x' when 2 then 'late' end as host from pages)""",
+)
+def http_kinds(spark, sf_dir):
+    return fx.of_pages(spark, sf_dir, HTTP_KINDS, "m").select("page_id", pr.http_info(F.encode("m", "UTF-8")).alias("i")).select("page_id", "i.*")
+
+
+#: Names by pointer: the question points to a name at the end, which points to itself where page_id % 3 = 0.
+DNS_POINTERS = "concat(lpad(hex(page_id % 65536), 4, '0'), '81800001', lpad(hex(page_id % 7), 4, '0'), '00000000', '03777777', 'C014', lpad(hex(page_id % 30), 4, '0'), '0001', case when page_id % 3 = 0 then 'C014' else '076578616D706C6503636F6D00' end)"
+
+
+@query(
+    Q,
+    "dns_pointers",
+    "l:page_id transaction_id b:is_response l:question_count answer_count",
+    "result as (select page_id, page_id % 65536 as transaction_id, true as is_response, 1 as question_count, page_id % 7 as answer_count from pages)",
+)
+def dns_pointers(spark, sf_dir):
+    """Responses whose question's name is compressed; some of the pointers go in circles."""
+    return fx.of_pages(spark, sf_dir, DNS_POINTERS, "h").select("page_id", pr.dns_info(F.unhex("h")).alias("i")).select("page_id", "i.*")
+
+
 @query(Q, "dns_parse", "l:page_id transaction_id b:is_response l:question_count answer_count s:query_name l:query_type", f"{of_pages(fx.URL_HOST, 'host')}, result as (select page_id, page_id % 65536 as transaction_id, false as is_response, 1 as question_count, 0 as answer_count, host as query_name, 1 as query_type from m)")
 def dns_parse(spark, sf_dir):
     return fx.dns(spark, sf_dir).select("page_id", pr.dns_info(F.col("data")).alias("i")).select("page_id", "i.*")
@@ -219,6 +251,14 @@ def snmp_envelope(spark, sf_dir):
     return bytes_of(spark, sf_dir, fx.SNMP).select("event_id", t.snmp_info(F.col("data")).alias("i")).select("event_id", "i.*")
 
 
+SNMP_VERSIONS = fx.SNMP.replace("'0201', '01'", "'0201', lpad(hex(event_id % 4), 2, '0')")
+
+
+@query(Q, "snmp_versions", "l:event_id version s:community", "result as (select event_id, event_id % 4 as version, event_type as community from events)")
+def snmp_versions(spark, sf_dir):
+    return bytes_of(spark, sf_dir, SNMP_VERSIONS).select("event_id", t.snmp_info(F.col("data")).alias("i")).select("event_id", "i.*")
+
+
 # Histories and events
 
 RING_BYTES = 100_000
