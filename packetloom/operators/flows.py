@@ -188,8 +188,8 @@ def lookup(found: DataFrame, src_ip, dst_ip, src_port: int, dst_port: int, proto
 
 def latest(found: DataFrame) -> DataFrame:
     """Each flow's last session: the record that a table of live flows would hold."""
-    newest = found.groupBy(*KEY).agg(F.max("session").alias("session"))
-    return found.join(newest, list(SESSION))
+    newest = F.max("session").over(Window.partitionBy(*KEY))
+    return found.withColumn("_newest", newest).filter("session = _newest").drop("_newest")
 
 
 def active(found: DataFrame, as_of_us: int, idle_us: int = IDLE_US) -> DataFrame:
@@ -204,9 +204,9 @@ def snapshot(found: DataFrame, as_of_us: int, idle_us: int = IDLE_US, most: int
 
 def closed(found: DataFrame, as_of_us: int, idle_us: int = IDLE_US, most: int = MAX_FLOWS) -> DataFrame:
     """Sessions that are no longer in the table as of then, with close_reason: IdleTimeout, or CapacityEviction for live ones that had to go."""
-    live = active(found, as_of_us, idle_us).select(*SESSION, F.lit(True).alias("_live"))
     held = snapshot(found, as_of_us, idle_us, most).select(*SESSION, F.lit(True).alias("_held"))
-    rows = found.join(live, list(SESSION), "left").join(held, list(SESSION), "left").filter("_held is null")
+    newest = F.col("session") == F.max("session").over(Window.partitionBy(*KEY))
+    rows = found.withColumn("_live", newest & (F.lit(as_of_us) - F.col("last_us") <= idle_us)).join(held, list(SESSION), "left").filter("_held is null")
     return rows.withColumn("close_reason", F.when(F.col("_live"), "CapacityEviction").otherwise("IdleTimeout")).drop("_live", "_held")
 
 
