@@ -54,9 +54,9 @@ def enabled(packets: DataFrame, on: dict[str, bool] | None = None) -> DataFrame:
 
 def packet_counts(packets: DataFrame, on: dict[str, bool] | None = None) -> DataFrame:
     """(protocol, n): packets of each tag whose dissector is on; malformed frames count as `malformed`."""
-    good = enabled(packets.filter(~F.col("malformed")), on).select("protocol")
-    bad = packets.filter("malformed").select(F.lit("malformed").alias("protocol"))
-    return good.unionByName(bad).groupBy("protocol").agg(F.count(F.lit(1)).alias("n"))
+    # malformed frames have no tag, so no switch leaves them out
+    tag = F.when(F.col("malformed"), "malformed").otherwise(F.col("protocol"))
+    return enabled(packets, on).groupBy(tag.alias("protocol")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def with_addresses(packets: DataFrame) -> DataFrame:
