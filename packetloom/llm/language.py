@@ -34,7 +34,7 @@ UNKNOWN = "und"
 TOTAL_CHARS = 120_000
 DOC_CHARS = 600
 #: Texts of a batch that are parsed together, in characters.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 4_000_000
 #: So few lanes are walked one by one.
 FEW_LANES = 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -140,7 +140,7 @@ class CrossParser:
         self.labels = sorted(texts)
         letters = sorted({c for t in texts.values() for c in t if LETTER.match(c)})
         self.width = len(letters) + 2
-        self.symbols = np.zeros(0x110000, "u4")
+        self.symbols = np.zeros(0x110000, "u2" if self.width < 1 << 16 else "u4")
         for m in LETTERS.finditer("".join(map(chr, [*range(0xD800), *([0] * 0x800), *range(0xE000, 0x110000)]))):
             self.symbols[m.start() : m.end()] = 1
         for k, c in enumerate(letters):
@@ -169,7 +169,7 @@ class CrossParser:
         lengths = np.array([len(c) for c in codes], "i8")
         order = np.argsort(-lengths, kind="stable")  # the lanes that are still walked come first
         begin = (np.cumsum(lengths) - lengths)[order]
-        flat = np.concatenate(codes) if codes else np.empty(0, "u4")
+        flat = np.concatenate(codes) if codes else np.empty(0, "u2")
         k = len(self.labels)
         state = np.repeat(self.starts[:, None], len(texts), axis=1)
         counts = np.zeros((k, len(texts)), "i8")
@@ -204,22 +204,29 @@ class CrossParser:
                 n += 1
         return n
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """The language, and how clear it is: the share of the winner when shares fall with the phrases needed."""
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """The language, how clear it is (the share of the winner when shares fall with the phrases needed), and its phrases a character."""
         if not self.labels:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        out: list[tuple[str, float]] = []
-        part: list[str] = []
+            return [(UNKNOWN, 0.0, 1.0)] * len(texts)
+        lowered = ["" if t is None else t.lower() for t in texts]
+        out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 1.0)] * len(texts)
+        part: list[int] = []
         size = 0
-        for t in texts:
-            part.append("" if t is None else t.lower())
-            size += len(part[-1])
+        # long texts together, so that their steps are shared
+        for i in sorted(range(len(texts)), key=lambda i: -len(lowered[i])):
+            part.append(i)
+            size += len(lowered[i])
             if size > BATCH_CHARS:
-                out += self._predicted(part)
+                self._place(out, lowered, part)
                 part, size = [], 0
-        return out + self._predicted(part)
+        self._place(out, lowered, part)
+        return out
+
+    def _place(self, out: list, lowered: list[str], part: list[int]) -> None:
+        for i, x in zip(part, self._predicted([lowered[i] for i in part])):
+            out[i] = x
 
-    def _predicted(self, lowered: list[str]) -> list[tuple[str, float]]:
+    def _predicted(self, lowered: list[str]) -> list[tuple[str, float, float]]:
         if not lowered:
             return []
         counts, lengths = self.phrases(lowered)
@@ -227,11 +234,11 @@ class CrossParser:
         out = []
         for t, r in zip(lowered, rates):
             if not LETTER.search(t):
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, 1.0))
                 continue
             k = int(np.argmin(r))
             weights = np.exp(-20 * (r / r[k] - 1))
-            out.append((self.labels[k], float(1 / weights.sum())))
+            out.append((self.labels[k], float(1 / weights.sum()), float(r[k])))
         return out
 
 
@@ -247,20 +254,21 @@ def parser(texts: dict[str, str]) -> CrossParser:
     return _LOADED[key][1]
 
 
-def identify(df: DataFrame, sample: dict[str, str], text: str = "text", lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """`df` with the predicted language and its score; the parser is made from `sample` in each worker."""
-    at = df.columns.index(text)
-    names = [c for c in df.columns if c not in (lang, score)]
-    inner = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(names)], df[df.columns[at]].cast("string").alias("text_"))
+def identify(df: DataFrame, sample: dict[str, str], text: str = "text", lang: str = "lang_pred", score: str = "lang_score", rate: str | None = None) -> DataFrame:
+    """`df` with the predicted language and its score, and the phrases that it needs a character if `rate` is given; the parser is made from `sample` in each worker."""
+    results = [lang, score, *([rate] if rate else [])]
+    names = [c for c in df.columns if c not in results]
+    inner = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(names)], df[text].cast("string").alias("text_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(len(names)).to_pylist()
-            found = parser(sample).predict(texts)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*b.schema.names[:-1], "lang_pred_", "score_"])
+            found = parser(sample).predict(b.column(len(names)).to_pylist())
+            made = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], "lang_", "score_", "rate_"])
 
-    out = inner.mapInArrow(run, ",".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(inner.schema.fields[:-1])), "lang_pred_ string", "score_ double"]))
-    return out.toDF(*names, lang, score)
+    kept = ",".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(inner.schema.fields[:-1])), "lang_ string", "score_ double", "rate_ double"])
+    out = inner.mapInArrow(run, kept)
+    return (out if rate else out.drop("rate_")).toDF(*names, *results)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ WINDOW = 64
 STRIDE = 32
 MARGIN = 28
 #: Characters of texts whose windows are scored together.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 
 
 def luhn(digits: str) -> bool:
@@ -224,7 +224,7 @@ class BiLstmCrf:
         lo = 0
         while lo < len(order):
             longest = len(scores[order[lo]])
-            part = order[lo : lo + max(1, 400_000 // longest)]
+            part = order[lo : lo + max(1, 200_000 // longest)]
             lo += len(part)
             lengths = np.array([len(scores[i]) for i in part])
             em = np.zeros((longest, len(part), len(TAGS)), "f4")
