@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.session import scratch, written
 
-__all__ = ["documents", "scratch", "whole_text", "written"]
+__all__ = ["documents", "scratch", "slices", "whole_text", "written"]
+#: Rows of an Arrow batch that become Python objects at once.
+SLICE_ROWS = 2_500
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that a worker holds few rows as Python objects."""
+    for b in batches:
+        for k in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(k, SLICE_ROWS)
 
 
 def whole_text(df: DataFrame, text: str = "text") -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import documents, written
+from packetloom.llm.common import documents, slices, written
 
 UNKNOWN = "und"
 #: Bounds of the labelled sample, in characters.
@@ -158,7 +158,7 @@ class CrossParser:
         for k, s in enumerate(starts):
             for c, t in moves[s].items():
                 self.first[k, c] = numbers[t]
-        self.entries: list[int] = []
+        self.entries = memoryview(self.table)
 
     def codes(self, text: str) -> np.ndarray:
         return self.symbols[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
@@ -193,7 +193,6 @@ class CrossParser:
 
     def walk(self, label: int, state: int, symbols: list[int]) -> int:
         """The phrases that begin within the symbols."""
-        self.entries = self.entries or self.table.tolist()
         entries, first, n = self.entries, self.first[label].tolist(), 0
         for c in symbols:
             entry = entries[state + c]
@@ -261,7 +260,7 @@ def identify(df: DataFrame, sample: dict[str, str], text: str = "text", lang: st
     inner = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(names)], df[text].cast("string").alias("text_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = parser(sample).predict(b.column(len(names)).to_pylist())
             made = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], "lang_", "score_", "rate_"])

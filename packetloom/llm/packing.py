@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import documents, whole_text, written
+from packetloom.llm.common import documents, slices, whole_text, written
 from packetloom.llm.wordbpe import WordBpe, spread
 
 END_ID = 2
@@ -202,7 +202,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_i
             _LOADED[path] = Ids(path)
         v, seen, part = _LOADED[path], np.zeros(capacity + 1, "i8"), TaskContext.get().partitionId()
         end = END_ID.to_bytes(4, "little")
-        for b in batches:
+        for b in slices(batches):
             rows = []
             keys = b.column(0).to_pylist()
             for k, ids in zip(keys, v.encode_all(b.column(1).to_pylist())):

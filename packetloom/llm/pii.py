@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm.common import documents, whole_text
+from packetloom.llm.common import documents, slices, whole_text
 
 # The kinds in the order that ties take, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -500,7 +500,7 @@ def find(df: DataFrame, net: BiLstmCrf, key: str = "doc_id", text: str = "text")
     """(key, counts of base spans, base_sha256, spans) of each row of `df`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = spans_of(b.column(1).to_pylist(), net)
             counts = [pa.array([sum(x[2] == k for x in own) for own, _ in found], pa.int64()) for k in KINDS]
             sha = pa.array([hashlib.sha256(joined(own).encode()).hexdigest() for own, _ in found], pa.string())
@@ -517,7 +517,7 @@ def mask(df: DataFrame, net: BiLstmCrf, text: str = "text") -> DataFrame:
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at).to_pylist()
             found = spans_of([t or "" for t in texts], net)
             out = [None if t is None else masked(t, spans) for t, (_, spans) in zip(texts, found)]

@@ -296,7 +296,7 @@ def test_language_stage_rejects_noise(spark):
     good = "this is a calm day and people walk in the park near the river "
     r = random.Random(3)
     noise = ["".join(r.choice("qxzjkvw") for _ in range(300)), "日本語のテキスト" * 20, "1234 +- " * 20, "a1b2c3d4" * 40]
-    rows = [(k, good * 3 + f"w{k}", "en", "web", 5) for k in range(40)] + [(100 + k, t, None, "web", 5) for k, t in enumerate(noise)] + [(200, "q", None, "web", 1), (201, "日本", None, "web", 2)]
+    rows = [(k, good * 12 + f"w{k}", "en", "web", 5) for k in range(40)] + [(100 + k, t, None, "web", 5) for k, t in enumerate(noise)] + [(200, "q", None, "web", 1), (201, "日本", None, "web", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {x.doc_id for x in corpus_pipeline.drop_without_language(spark, docs, "").collect()}
     assert kept >= {*range(40), 200, 201} and not kept & {100, 101, 102}
