@@ -5,6 +5,7 @@ from __future__ import annotations
 from packetloom.llm.hilbert import op1_nearest
 from packetloom.llm.language import op8_language
 from packetloom.llm.media import op2_media
+from packetloom.llm.oneperm import op11_fingerprints
 from packetloom.llm.packing import op10_pack
 from packetloom.llm.pii import op3_pii
 from packetloom.llm.piececount import op7_token_counts
@@ -15,6 +16,6 @@ from packetloom.llm.wordbpe import op6_bpe_codec
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_nearest, op2_media, op3_pii, op4_simhash, op5_toxicity, op6_bpe_codec, op7_token_counts, op8_language, op9_url_filter, op10_pack)
+    for f in (op1_nearest, op2_media, op3_pii, op4_simhash, op5_toxicity, op6_bpe_codec, op7_token_counts, op8_language, op9_url_filter, op10_pack, op11_fingerprints)
 }
 SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
