@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from packetloom.llm.hardnegatives import OP12_SQL, op12_hard_negatives
 from packetloom.llm.hilbert import op1_nearest
 from packetloom.llm.language import op8_language
 from packetloom.llm.media import op2_media
@@ -16,6 +17,6 @@ from packetloom.llm.wordbpe import op6_bpe_codec
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_nearest, op2_media, op3_pii, op4_simhash, op5_toxicity, op6_bpe_codec, op7_token_counts, op8_language, op9_url_filter, op10_pack, op11_fingerprints)
+    for f in (op1_nearest, op2_media, op3_pii, op4_simhash, op5_toxicity, op6_bpe_codec, op7_token_counts, op8_language, op9_url_filter, op10_pack, op11_fingerprints, op12_hard_negatives)
 }
-SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
+SQL: dict[str, str] = {"op9_url_filter": OP9_SQL, "op12_hard_negatives": OP12_SQL}
