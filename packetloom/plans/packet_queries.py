@@ -129,9 +129,10 @@ def frame_verdicts(spark, sf_dir):
 
 @query(Q, "pcap_round_trip", "l:ts_us cap_len orig_len s:hex", f"{FR}, result as (select ts_us, length(h) // 2 as cap_len, length(h) // 2 as orig_len, h as hex from fr)")
 def pcap_round_trip(spark, sf_dir):
+    """Frames as files, read in ranges that are smaller than these."""
     path = scratch(spark, "pcap")
     write_pcap(fx.frames(spark, sf_dir), path)
-    return read_pcap(spark, path).withColumn("hex", F.hex("data"))
+    return read_pcap(spark, path, rangeBytes=100_000).withColumn("hex", F.hex("data"))
 
 
 @query(Q, "capture_stats", "l:received dropped dropped_bytes truncated", f"{FR}, result as (select count(*) as received, 0 as dropped, 0 as dropped_bytes, count(*) filter (where length(h) // 2 > 60) as truncated from fr)")

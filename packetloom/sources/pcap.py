@@ -1,21 +1,27 @@
-"""PCAP files as a Spark data source, to read and to write, in batch and as a stream of files.
+"""PCAP files as a Spark data source, to read and to write, in batch and as a stream of files that arrive or still grow.
 
-Reading: files are cut into byte ranges, each a partition, so that neither a file's size nor the size of what a task holds grows. A range takes the records that
-begin in it. Its first one is found by looking for a run of sound record headers; so is the next one after a damaged place, which leaves a
-row of its own, with `error`, no data, and the bytes that were passed over as cap_len. Both byte orders, and microseconds or nanoseconds, are
-understood; a cut last record ends a file, and a file of another kind has no rows.
+A record's place is known only from the record before it. `read_pcap` cuts files into byte ranges nevertheless: each range finds, for every place in it where a record could begin, where the chain of headers from there leaves the range
+(`Capture.exits`). These maps are small, since nearly all chains run into the same one; following them from the file's first record on, a row for each range, gives each range its true start, whatever packets hold.
+So the rows are those of a parser that reads the file from its beginning, which is also what the plain source does: there each file is a partition, read in blocks.
+
+A header that can't be right (the part of its second, or a size over LARGEST_RECORD) is a damaged place. It leaves a row of its own, with `error`, no data, and the bytes that were passed over as cap_len. Reading goes on at the next run of
+RUN headers that are plausible and whose times lie near each other; only there, after damage, records without any non-zero field, and those before such a run, may be passed over. So is a record that ends behind the file's end,
+and the last one if it is cut; a cut header ends a file, and a file of another kind has no rows. Both byte orders, and microseconds or nanoseconds, are understood.
+
+The stream source's offset is, for each file, the byte up to which its records are whole. The driver walks the headers that were added to find it; tasks read ranges of whole records, so that each record
+comes once, also after a restart (after which the driver walks over a file's headers anew).
 
 Writing: each task writes one file of its rows in the order in which they come; files get their names in the driver's commit.
 
-Rows: ts_us, orig_len, cap_len, data, error. On writing null data is an empty packet and a null time is 0.
+Rows: ts_us, orig_len, cap_len, data, error. On writing null data is an empty packet, a null time is 0 and a null length the packet's own.
 """
 
 from __future__ import annotations
 
 import posixpath
-import re
 import struct
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
@@ -25,9 +31,11 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from packetloom.session import written
+
 # The file format.
 MAGIC_US, MAGIC_NS = 0xA1B2C3D4, 0xA1B23C4D
 VERSION = (2, 4)
@@ -37,10 +45,16 @@ BATCH_BYTES = 4 << 20
 #: A record header that says more is damaged.
 LARGEST_RECORD = 1 << 26
 RANGE_BYTES = 64 << 20
+#: Tasks that ranges are dealt to.
+MOST_TASKS = 20_000
+#: Bytes of a range whose chains are followed at once.
+MAP_BYTES = 8 << 20
 #: Bytes that are read at once.
 BLOCK = 1 << 22
-#: Sound headers in a row that make a place the start of a record, and how far their times may lie from the file's first.
-SOUND_RUN, SOUND_SECS = 8, 400 * 86_400
+#: After damage: plausible headers in a row that make a place the start of a record, and how far the times of two of them may lie from each other.
+RUN, NEAR_SECS = 5, 400 * 86_400
+#: A place that isn't known yet: the first run of plausible headers from here on.
+SEARCH = -1
 
 
 def file_header(snaplen: int = SNAPLEN) -> bytes:
@@ -49,22 +63,40 @@ def file_header(snaplen: int = SNAPLEN) -> bytes:
 
 def record(ts_us: int | None, data: bytes | None, orig_len: int | None = None) -> bytes:
     data = data or b""
-    return struct.pack("<IIII", (ts_us or 0) // 1_000_000, (ts_us or 0) % 1_000_000, len(data), orig_len or len(data)) + data
+    return struct.pack("<IIII", (ts_us or 0) // 1_000_000, (ts_us or 0) % 1_000_000, len(data), len(data) if orig_len is None else orig_len) + data
+
+
+@dataclass
+class Exits:
+    """Where chains of headers leave a range of bytes, by where they enter it (SEARCH: nowhere, they end in damage). Places in `own` have exits of their own; any other leaves where the next one in `runs` after it does."""
+
+    runs: list[int]
+    run_exits: list[int]
+    own: list[int]
+    own_exits: list[int]
+
+    def of(self, at: int) -> int:
+        k = bisect_left(self.own, at)
+        return self.own_exits[k] if k < len(self.own) and self.own[k] == at else self.after(at)
+
+    def after(self, at: int) -> int:
+        """Of the first run that begins after this place."""
+        k = bisect_right(self.runs, at)
+        return self.run_exits[k] if k < len(self.runs) else SEARCH
 
 
 class Capture:
-    """An open PCAP file of known size. `order` is None if it is no PCAP file."""
+    """An open PCAP file of known size. `order` is None if it is no PCAP file. whole: nothing will be added behind that size."""
 
-    def __init__(self, f: BinaryIO, size: int):
-        self.f, self.size, self.at, self.block = f, size, 0, b""
+    def __init__(self, f: BinaryIO, size: int, whole: bool = True):
+        self.f, self.size, self.whole, self.at, self.block = f, size, whole, 0, b""
         head = self.bytes(0, 24)
         self.order = next((o for o in "<>" if len(head) == 24 and struct.unpack(o + "I", head[:4])[0] in (MAGIC_US, MAGIC_NS)), None)
         if self.order:
             self.unit = 1 if struct.unpack(self.order + "I", head[:4])[0] == MAGIC_US else 1000
-            first = self.header(24)
-            self.first_secs = first[0] if first else 0
 
     def bytes(self, at: int, n: int) -> bytes:
+        n = max(0, min(n, self.size - at))
         if not self.at <= at <= at + n <= self.at + len(self.block):
             self.f.seek(at)
             self.at, self.block = at, self.f.read(max(n, BLOCK))
@@ -78,64 +110,122 @@ class Capture:
     def sound(self, h: tuple[int, int, int, int]) -> bool:
         return h[1] < 1_000_000 * self.unit and h[2] <= LARGEST_RECORD
 
-    def starts(self, at: int) -> bool:
-        """Whether a run of sound headers, or what is left of the file, begins here."""
-        for k in range(SOUND_RUN):
+    def run(self, at: int, secs: int | None = None) -> int:
+        """How many plausible headers, RUN at most, follow each other from here on; the file's end makes up for those that are missing. secs: the time of the header before."""
+        for k in range(RUN):
             h = self.header(at)
             if h is None:
-                return k > 0
-            if not self.sound(h) or not 0 < h[2] <= h[3] <= LARGEST_RECORD or abs(h[0] - self.first_secs) > SOUND_SECS:
-                return False
-            at += 16 + h[2]
-        return True
-
-    def next_start(self, at: int) -> int | None:
-        """The first place from `at` on where a record begins."""
-        kind = np.dtype(self.order + "u4")
-        while at + 16 <= self.size:
-            raw = np.frombuffer(self.bytes(at, min(BLOCK, self.size - at)), "u1")
-            n = len(raw) - 15
-            field = lambda k: np.lib.stride_tricks.as_strided(raw[k:], (n, 4), (1, 1)).copy().view(kind)[:, 0].astype("i8")  # noqa: B023, E731
-            secs, part, size, orig = (field(k) for k in (0, 4, 8, 12))
-            for k in np.flatnonzero((part < 1_000_000 * self.unit) & (size > 0) & (size <= orig) & (orig <= LARGEST_RECORD) & (np.abs(secs - self.first_secs) <= SOUND_SECS)).tolist():
-                if self.starts(at + k):
+                return RUN if self.whole and self.size - 16 < at <= self.size and (k or secs is not None) else k
+            if not self.sound(h) or h[3] > LARGEST_RECORD or not any(h) or (secs is not None and abs(h[0] - secs) > NEAR_SECS):
+                return k
+            secs, at = h[0], at + 16 + h[2]
+        return RUN
+
+    def fields(self, begin: int, n: int) -> tuple[np.ndarray, ...]:
+        """The four numbers of a header at each of n places."""
+        raw = np.frombuffer(self.bytes(begin, n + 15), "u1").astype("u4")
+        shifts = (0, 8, 16, 24) if self.order == "<" else (24, 16, 8, 0)
+        word = sum(raw[k : len(raw) - 3 + k] << np.uint32(s) for k, s in enumerate(shifts))
+        return tuple(word[k : k + n] for k in (0, 4, 8, 12))
+
+    def next_start(self, at: int, stop: int | None = None) -> int | None:
+        """The first place from `at` on, before `stop`, where a run of headers begins."""
+        stop = self.size - 15 if stop is None else min(stop, self.size - 15)
+        while at < stop:
+            n = min(BLOCK, stop - at)
+            secs, part, size, orig = self.fields(at, n)
+            for k in np.flatnonzero((part < 1_000_000 * self.unit) & (size <= LARGEST_RECORD) & (orig <= LARGEST_RECORD) & (secs | part | size | orig > 0)).tolist():
+                if self.run(at + k) == RUN:
                     return at + k
             at += n
         return None
 
-    def records(self, begin: int, end: int) -> Iterator[tuple[int, int, int, bytes | None, str | None]]:
-        """Rows of the records that begin in this range of bytes."""
+    def exits(self, begin: int, end: int) -> Exits:
+        """Where the chains from all places of this range leave it."""
+        n = max(0, min(end, self.size - 15) - begin)
+        secs, part, size, orig = (x.astype("i8") for x in self.fields(begin, n)) if n else [np.empty(0, "i8")] * 4
+        place = np.flatnonzero((part < 1_000_000 * self.unit) & (size <= np.minimum(LARGEST_RECORD, self.size - begin - 16 - np.arange(n))))
+        secs, orig, blank = secs[place], orig[place], (secs | part | size | orig)[place] == 0
+        to = place + 16 + size[place]
+        del part, size
+        at = np.searchsorted(place, to)
+        inside = to < n
+        goes = inside & (place[np.minimum(at, len(place) - 1)] == to) if len(place) else inside
+        at = np.where(goes, at, 0)
+        # runs: as many plausible headers in a row as count
+        good = (orig <= LARGEST_RECORD) & ~blank
+        length = good.astype("i1")
+        near = goes & (np.abs(secs[at] - secs) <= NEAR_SECS) if len(place) else goes
+        beyond = np.zeros(len(place), "i1")
+        for k in np.flatnonzero(good & ~inside).tolist():
+            beyond[k] = min(RUN - 1, self.run(begin + int(to[k]), int(secs[k])))
+        for _ in range(RUN - 1):
+            length = np.where(good, 1 + np.minimum(RUN - 1, np.where(near, length[at], beyond)), 0).astype("i1")
+        runs = np.flatnonzero(length >= RUN)
+        # each place goes on to another, or ends: outside, or in damage
+        after = np.searchsorted(place[runs], to, side="right")
+        found = ~goes & inside & (after < len(runs))
+        index = np.arange(len(place))
+        jump = np.where(goes, at, index)
+        jump[found] = runs[after[found]]
+        exits = np.where(inside, SEARCH, begin + to)
+        while not np.array_equal(further := jump[jump], jump):
+            jump = further
+        exits = exits[jump]
+        starts, of_runs = place[runs], exits[runs]
+        last = np.flatnonzero(np.append(of_runs[1:] != of_runs[:-1], True)) if len(runs) else np.empty(0, "i8")  # of runs in a row that leave at one place the last is enough
+        after = np.searchsorted(starts[last], place, side="right")
+        usual = np.append(of_runs[last], SEARCH)[after]
+        own = exits != usual
+        return Exits((begin + starts[last]).tolist(), of_runs[last].tolist(), (begin + place[own]).tolist(), exits[own].tolist())
+
+    def steps(self, at: int, end: int) -> Iterator[tuple[int, tuple[int, int, int, int] | None, int]]:
+        """(place, header, next place) of the records that begin from `at` on and before `end`; the header is None at a damaged place. A record that ends behind the file's end is damaged too, or cut if
+        nothing sound follows; a file that isn't whole ends before it, and before damage that nothing sound follows yet."""
+        while at < end and (h := self.header(at)):
+            to = at + 16 + h[2]
+            if self.sound(h) and to <= self.size:
+                yield at, h, to
+            elif self.sound(h) and not self.whole:
+                return
+            else:
+                found = self.next_start(at + 1)
+                if found is None and not self.whole:
+                    return
+                to = found or self.size
+                yield at, None, to
+            at = to
+
+    def records(self, start: int, begin: int, end: int) -> Iterator[tuple[int | None, int | None, int, bytes | None, str | None]]:
+        """Rows of the records that begin in this range of bytes; `start` is the place of the first of them, or SEARCH."""
         if not self.order:
             return
-        at = 24 if begin <= 24 else self.next_start(begin)
-        while at is not None and at < end and (h := self.header(at)):
-            secs, part, size, orig = h
-            if not self.sound(h):
-                found = self.next_start(at + 1)
-                yield None, None, (self.size if found is None else found) - at, None, f"damaged record at byte {at}"
-                at = found
-                continue
-            data = self.bytes(at + 16, size)
-            if len(data) < size:
-                return
-            yield secs * 1_000_000 + part // self.unit, orig, size, data, None
-            at += 16 + size
+        if start == SEARCH:
+            found = self.next_start(begin, end)
+            start = end if found is None else found
+        for at, h, to in self.steps(start, end):
+            if h is None:
+                yield None, None, to - at, None, f"damaged record at byte {at}"
+            else:
+                yield h[0] * 1_000_000 + h[1] // self.unit, h[3], h[2], self.bytes(at + 16, h[2]), None
 
 
 @dataclass
 class File(InputPartition):
-    """A range of bytes of a file."""
+    """A range of bytes of a file of this size, and where its first record is."""
 
     path: str
     size: int = 0
     begin: int = 0
     end: int = 0
+    start: int = 24
+    whole: bool = True
 
 
 def batches(store: pafs.FileSystem, part: File) -> Iterator[pa.RecordBatch]:
     with store.open_input_file(part.path) as f:
         rows, size = [], 0
-        for r in Capture(f, part.size).records(part.begin, part.end):
+        for r in Capture(f, part.size, part.whole).records(part.start, part.begin, part.end):
             rows.append(r)
             size += len(r[3] or b"")
             if size >= BATCH_BYTES or len(rows) >= 10_000:
@@ -145,27 +235,90 @@ def batches(store: pafs.FileSystem, part: File) -> Iterator[pa.RecordBatch]:
             yield batch(rows)
 
 
+def listed(path: str) -> list[tuple[str, int]]:
+    """Path and size of each file at or below `path`, hidden ones left out."""
+    store, root = pafs.FileSystem.from_uri(path)
+    here = store.get_file_info(root)
+    found = [here] if here.is_file else store.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True))
+    return sorted((i.path, i.size) for i in found if i.is_file and not posixpath.basename(i.path).startswith(("_", ".")))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     names: list[str]
 
 
 class PcapReader(DataSourceReader):
+    """Each file is a partition."""
+
     def __init__(self, options: dict):
-        self.path, self.range_bytes = options["path"], int(options.get("rangeBytes", RANGE_BYTES))
+        self.path = options["path"]
 
     def partitions(self) -> list[File]:
-        store, root = pafs.FileSystem.from_uri(self.path)
-        here = store.get_file_info(root)
-        found = [here] if here.is_file else store.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True))
-        files = [i for i in found if i.is_file and not posixpath.basename(i.path).startswith(("_", "."))]
-        return [File(i.path, i.size, at, min(i.size, at + self.range_bytes)) for i in files for at in range(0, i.size, self.range_bytes)] or [File("")]
+        return [File(path, size, 24, size) for path, size in listed(self.path)] or [File("")]
 
     def read(self, partition: File) -> Iterator[pa.RecordBatch]:
         if partition.path:
             yield from batches(pafs.FileSystem.from_uri(self.path)[0], partition)
 
 
+class PcapStreamReader(DataSourceStreamReader):
+    """What was added to files, as whole records. An offset is the byte up to which each file was read."""
+
+    def __init__(self, options: dict):
+        self.path, self.range_bytes = options["path"], int(options.get("rangeBytes", RANGE_BYTES))
+        self.most = int(options["bytesPerTrigger"]) if "bytesPerTrigger" in options else None
+        self.read_to: dict[str, int] = {}
+        #: For each file the places where its ranges of whole records end.
+        self.cuts: dict[str, list[int]] = {}
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def walk(self, path: str, begin: int, size: int, most: int | None = None) -> list[int]:
+        """Ends of ranges of whole records from `begin` on, each of about range_bytes; with `most`, no more than about so many bytes."""
+        cuts, at = [], begin
+        with pafs.FileSystem.from_uri(self.path)[0].open_input_file(path) as f:
+            capture = Capture(f, size, False)
+            if capture.order:
+                for at, _, to in capture.steps(begin, size if most is None else min(size, begin + most)):
+                    at = to
+                    if to - (cuts[-1] if cuts else begin) >= self.range_bytes:
+                        cuts.append(to)
+        return [*cuts, at] if at > (cuts[-1] if cuts else begin) else cuts
+
+    def latestOffset(self) -> dict:
+        left = self.most
+        for path, size in listed(self.path):
+            begin = self.read_to.get(path, 24)
+            if size > begin and (left is None or left > 0):
+                cuts = self.walk(path, begin, size, left)
+                self.cuts.setdefault(path, []).extend(cuts)
+                if cuts:
+                    self.read_to[path] = cuts[-1]
+                    left = None if left is None else left - (cuts[-1] - begin)
+        return dict(self.read_to)
+
+    def partitions(self, start: dict, end: dict) -> list[File]:
+        out = []
+        for path, to in end.items():
+            begin = start.get(path, 24)
+            if to > begin:
+                known = self.cuts.get(path, [])
+                # planned by a reader before this one: the same places, found again
+                cuts = [c for c in known if begin < c <= to] if to in known and (begin in known or begin == 24) else self.walk(path, begin, to)
+                self.read_to[path] = max(to, self.read_to.get(path, 24))
+                out += [File(path, to, a, b, a, False) for a, b in zip([begin, *cuts], cuts)]
+        return out
+
+    def read(self, partition: File) -> Iterator[pa.RecordBatch]:
+        yield from batches(pafs.FileSystem.from_uri(self.path)[0], partition)
+
+    def commit(self, end: dict) -> None:
+        for path, to in end.items():
+            self.cuts[path] = [c for c in self.cuts.get(path, []) if c >= to]
+
+
 def batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["ts_us", "orig_len", "cap_len", "data", "error"])
@@ -188,7 +341,8 @@ class PcapWriter(DataSourceWriter):
                 out = store.open_output_stream(posixpath.join(root, "_" + name), buffer_size=1 << 20)
                 out.write(file_header(self.snaplen))
             raw = bytes(row[data] or b"")
-            out.write(record(row[ts], raw[: self.snaplen], (row[orig] if orig is not None else None) or len(raw)))
+            length = None if orig is None else row[orig]
+            out.write(record(row[ts], raw[: self.snaplen], len(raw) if length is None else length))
         if out is None:
             return Written([])
         out.close()
@@ -208,7 +362,7 @@ class PcapWriter(DataSourceWriter):
 
 
 class PcapSource(DataSource):
-    """format("pcap"); options path and rangeBytes."""
+    """format("pcap"); options path, and rangeBytes and bytesPerTrigger of streams."""
 
     @classmethod
     def name(cls) -> str:
@@ -220,13 +374,68 @@ class PcapSource(DataSource):
     def reader(self, schema: StructType) -> PcapReader:
         return PcapReader(self.options)
 
+    def streamReader(self, schema: StructType) -> PcapStreamReader:
+        return PcapStreamReader(self.options)
+
     def writer(self, schema: StructType, overwrite: bool) -> PcapWriter:
         return PcapWriter(self.options, schema)
 
 
-def read_pcap(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def mapped(rows: DataFrame, path: str, map_bytes: int) -> DataFrame:
+    """(path, size, begin, end, part, runs, run_exits, own, own_exits): the `Exits` of each piece of each range, in rows of ranges (path, size, begin, end)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = pafs.FileSystem.from_uri(path)[0]
+        for b in parts:
+            for r in b.to_pylist():
+                with store.open_input_file(r["path"]) as f:
+                    capture = Capture(f, r["size"])
+                    for at in range(r["begin"], r["end"], map_bytes) if capture.order else ():
+                        x = capture.exits(at, min(r["end"], at + map_bytes))
+                        yield pa.RecordBatch.from_pylist([r | {"part": at, "runs": x.runs, "run_exits": x.run_exits, "own": x.own, "own_exits": x.own_exits}], MAPPED)
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {'string' if f.name == 'path' else 'array<long>' if pa.types.is_list(f.type) else 'long'}" for f in MAPPED))
+
+
+MAPPED = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("size", "begin", "end", "part")), *((c, pa.list_(pa.int64())) for c in ("runs", "run_exits", "own", "own_exits"))])
+STARTED = "path string, size long, begin long, end long, start long"
+
+
+def started(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of files, each file's maps in order, with the place of their first record, if a record begins there or may."""
+    path, at = None, 24
+    for b in parts:
+        out = []
+        for r in b.to_pylist():
+            if r["path"] != path:
+                path, at = r["path"], 24
+            if r["part"] == r["begin"] and (at == SEARCH or at < r["end"]):
+                out.append({c: r[c] for c in ("path", "size", "begin", "end")} | {"start": at})
+            if at == SEARCH or at < min(r["end"], r["next"]):
+                x = Exits(r["runs"], r["run_exits"], r["own"], r["own_exits"])
+                at = x.after(r["part"] - 1) if at == SEARCH else x.of(at)
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("size", "begin", "end", "start"))]))
+
+
+def read_pcap(spark: SparkSession, path: str, rangeBytes: int | str = RANGE_BYTES, map_bytes: int = MAP_BYTES) -> DataFrame:
+    """The packets of the files at or below `path`. Files larger than `rangeBytes` are read in ranges of so many bytes, whose starts are found first, by a pass over the files."""
     spark.dataSource.register(PcapSource)
-    return spark.read.format("pcap").option("path", path).options(**options).load()
+    step, files = int(rangeBytes), listed(path)
+    if all(size <= step for _, size in files):
+        return spark.read.format("pcap").option("path", path).load()
+    rows = [(p, size, at, min(size, at + step)) for p, size in files for at in range(0, size, step)]
+    ranges = spark.createDataFrame(rows, "path string, size long, begin long, end long").repartition(min(len(rows), MOST_TASKS), "path", "begin")
+    maps = written(mapped(ranges, path, map_bytes).withColumn("next", F.least(F.col("part") + map_bytes, F.col("end"))), "exits")
+    starts = maps.repartition("path").sortWithinPartitions("path", "part").mapInArrow(started, STARTED)
+    starts = written(starts, "starts").repartition(min(len(rows), MOST_TASKS), "path", "begin")
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = pafs.FileSystem.from_uri(path)[0]
+        for b in parts:
+            for r in b.to_pylist():
+                yield from batches(store, File(**r))
+
+    return starts.mapInArrow(read, SCHEMA)
 
 
 def capture_stats(frames: DataFrame) -> DataFrame:
@@ -247,17 +456,8 @@ def write_pcap(packets: DataFrame, path: str) -> None:
     packets.select(*columns).write.format("pcap").mode("append").option("path", path).save()
 
 
-def stream_pcap(spark: SparkSession, path: str, files_per_trigger: int = 1000, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Frames of PCAP files as they arrive below `path`; files are whole when they get their name. Spark lists the files, tasks read ranges of them."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    rows = files.option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.pcap").load(path).select("path", "length").filter("length > 0")
-    begins = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
-    ranges = rows.select("path", "length", begins.alias("begin")).repartition("path", "begin")
-
-    def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            for r in b.to_pylist():
-                store, name = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", r["path"]))
-                yield from batches(store, File(name, r["length"], r["begin"], r["begin"] + range_bytes))
-
-    return ranges.mapInArrow(split, SCHEMA)
+def stream_pcap(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, bytes_per_trigger: int | None = None) -> DataFrame:
+    """Packets of PCAP files below `path` as files arrive and as they grow. A task reads whole records of about `range_bytes`; a trigger takes what there is, or about `bytes_per_trigger`."""
+    spark.dataSource.register(PcapSource)
+    most = {} if bytes_per_trigger is None else {"bytesPerTrigger": str(bytes_per_trigger)}
+    return spark.readStream.format("pcap").option("path", path).option("rangeBytes", str(range_bytes)).options(**most).load()
