@@ -69,11 +69,14 @@ def sessions(packets: DataFrame, idle_us: int = IDLE_US, slice_us: int | None =
 
 
 def pieces(packets: DataFrame, idle_us: int, slice_us: int) -> DataFrame:
-    """A row for each run of a flow's packets within a slice that no idle gap splits: its counts, its first gaps and sizes, its first names. One shuffle of the packets."""
+    """A row for each run of a flow's packets within a slice that nothing splits: its counts, its first gaps and sizes, its first names. One shuffle of the packets.
+
+    Packets may have `cut`, which splits before a packet, and `ends`, why a record ends behind one."""
     within = Window.partitionBy(*KEY, "slice").orderBy("ts_us", "seq")
-    rows = normalized(packets).select(*KEY, "ts_us", "seq", "forward", "size", "tcp_flags", "dns_query").withColumn("slice", F.floor(F.col("ts_us") / slice_us))
+    known = [F.col(c) if c in packets.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("cut", "boolean"), ("ends", "string"))]
+    rows = normalized(packets).select(*KEY, "ts_us", "seq", "forward", "size", "tcp_flags", "dns_query", *known).withColumn("slice", F.floor(F.col("ts_us") / slice_us))
     rows = rows.withColumns({"gap": F.col("ts_us") - F.lag("ts_us").over(within), "rn": F.row_number().over(within), "named": F.count("dns_query").over(within)})
-    opens = F.col("gap").isNull() | (F.col("gap") > idle_us)
+    opens = F.col("gap").isNull() | (F.col("gap") > idle_us) | F.coalesce("cut", F.lit(False))
     # where the run began: packets and names of the slice before it
     rows = rows.withColumns(
         {
@@ -93,6 +96,8 @@ def pieces(packets: DataFrame, idle_us: int, slice_us: int) -> DataFrame:
         F.sum(F.when(fwd, F.col("size")).otherwise(0)).cast("long").alias("fwd_bytes"),
         F.sum(F.when(fwd, 0).otherwise(F.col("size"))).cast("long").alias("rev_bytes"),
         F.bit_or("tcp_flags").alias("tcp_flags"),
+        F.max(F.coalesce(F.col("cut"), F.lit(False)) & (F.col("rn") == 1)).alias("cut"),
+        F.max("ends").alias("ends"),
         F.count("dns_query").alias("names"),
         F.array_sort(F.collect_list(sample)).alias("samples"),
         F.array_sort(F.collect_list(name)).alias("queries"),
@@ -101,10 +106,12 @@ def pieces(packets: DataFrame, idle_us: int, slice_us: int) -> DataFrame:
 
 def flows(packets: DataFrame, idle_us: int = IDLE_US, slice_us: int | None = None) -> DataFrame:
     """A row for each session: first and last time, packets and bytes by direction, the union of flags; n_iat, iat_mean, iat_std (milliseconds, population) and size_var of its
-    first SAMPLES gaps and sizes; dns_queries, its first NAMES names in order (empty array without any). Runs are joined to sessions; packets are read and shuffled once."""
+    first SAMPLES gaps and sizes; dns_queries, its first NAMES names in order (empty array without any). Runs are joined to sessions; packets are read and shuffled once.
+
+    With the columns of `eviction.with_evictions`, records that were lost are split too, and `close_reason` says why each ends, null where it doesn't."""
     across = Window.partitionBy(*KEY).orderBy("slice", "piece")
     runs = pieces(packets, idle_us, slice_us or SLICE_IDLES * idle_us).withColumn("before", F.col("first_us") - F.lag("last_us").over(across))
-    runs = runs.withColumn("session", F.sum(F.when(F.col("before") > idle_us, 1).otherwise(0)).over(across))
+    runs = runs.withColumn("session", F.sum(F.when((F.col("before") > idle_us) | F.col("cut"), 1).otherwise(0)).over(across))
     earlier = Window.partitionBy(*SESSION).orderBy("slice", "piece").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumns({"had": F.coalesce(F.sum(F.col("fwd_packets") + F.col("rev_packets")).over(earlier), F.lit(0)), "had_names": F.coalesce(F.sum("names").over(earlier), F.lit(0))})
     # only the first runs of a session have samples and names that count, so these lists are bounded
@@ -113,6 +120,7 @@ def flows(packets: DataFrame, idle_us: int = IDLE_US, slice_us: int | None = Non
         *(f("first_us").alias("first_us") if f is F.min else f("last_us").alias("last_us") for f in (F.min, F.max)),
         *(F.sum(c).alias(c) for c in ("fwd_packets", "rev_packets", "fwd_bytes", "rev_bytes")),
         F.bit_or("tcp_flags").alias("tcp_flags"),
+        F.max("ends").alias("close_reason"),
         F.array_sort(F.collect_list(place("samples", SAMPLES + 1, "had"))).alias("_samples"),
         F.array_sort(F.collect_list(place("queries", NAMES, "had_names"))).alias("_queries"),
     )
@@ -123,7 +131,7 @@ def flows(packets: DataFrame, idle_us: int = IDLE_US, slice_us: int | None = Non
     out = out.withColumns({"_gaps": F.slice(gaps, 2, SAMPLES), "_sizes": F.slice(sizes, 1, SAMPLES), "dns_queries": F.slice(names, 1, NAMES)})
     mean = F.coalesce(total("_gaps") / F.nullif(F.size("_gaps"), F.lit(0)) / 1000.0, F.lit(0.0))
     out = out.withColumns({"n_iat": F.size("_gaps").cast("long"), "iat_mean": mean, "iat_std": F.sqrt(spread("_gaps", 1000.0)), "size_var": spread("_sizes")})
-    return out.drop("_samples", "_queries", "_gaps", "_sizes")
+    return out.drop("_samples", "_queries", "_gaps", "_sizes", *([] if "ends" in packets.columns else ["close_reason"]))
 
 
 def total(values: str) -> Column:

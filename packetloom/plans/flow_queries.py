@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import net
 from packetloom.functions.features import ANOMALOUS, CONSTANT, FEATURES
+from packetloom.operators import eviction
 from packetloom.operators import flows as fl
 from packetloom.plans import fixtures, views
 from packetloom.plans.queries import P, query
@@ -98,6 +99,41 @@ def flow_closed(spark, sf_dir):
     return fl.closed(found(spark, sf_dir), views.as_of(fixtures.packets(spark, sf_dir)), IDLE, MOST)
 
 
+#: Records of a table that is full for most of the time.
+FEW = 12
+SEEN = f"""{KEYED}, o as (select *, row_number() over (order by ts_us, seq) as pos from k),
+x as (select *, lag(pos) over w as before, lead(pos) over w as later, lead(ts_us) over w as later_us from o window w as (partition by {KEY} order by pos)),
+lt as (select ts_us as t, max(pos) as upto from o group by 1), u as (select x.*, case when later_us - ts_us <= {IDLE} then later else upto + 1 end as until from x asof join lt on lt.t <= x.ts_us + {IDLE}),
+ev as (select u.pos, count(*) as n from u join x on x.pos > u.pos and x.pos < u.until and coalesce(x.before, 0) <= u.pos where u.until - u.pos > {FEW} group by 1),
+y as (select u.*, coalesce(n, 0) >= {FEW} as lost, case when coalesce(n, 0) >= {FEW} then 'CapacityEviction' when coalesce(later_us, (select max(ts_us) from o)) - ts_us > {IDLE} then 'IdleTimeout' end as ends from u left join ev using (pos)),
+z as (select *, coalesce(lag(lost or later_us - ts_us > {IDLE}) over (partition by {KEY} order by pos), false) as cut from y),
+zs as (select *, sum(cast(cut as int)) over (partition by {KEY} order by pos) as session from z)"""
+
+
+def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets with what a full table of FEW records loses. Small ranges, so that intervals span several."""
+    return eviction.with_evictions(fixtures.packets(spark, sf_dir), IDLE, FEW, range_rows=40)
+
+
+@query(FLOW_QUERIES, "flow_lru_cuts", "l:seq b:cut s:ends", f"{SEEN}, result as (select seq, lost_before as cut, ends from (select *, coalesce(lag(lost) over (partition by {KEY} order by pos), false) as lost_before from z))")
+def flow_lru_cuts(spark, sf_dir):
+    """Before which packets the flow's record had been lost to others, and why records end."""
+    return exact(spark, sf_dir)
+
+
+@query(
+    FLOW_QUERIES,
+    "flow_lru_exact",
+    f"{SESSION_COLUMNS} first_us last_us fwd_packets rev_packets fwd_bytes rev_bytes d:iat_mean s:close_reason",
+    f"""{SEEN}, rs as (select *, row_number() over (partition by {SESSION} order by pos) as rn, ts_us - lag(ts_us) over (partition by {SESSION} order by pos) as iat from zs),
+result as (select {SESSION}, min(ts_us) as first_us, max(ts_us) as last_us, count(*) filter (where forward) as fwd_packets, count(*) filter (where not forward) as rev_packets, coalesce(sum(size) filter (where forward), 0) as fwd_bytes,
+ coalesce(sum(size) filter (where not forward), 0) as rev_bytes, coalesce(avg(iat) filter (where rn between 2 and {fl.SAMPLES + 1}) / 1000.0, 0) as iat_mean, max(ends) as close_reason from rs group by all)""",
+)
+def flow_lru_exact(spark, sf_dir):
+    """All records of a table that loses the least recently seen flow when it is full, with samples of their own and why each was closed."""
+    return fl.flows(exact(spark, sf_dir), IDLE)
+
+
 WANTED = (3232235777, 167772161, 53, 1024, 17)
 
 
