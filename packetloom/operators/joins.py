@@ -12,16 +12,18 @@ from packetloom.session import written
 #: A key is hot with more than one row of so many; so there are fewer hot keys than this, however large the table, and their rows of the other table can be broadcast.
 HOT_SHARE = 1000
 #: Keys with fewer rows are never hot.
-HOT_ROWS = 1000
+HOT_ROWS = 20_000
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """`rows` joined with `table` (inner or left), which has at most one row for each of `keys`; neither holds nulls there.
+    """`rows` joined with `table` (inner or left), which has one row, or a bounded number of rows, for each of `keys`; neither holds nulls there.
 
     Rows of hot keys meet their row of `table` by a broadcast of fewer than HOT_SHARE rows and aren't shuffled; all others are joined as Spark sees fit. Both tables are read more than once.
     """
-    keys = list(keys)
-    least = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    keys, n = list(keys), rows.count()
+    if n <= HOT_ROWS:
+        return rows.join(table, keys, how)
+    least = max(HOT_ROWS, n // HOT_SHARE)
     hot = written(rows.groupBy(*keys).count().filter(F.col("count") > least).select(*keys), "hot")
     if hot.isEmpty():
         return rows.join(table, keys, how)

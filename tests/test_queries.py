@@ -1,10 +1,13 @@
 """Every query against its SQL in DuckDB, on the smallest tables."""
 
+import sys
+import warnings
 from pathlib import Path
 
 import duckdb
 import pytest
 
+import __spark_entry__
 from packetloom import registry
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +33,12 @@ def test_as_in_sql(spark, tables, name):
 
 def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.SQL)
+
+
+def test_entry_goes_without_a_missing_library(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("packetloom.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        assert set(__spark_entry__.queries()) == set(registry.QUERIES) and set(__spark_entry__.oracle_sql()) == set(registry.SQL)
