@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import written
+from packetloom.operators.joins import lookup
 
 
 @dataclass(frozen=True)
@@ -256,9 +257,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, c: Curves = Curves(),
     # the query's own id may be among the first
     lists = lists.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1).select("q", "id", "score")
     # each query row takes its vector's list without itself
-    queries = rows.filter("q").select(F.col("id").alias("query_id"), "v").join(distinct.filter("q").select(F.col("rep").alias("q"), "v"), "v").select("query_id", "q")
+    queries = rows.filter("q").select(F.col("id").alias("query_id"), "v").join(distinct.filter("q").select(F.col("rep").alias("q"), "v"), "v").select("query_id", "q").distinct()
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    out = queries.distinct().join(lists, "q").filter("id <> query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    out = lookup(written(queries, "queries"), written(lists, "lists"), ["q"], "inner").filter("id <> query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     out = out.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
     return out.select("query_id", "rank", F.col("id").alias(key), "score")
 

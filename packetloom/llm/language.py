@@ -48,25 +48,29 @@ def held_out(key: Column, divisor: int, remainder: int) -> Column:
 
 
 def labelled_sample(df: DataFrame, label: str, text: str, total_chars: int = TOTAL_CHARS, doc_chars: int = DOC_CHARS) -> dict[str, str]:
-    """Labelled text by language, within the bounds; 8 * total_chars / doc_chars texts at most come to the driver, of however many languages.
+    """Labelled text by language, within the bounds; 8 * total_chars / doc_chars texts at most come to the driver, and one more of each language.
 
-    A text is taken if its hash lies below its language's cut, which the number of the language's texts gives, so that about
-    equally many of each are taken and no language's rows meet in one task.
+    Each language has the text of its smallest hash. Another text is taken if its hash lies below its language's cut, which the number of the language's texts gives, so that about
+    equally many of each are taken and no language's rows meet in one task. Languages share total_chars; more of them than that is an error.
     """
     most = max(1, 4 * total_chars // doc_chars)
     rows = df.select(df[label].cast("string").alias("label"), df[text].cast("string").alias("text")).filter("label is not null and length(text) > 0")
     rows = rows.withColumn("order", F.xxhash64("text"))
-    counts = written(rows.groupBy("label").agg(F.approx_count_distinct("order", 0.02).alias("n")), "labels")
-    each = max(1, most // max(1, counts.count()))
+    first = F.min(F.struct("order", F.substring("text", 1, doc_chars).alias("text"))).alias("first")
+    counts = written(rows.groupBy("label").agg(F.approx_count_distinct("order", 0.02).alias("n"), first), "labels")
+    labels = counts.count()
+    if labels > total_chars:
+        raise ValueError(f"{labels} languages can't share {total_chars} characters of labelled text: raise total_chars")
+    share = total_chars // max(1, labels)
+    found = {r["label"]: {r["order"]: r["text"]} for r in counts.select("label", "first.order", F.substring("first.text", 1, share).alias("text")).collect()}
+    each = max(1, most // max(1, labels))
     # twice the range of a hash is 2**64; a label's cut lies at the share of its texts that is wanted
     cuts = counts.select(F.col("label").alias("of"), (F.lit(each) / F.col("n") * F.lit(2.0**64) - F.lit(2.0**63)).alias("cut"))
     chosen = rows.join(cuts, F.col("label") == F.col("of")).filter(F.col("order").cast("double") <= F.col("cut"))
     chosen = chosen.groupBy("label", "order").agg(F.min(F.substring("text", 1, doc_chars)).alias("text"))
-    found: dict[str, list[str]] = {}
     for r in chosen.orderBy("order", "label").limit(2 * most).collect():
-        found.setdefault(r["label"], []).append(r["text"].lower())
-    share = total_chars // max(1, len(found))
-    return {k: "\n".join(v)[:share] for k, v in sorted(found.items())}
+        found[r["label"]][r["order"]] = r["text"]
+    return {k: "\n".join(t for _, t in sorted(v.items())).lower()[:share] for k, v in sorted(found.items())}
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:

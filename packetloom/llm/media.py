@@ -109,23 +109,55 @@ def arrow(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["member", "offset", "media", "attempts", "error"])
 
 
+#: What another attempt may cure.
+FAULTS = (OSError, zipfile.BadZipFile, zlib.error, EOFError)
+
+
 def read_range(opened: Callable[[], io.RawIOBase], start: int, end: int, attempts: int) -> Iterator[tuple]:
-    """(name, offset, bytes or None, attempts made, error or None) of each member whose header starts in [start, end)."""
-    archive = zipfile.ZipFile(opened())
-    for info in archive.infolist():
-        if not start <= info.header_offset < end:
-            continue
-        error = None
-        for k in range(1, attempts + 1):
-            try:
-                yield info.filename, info.header_offset, archive.read(info), k, None
-                break
-            except (OSError, zipfile.BadZipFile, zlib.error, EOFError) as e:
-                error = f"{type(e).__name__}: {e}"
-                archive = zipfile.ZipFile(opened())
-        else:
-            yield info.filename, info.header_offset, None, attempts, error
-    archive.close()
+    """(name, offset, bytes or None, attempts made, error or None) of each member whose header starts in [start, end).
+
+    Opening the archive anew is part of a member's next attempt. The first opening, without which no member is known, has as many attempts; then its error is raised.
+    """
+    archive = None
+
+    def close() -> None:
+        nonlocal archive
+        if archive is not None:
+            held, archive = (archive, archive.fp), None
+            for f in held:
+                f.close()
+
+    def open_again() -> zipfile.ZipFile:
+        f = opened()
+        try:
+            return zipfile.ZipFile(f)
+        except BaseException:
+            f.close()
+            raise
+
+    for k in range(1, attempts + 1):
+        try:
+            archive = open_again()
+            break
+        except FAULTS:
+            if k == attempts:
+                raise
+    try:
+        for info in archive.infolist():
+            if not start <= info.header_offset < end:
+                continue
+            media = error = None
+            for k in range(1, attempts + 1):
+                try:
+                    archive = archive or open_again()
+                    media, error = archive.read(info), None
+                    break
+                except FAULTS as e:
+                    error = f"{type(e).__name__}: {e}"
+                    close()
+            yield info.filename, info.header_offset, media, k, error
+    finally:
+        close()
 
 
 class ArchiveWriter(DataSourceWriter):

@@ -466,10 +466,15 @@ def trimmed(text: str, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
+#: A run of groups of digits that is longer has more digits than any card or phone: there are three signs at most between two of them.
+REACH = 80
+
+
 def carried_on(kind: str, text: str, s: int, e: int) -> tuple[int, int]:
-    """The span, or the whole run of groups of digits that it is part of, if that passes the check; a number is not cut short."""
-    lo = s - len(text[max(0, s - 40) : s]) + len(text[max(0, s - 40) : s].rstrip("0123456789 ()./-+"))
-    for m in DIGITS.finditer(text, lo, min(len(text), e + 40)):
+    """The span, or the whole run of groups of digits that it is part of, if that passes the check. Where the run fails, as with a date behind a number, the part that was found stays."""
+    before = text[max(0, s - REACH) : s]
+    lo = s - len(before) + len(before.rstrip("0123456789 ()./-+"))
+    for m in DIGITS.finditer(text, lo, min(len(text), e + REACH)):
         if m.start() <= s and e <= m.end():
             return (m.start(), m.end()) if plausible(kind, m[0]) else (s, e)
     return s, e

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import documents, whole_text, written
+from packetloom.operators.joins import lookup
 
 SEED = 42
 WORDS = 4
@@ -261,12 +262,13 @@ def components(edges: DataFrame) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).withColumn("root", F.least("node", "root"))
     labels = written(labels, "labels")
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
-        nearer = labels.join(seen, "node", "left").select("node", F.least("root", "seen").alias("to"), F.col("root").alias("was"))
+        seen = lookup(both, labels.withColumnRenamed("node", "b"), ["b"], "inner").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
+        nearer = written(labels.join(seen, "node", "left").select("node", F.least("root", "seen").alias("to"), F.col("root").alias("was")), "nearer")
         jump = labels.select(F.col("node").alias("to"), F.col("root").alias("over"))
         # the root of a label may be hooked to something smaller by any of its nodes
         hooks = nearer.groupBy(F.col("was").alias("to")).agg(F.min("to").alias("hook"))
-        after = nearer.join(jump, "to", "left").join(hooks, "to", "left")
+        # many nodes may share a label: one component may have nearly all
+        after = lookup(nearer, jump.join(hooks, "to", "left"), ["to"])
         after = written(after.select("node", F.least("to", "over", "hook").alias("root"), "was"), "labels")
         changed = after.filter("root <> was").limit(1).count()
         labels = after.select("node", "root")
@@ -281,8 +283,8 @@ def near_duplicates(df: DataFrame, words: int = WORDS, radius: int = RADIUS, key
     found = components(links(distinct, radius))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp", "left").select(key, "fp", "component_id")
+    classes = written(lookup(written(rooted, "rooted"), least, ["root"], "inner").select("fp", "component_id"), "classes")
+    return lookup(rows, classes, ["fp"]).select(key, "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
