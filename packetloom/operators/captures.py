@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.net import five_tuple
-from packetloom.operators.ordered import newest, running_sum
+from packetloom.operators.ordered import newest, numbered_newest, running_sum, running_sums
+from packetloom.sources.pcap import write_pcap
 
 # Bytes of file and record headers, limits, and the forms of names.
 FILE_HEADER, RECORD_HEADER = 24, 16
@@ -30,6 +31,32 @@ def ring(packets: DataFrame, max_bytes: int, order: str = "seq", length: str = "
     return rows.filter((F.col("_held") <= max_bytes) | (F.col("_held") == size)).drop("_held")
 
 
+def rings(packets: DataFrame, hit: Column, max_bytes: int, order: Sequence[str] = ("ts_us", "seq"), length: str = "length") -> tuple[DataFrame, DataFrame]:
+    """What the ring holds at each packet where `hit` holds, that packet included: the newest packets up to there whose bytes fit, or it alone.
+
+    Returns all packets with `at`, their place in this order, and a row for each hit: its columns, `at`, ring_first (the place of the ring's first packet), ring_packets, and ring_bytes with record headers.
+
+    The first packet is the one before which the sum of bytes is as much as the hit's less max_bytes. Sums and these bounds are put into one order, by Spark's ranges, and the number of sums before a bound is the place that it asks for.
+    """
+    size = F.coalesce(F.col(length), F.lit(0)).cast("long") + RECORD_HEADER
+    rows = running_sums(packets.withColumns({"_hit": F.coalesce(hit, F.lit(False)), "_size": size}), [F.col(c) for c in order], {"at": F.lit(1), "_upto": F.col("_size")})
+    sums = rows.select((F.col("_upto") - F.col("_size")).alias("v"), F.lit(1).alias("kind"), "at")
+    bounds = rows.filter("_hit").select((F.col("_upto") - max_bytes).alias("v"), F.lit(0).alias("kind"), "at")
+    found = running_sums(sums.union(bounds), [F.col("v"), F.col("kind")], {"below": F.col("kind")}).filter("kind = 0")
+    found = found.select("at", F.least(F.col("below") + 1, F.col("at")).alias("ring_first"))
+    firsts = rows.select(F.col("at").alias("ring_first"), (F.col("_upto") - F.col("_size")).alias("_before"))
+    held = rows.filter("_hit").join(found, "at").join(firsts, "ring_first")
+    held = held.withColumns({"ring_packets": F.col("at") - F.col("ring_first") + 1, "ring_bytes": F.col("_upto") - F.col("_before")})
+    return rows.drop("_hit", "_size", "_upto"), held.drop("_hit", "_size", "_upto", "_before")
+
+
+def write_rings(packets: DataFrame, held: DataFrame, path: str, name: Column) -> None:
+    """A PCAP file for each row of `held`, both as `rings` returns them; packets need ts_us and data. name: the file's, a column of `held`. So few rings as captures are kept (MOST_CAPTURES) are broadcast."""
+    files = held.select(name.alias("file_name"), "ring_first", F.col("at").alias("ring_last")).limit(MOST_CAPTURES)
+    rows = packets.join(F.broadcast(files), F.col("at").between(F.col("ring_first"), F.col("ring_last")))
+    write_pcap(rows.repartition("file_name").sortWithinPartitions("file_name", "at"), path)
+
+
 def alerts(judged: DataFrame) -> DataFrame:
     """Packets that a rule matched."""
     return judged.filter(F.col("rule_id").isNotNull())
@@ -43,13 +70,11 @@ def triggered(trigger: str) -> bool:
 def capture_records(judged: DataFrame, trigger: str = "alert", kind: str = "alert", first_no: int = 1, size: Column | None = None) -> DataFrame:
     """The latest captures, oldest first: one for each matched packet, numbered in order over all of them. Needs src, dst (texts), ports, protocol, ts_us, seq.
 
-    `size` is the size of the file: header and ring; the matched packet alone if not given.
+    `size` is the size of the file; if not given, header and matched packet alone. What the ring holds at a match is `rings`, whose rows are matched packets too (ring_bytes + FILE_HEADER).
     """
     hit = alerts(judged) if triggered(trigger) else judged.limit(0)
-    total = hit.count()
-    last = hit.orderBy(F.desc("ts_us"), F.desc("seq")).limit(MOST_CAPTURES)
-    back = F.row_number().over(Window.orderBy(F.desc("ts_us"), F.desc("seq")))  # over the kept ones only
-    no = F.lit(total + first_no) - back
+    last = numbered_newest(hit, MOST_CAPTURES, ("ts_us", "seq"), "_no")
+    no = F.col("_no") + (first_no - 1)
     size = F.coalesce(F.col("payload_len"), F.lit(0)) + RECORD_HEADER + FILE_HEADER if size is None else size
     return last.select(
         F.format_string(CAPTURE_ID, no).alias("capture_id"),
@@ -61,6 +86,7 @@ def capture_records(judged: DataFrame, trigger: str = "alert", kind: str = "aler
         F.concat(F.format_string(CAPTURE_ID, no), F.lit(".pcap")).alias("file_name"),
         "rule_id",
         no.cast("long").alias("no"),
+        *(c for c in ("ring_first", "ring_packets", "at") if c in judged.columns),
     )
 
 
@@ -121,12 +147,12 @@ def dead_letters(events: DataFrame, max_bytes: int, size: Column, order: str = "
 def spooled(events: DataFrame, max_bytes: int, payload: Column, at: Column, order: str = "seq", threshold: float = 0.8, already: int = 0, first_no: int = 0) -> DataFrame:
     """The events that the spool takes, with file_name (their time `at` and number), payload, bytes and spool_bytes, the size of the spool with each."""
     size = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")
-    rows = events.withColumns({"payload": payload, "_at": at})
-    rows = dead_letters(rows.withColumn("bytes", size), max_bytes, F.col("bytes"), order, threshold, already).filter("admitted")
-    # what is taken comes before all that isn't, so its numbers have no gaps
-    rows = running_sum(running_sum(rows, order, F.lit(1), "_no"), order, F.col("bytes"), "spool_bytes")
+    rows = events.withColumns({"payload": payload, "_at": at}).withColumn("bytes", size)
+    rows = running_sums(rows, [F.col(order)], {"spool_bytes": F.col("bytes"), "_no": F.lit(1)})
+    # what is taken comes before all that isn't, so the sums over all events are its own
+    rows = rows.filter(F.col("spool_bytes") - F.col("bytes") + already < max_bytes * threshold)
     name = F.concat(F.date_format("_at", SPOOL_TIME), F.lit("_"), F.lpad(F.lower(F.hex(F.col("_no") - 1 + first_no)), 16, "0"), F.lit(".ges"))
-    return rows.withColumns({"file_name": name, "spool_bytes": F.col("spool_bytes") + already}).drop("_no", "_at", "admitted")
+    return rows.withColumns({"file_name": name, "spool_bytes": F.col("spool_bytes") + already}).drop("_no", "_at")
 
 
 def write_spool(taken: DataFrame, path: str) -> None:

@@ -112,7 +112,20 @@ def newest(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
 
 
 def numbered_newest(df: DataFrame, n: int, order: Sequence[str], name: str = "no") -> DataFrame:
-    """`newest` with each row's number, from 1, among all rows of `df`."""
-    last = df.orderBy(*map(F.desc, order)).limit(n)
+    """`newest` with each row's number, from 1, among all rows of `df`, which is run once: each task writes its last n rows, and how many it had."""
+    by = [(c, "descending") for c in order]
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = None, 0
+        for b in batches:
+            count += len(b)
+            table = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            held = table.take(pc.sort_indices(table, by, null_placement="at_end")[:n]) if len(table) > n else table
+        if held is not None and count:
+            held = held.append_column("_task", pa.array(np.full(len(held), TaskContext.get().partitionId(), "i4"))).append_column("_rows", pa.array(np.full(len(held), count)))
+            yield from held.combine_chunks().to_batches()
+
+    rows = written(df.mapInArrow(last, StructType([*df.schema.fields, StructField("_task", IntegerType()), StructField("_rows", LongType())])), "newest")
+    total = rows.groupBy("_task").agg(F.max("_rows").alias("n")).agg(F.sum("n")).first()[0] or 0
     back = F.row_number().over(Window.orderBy(*map(F.desc, order)))  # over n rows only
-    return last.withColumn(name, F.lit(df.count()) - back + 1).orderBy(*order)
+    return rows.drop("_task", "_rows").orderBy(*map(F.desc, order)).limit(n).withColumn(name, (F.lit(total) - back + 1).cast("long")).orderBy(*order)

@@ -12,6 +12,8 @@ from packetloom.operators import captures as c
 from packetloom.operators import rules as r
 from packetloom.plans import fixtures, views
 from packetloom.plans.queries import P, query
+from packetloom.session import scratch
+from packetloom.sources.pcap import read_pcap
 
 RULE_QUERIES: list = []
 IP = "bigint"
@@ -33,9 +35,15 @@ R = """rr(ordinal, id, severity, action, enabled, summary) as (values (0, 'GE-NE
  (6, 'OWN-PASS', 'info', 'pass', true, 'src_ip=10.0.0.1, dst_port=53, proto=17'), (7, 'GE-OT-002', 'low', 'alert', true, 'src_port=20000, tcp_flags(0x18)=0x18'))"""
 JUDGED = f"{P}, {R}, h as (select *, {HIT} as ordinal from p), j as (select h.*, rr.id as rule_id, rr.severity as rule_severity, coalesce(rr.action, 'pass') as verdict from h left join rr using (ordinal))"
 V4 = "concat_ws('.', ({0} >> 24) & 255, ({0} >> 16) & 255, ({0} >> 8) & 255, {0} & 255)"
-CAPTURED = f"""{JUDGED}, al as (select *, row_number() over (order by ts_us, seq) as no from j where rule_id is not null),
+#: The bytes of the ring whose packets a capture holds.
+RING = 20_000
+RINGED = f"""{JUDGED}, sm as (select *, row_number() over (order by ts_us, seq) as pos, payload_len + 16 as sz, sum(payload_len + 16) over (order by ts_us, seq) as upto from j),
+al as (select *, row_number() over (order by ts_us, seq) as no from sm where rule_id is not null), kept as (select * from al order by no desc limit 500),
+rg as (select k.*, least(b.pos, k.pos) as first_pos from kept k asof join (select pos, upto - sz as held from sm) b on k.upto - {RING} <= b.held),
+cr as (select rg.*, rg.pos - first_pos + 1 as ring_packets, rg.upto - (b.upto - b.sz) as ring_bytes, b.seq as first_seq from rg join sm b on b.pos = rg.first_pos)"""
+CAPTURED = f"""{RINGED},
 cap as (select no, 'ALT-' || lpad(cast(no as varchar), cast(greatest(4, length(cast(no as varchar))) as int), '0') as capture_id, 'alert' as trigger_type, {V4.format('src_ip')} || ':' || src_port || ' -> ' || {V4.format('dst_ip')} || ':' || dst_port || '/' || case proto when 17 then 'UDP' else 'TCP' end as five_tuple,
- payload_len + 40 as size_bytes, ts_us // 1000000 as timestamp, rule_id, 'indexed' as status from al order by no desc limit 500)"""
+ ring_bytes + 24 as size_bytes, ring_packets, first_pos, first_seq, seq as last_seq, pos, ts_us // 1000000 as timestamp, rule_id, 'indexed' as status from cr)"""
 
 
 def judged(spark: SparkSession, sf_dir: str, inline: bool = True) -> DataFrame:
@@ -46,9 +54,18 @@ def table(spark: SparkSession) -> DataFrame:
     return r.table(spark, RULES, IP)
 
 
+def ringed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All packets with their places, and the matched ones with what the ring held."""
+    return c.rings(judged(spark, sf_dir), F.col("rule_id").isNotNull(), RING, length="payload_len")
+
+
+def captures_of(held: DataFrame) -> DataFrame:
+    rows = held.withColumns({"src": net.ipv4_of_long(F.col("src_ip")), "dst": net.ipv4_of_long(F.col("dst_ip")), "protocol": F.lower(net.protocol_name(F.col("proto")))})
+    return c.capture_records(rows, size=F.col("ring_bytes") + c.FILE_HEADER)
+
+
 def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = judged(spark, sf_dir).withColumns({"src": net.ipv4_of_long(F.col("src_ip")), "dst": net.ipv4_of_long(F.col("dst_ip")), "protocol": F.lower(net.protocol_name(F.col("proto")))})
-    return c.capture_records(rows)
+    return captures_of(ringed(spark, sf_dir)[1])
 
 
 MATCH = "l:seq rule_ordinal s:rule_id rule_severity verdict"
@@ -149,6 +166,32 @@ def capture_records(spark, sf_dir):
     return captured(spark, sf_dir)
 
 
+@query(RULE_QUERIES, "capture_rings", "l:no s:capture_id l:ring_packets size_bytes first_seq last_seq", f"{CAPTURED}, result as (select * from cap)")
+def capture_rings(spark, sf_dir):
+    """For each capture how many packets the ring held at its alert, and which were the first and the last."""
+    packets, held = ringed(spark, sf_dir)
+    found = captures_of(held)
+    ends = packets.select("at", "seq")
+    found = found.join(ends.select("at", F.col("seq").alias("last_seq")), "at")
+    return found.join(ends.select(F.col("at").alias("ring_first"), F.col("seq").alias("first_seq")), "ring_first")
+
+
+@query(
+    RULE_QUERIES,
+    "capture_files",
+    "l:ts_us orig_len n",
+    f"{CAPTURED}, result as (select sm.ts_us, sm.payload_len as orig_len, count(*) as n from cap join sm on sm.pos between first_pos and cap.pos group by sm.seq, sm.ts_us, sm.payload_len)",
+)
+def capture_files(spark, sf_dir):
+    """The packets of all captures' files, read back, with how many files hold each."""
+    packets, held = ringed(spark, sf_dir)
+    found = captures_of(held)
+    path = scratch(spark, "rings")
+    data = F.unhex(F.concat(F.lpad(F.hex("seq"), 16, "0"), F.repeat(F.lit("00"), F.col("payload_len"))))
+    c.write_rings(packets.withColumns({"data": data, "orig_len": F.col("payload_len")}), found, path, F.col("file_name"))
+    return read_pcap(spark, path).groupBy("ts_us", "orig_len", F.substring("data", 1, 8).alias("of")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(RULE_QUERIES, "capture_filter", "s:capture_id five_tuple rule_id", f"{CAPTURED}, result as (select * from cap where contains(lower(concat_ws('|', capture_id, five_tuple, rule_id, trigger_type)), 'ot-00'))")
 def capture_filter(spark, sf_dir):
     return c.capture_filter(captured(spark, sf_dir), "oT-00")
@@ -173,7 +216,7 @@ ASKED = ("ALT-0700", "ALT-9999", "ALT-0650", "ALT-0700", "ALT-0001")
     "capture_bulk",
     "l:selected total_size_bytes s:files",
     f"""{CAPTURED}, ids as (select unnest([{", ".join(f"'{x}'" for x in ASKED)}]) as capture_id, unnest(range({len(ASKED)})) as pos),
-result as (select count(*) as selected, coalesce(sum(size_bytes), 0) as total_size_bytes, coalesce(string_agg(capture_id || '.pcap', ',' order by pos), '') as files from ids join cap using (capture_id))""",
+result as (select count(*) as selected, coalesce(sum(size_bytes), 0) as total_size_bytes, coalesce(string_agg(capture_id || '.pcap', ',' order by ids.pos), '') as files from ids join cap using (capture_id))""",
 )
 def capture_bulk(spark, sf_dir):
     return c.capture_bulk(captured(spark, sf_dir), ASKED)

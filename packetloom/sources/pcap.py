@@ -11,7 +11,7 @@ and the last one if it is cut; a cut header ends a file, and a file of another k
 The stream source's offset is, for each file, the byte up to which its records are whole. The driver walks the headers that were added to find it; tasks read ranges of whole records, so that each record
 comes once, also after a restart (after which the driver walks over a file's headers anew).
 
-Writing: each task writes one file of its rows in the order in which they come; files get their names in the driver's commit.
+Writing: each task writes one file of its rows in the order in which they come, or one for each `file_name`; files get their names in the driver's commit.
 
 Rows: ts_us, orig_len, cap_len, data, error. On writing null data is an empty packet, a null time is 0 and a null length the packet's own.
 """
@@ -45,6 +45,8 @@ BATCH_BYTES = 4 << 20
 #: A record header that says more is damaged.
 LARGEST_RECORD = 1 << 26
 RANGE_BYTES = 64 << 20
+#: Partitions that small files make, roughly.
+SMALL_PARTS = 64
 #: Tasks that ranges are dealt to.
 MOST_TASKS = 20_000
 #: Bytes of a range whose chains are followed at once.
@@ -245,21 +247,38 @@ def listed(path: str) -> list[tuple[str, int]]:
 
 @dataclass
 class Written(WriterCommitMessage):
-    names: list[str]
+    """Temporary and final names of files."""
+
+    names: list[tuple[str, str]]
+
+
+@dataclass
+class Files(InputPartition):
+    files: list[File]
 
 
 class PcapReader(DataSourceReader):
-    """Each file is a partition."""
+    """A partition has whole files, several small ones or a larger one."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
 
-    def partitions(self) -> list[File]:
-        return [File(path, size, 24, size) for path, size in listed(self.path)] or [File("")]
+    def partitions(self) -> list[Files]:
+        found = listed(self.path)
+        most = min(RANGE_BYTES, max(1 << 20, sum(size for _, size in found) // SMALL_PARTS))
+        out, held = [], 0
+        for path, size in found:
+            if not out or held + size > most:
+                out.append(Files([]))
+                held = 0
+            out[-1].files.append(File(path, size, 24, size))
+            held += size
+        return out or [Files([])]
 
-    def read(self, partition: File) -> Iterator[pa.RecordBatch]:
-        if partition.path:
-            yield from batches(pafs.FileSystem.from_uri(self.path)[0], partition)
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        store = pafs.FileSystem.from_uri(self.path)[0]
+        for part in partition.files:
+            yield from batches(store, part)
 
 
 class PcapStreamReader(DataSourceStreamReader):
@@ -333,25 +352,30 @@ class PcapWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         ts, data = self.names.index("ts_us"), self.names.index("data")
         orig = self.names.index("orig_len") if "orig_len" in self.names else None
+        named = self.names.index("file_name") if "file_name" in self.names else None
         store, root = pafs.FileSystem.from_uri(self.path)
-        out, name = None, f"{self.job}-{uuid.uuid4().hex}.pcap"
+        out, name, files = None, None, []
         for row in iterator:
-            if out is None:
+            if out is None or (named is not None and row[named] != name):
+                if out is not None:
+                    out.close()
+                unique = f"{self.job}-{uuid.uuid4().hex}.pcap"
+                name = unique if named is None else row[named]
+                files.append((f"_{unique}", name))
                 store.create_dir(root)
-                out = store.open_output_stream(posixpath.join(root, "_" + name), buffer_size=1 << 20)
+                out = store.open_output_stream(posixpath.join(root, f"_{unique}"), buffer_size=1 << 20)
                 out.write(file_header(self.snaplen))
             raw = bytes(row[data] or b"")
             length = None if orig is None else row[orig]
             out.write(record(row[ts], raw[: self.snaplen], len(raw) if length is None else length))
-        if out is None:
-            return Written([])
-        out.close()
-        return Written([name])
+        if out is not None:
+            out.close()
+        return Written(files)
 
     def commit(self, messages: list) -> None:
         store, root = pafs.FileSystem.from_uri(self.path)
-        for name in (n for m in messages if m for n in m.names):
-            store.move(posixpath.join(root, "_" + name), posixpath.join(root, name))
+        for held, name in (n for m in messages if m for n in m.names):
+            store.move(posixpath.join(root, held), posixpath.join(root, name))
         self.abort([])  # what attempts have left that were not counted
 
     def abort(self, messages: list) -> None:
@@ -450,9 +474,9 @@ def capture_stats(frames: DataFrame) -> DataFrame:
 
 
 def write_pcap(packets: DataFrame, path: str) -> None:
-    """ts_us and data (and orig_len, if there) as PCAP files, one for each partition that has rows."""
+    """ts_us and data (and orig_len, if there) as PCAP files, one for each partition that has rows. With file_name, one for each name: rows of a name have to be in one partition, and together."""
     packets.sparkSession.dataSource.register(PcapSource)
-    columns = [c for c in ("ts_us", "orig_len", "data") if c in packets.columns]
+    columns = [c for c in ("ts_us", "orig_len", "data", "file_name") if c in packets.columns]
     packets.select(*columns).write.format("pcap").mode("append").option("path", path).save()
 
 
