@@ -13,18 +13,23 @@ import ipaddress
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.binary import first_of
 from packetloom.functions.net import ip_string, ip_struct
+from packetloom.operators.joins import lookup
+from packetloom.operators.ordered import running_sums
 
 VERDICTS = ("pass", "drop", "alert")
 #: Rules that `match_compiled` takes; longer lists are for `match_joined`.
 MOST_COMPILED = 200
 #: Tables of rules up to this size are broadcast.
 BROADCAST_BYTES = 4 << 20
+#: Rules that the driver takes to make these tables itself.
+MOST_LOCAL = 10_000
 EQUAL = {"src_ip": "src_ip", "dst_ip": "dst_ip", "src_port": "src_port", "dst_port": "dst_port", "protocol": "proto"}
 LISTS = {"modbus_fcs": "modbus_fc", "dnp3_fcs": "dnp3_fc"}
 
@@ -157,45 +162,128 @@ def _shown(rows: DataFrame, hit: dict[str, Column], inline: bool, default: str)
     return out.drop("_hit")
 
 
+#: What a hit is made of.
+HIT = {"ordinal": "int", "id": "string", "severity": "string", "description": "string", "action": "string"}
+HIT_TYPE = f"struct<{','.join(f'{c}:{t}' for c, t in HIT.items())}>"
+#: Columns of rules that hold from one time to before another (null: without end).
+VALID = {"valid_from_us": "bigint", "valid_to_us": "bigint"}
+
+
 def match_joined(packets: DataFrame, rules: DataFrame, key: str = "seq", inline: bool = True, default: str = "pass") -> DataFrame:
-    """As `match_compiled`, for a table of rules of any length.
+    """As `match_compiled`, for a table of rules of any length. With the columns of VALID (as of `versions`) a packet is judged by the rules that hold at its ts_us.
 
     Rules with the same criteria set (which fields, which flag mask, which code lists) are one table with a row for each combination of values: the first
-    rule that has them. Packets are read once and meet each such table in a left join; the first of what was found is the hit. Tables up to `BROADCAST_BYTES`
-    are broadcast, larger ones are joined as Spark sees fit. Rules without criteria are a table of one row. Packets need no unique key; `key` is not used.
+    rule that has them, or all of its rules with their times. Packets are read once and meet each such table in a left join; the first of what was found is the hit. Tables of up to MOST_LOCAL rules and `BROADCAST_BYTES` are
+    made by the driver and broadcast. Larger ones are joined: packets without a value for a criterion don't take part, and values that many packets have are looked up without a shuffle of these.
+    Rules without criteria are a table of one row. Packets need no unique key; `key` is not used.
     """
-    live = rules.filter("enabled")
+    timed = "valid_from_us" in rules.columns
+    live = rules.filter("enabled").select(*HIT, *EQUAL, "flags_mask", "flags_value", *LISTS, *(VALID if timed else ()))
+    few = live.limit(MOST_LOCAL + 1).collect()
+    local = len(few) <= MOST_LOCAL and sum(len(str(x)) for x in few) <= BROADCAST_BYTES
+    tables = _local_tables(live, few, timed) if local else _joined_tables(live, timed)
+    rows, hits = packets, []
+    for k, (s, table, small) in enumerate(tables):
+        left = [F.col(field) for name, field in EQUAL.items() if s[name]]
+        left += [F.col("tcp_flags").bitwiseAND(s["mask"])] if s["mask"] is not None else []
+        left += [F.col(field) if field in packets.columns else F.lit(None).cast("int") for name, field in LISTS.items() if s[name]]
+        names = [f"_{k}_{i}" for i in range(len(left))]
+        table = table.select(*(F.col(f"_{i}").alias(n) for i, n in enumerate(names)), F.col("_rule").alias(f"_hit{k}"))
+        if small:
+            fits = reduce(lambda a, b: a & b, [c == F.col(n) for c, n in zip(left, names)], F.lit(True))
+            rows = rows.join(F.broadcast(table), fits, "left").drop(*names)
+        else:
+            wide = rows.withColumns(dict(zip(names, left)))
+            whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names], F.lit(True))
+            missing = wide.filter(~whole).withColumn(f"_hit{k}", F.lit(None).cast(table.schema[f"_hit{k}"].dataType))
+            rows = lookup(wide.filter(whole), table, names).unionByName(missing).drop(*names)
+        hit = F.col(f"_hit{k}")
+        if timed:
+            now = F.filter(hit, lambda x: (x["valid_from_us"] <= F.col("ts_us")) & (x["valid_to_us"].isNull() | (F.col("ts_us") < x["valid_to_us"])))
+            hit = F.array_min(F.transform(now, lambda x: F.struct(*(x[c].alias(c) for c in HIT))))
+        hits.append(hit)
+    none = F.lit(None).cast(HIT_TYPE)
+    rows = rows.withColumn("_hit", F.least(*hits, none) if hits else none).drop(*(f"_hit{k}" for k in range(len(tables))))
+    return _shown(rows, {c: F.col(f"_hit.{c}") for c in HIT}, inline, default)
+
+
+def _local_tables(live: DataFrame, few: list[Row], timed: bool) -> list[tuple[dict, DataFrame, bool]]:
+    """For each criteria set its table of combinations, made from rules that the driver has."""
+    kinds = dict(live.dtypes)
+    found: dict[tuple, dict[tuple, list]] = {}
+    for r in sorted(few, key=lambda r: r["ordinal"]):
+        mask = r["flags_mask"] if r["flags_value"] is not None else None
+        s = (*(r[c] is not None for c in EQUAL), mask, *(bool(r[c]) for c in LISTS))
+        plain = [r[c] for c in EQUAL if r[c] is not None] + ([r["flags_value"]] if mask is not None else [])
+        plain = [tuple(map(_hashable, x)) if isinstance(x, Row) else x for x in plain]
+        for codes in product(*(dict.fromkeys(r[c]) for c in LISTS if r[c])):
+            found.setdefault(s, {}).setdefault((*plain, *codes), []).append(tuple(r[c] for c in (*HIT, *(VALID if timed else ()))))
+    out = []
+    for s, combos in found.items():
+        named = dict(zip((*EQUAL, "mask", *LISTS), s))
+        types = [kinds[c] for c in EQUAL if named[c]] + (["int"] if named["mask"] is not None else []) + ["int" for c in LISTS if named[c]]
+        rule = f"array<struct<{','.join(f'{c}:{t}' for c, t in (HIT | VALID).items())}>>" if timed else HIT_TYPE
+        rows = [(*combo, hits if timed else hits[0]) for combo, hits in combos.items()]
+        schema = ", ".join([*(f"_{i} {t}" for i, t in enumerate(types)), f"_rule {rule}"])
+        out.append((named, live.sparkSession.createDataFrame(rows, schema), True))
+    return out
+
+
+def _hashable(x):
+    return bytes(x) if isinstance(x, bytearray) else x
+
+
+def _joined_tables(live: DataFrame, timed: bool) -> list[tuple[dict, DataFrame, bool]]:
+    """The same, as Spark jobs."""
     mask = F.when(F.col("flags_value").isNotNull(), F.col("flags_mask"))
     shape = F.struct(*(F.col(c).isNotNull().alias(c) for c in EQUAL), mask.alias("mask"), *((F.size(c) > 0).alias(c) for c in LISTS))
     shaped = live.withColumn("shape", shape)
     width = F.octet_length(F.concat_ws("", "id", "severity", "description", "action")) + 128
     entries = reduce(lambda a, b: a * b, [F.greatest(F.size(c), F.lit(1)) for c in LISTS])
     sizes = shaped.groupBy("shape").agg(F.sum(width * entries).alias("bytes")).collect()  # a row for each combination of criteria, not for each rule
-    rule = F.struct("ordinal", "id", "severity", "description", "action")
-    rows, hits = packets, []
-    for k, (s, size) in enumerate((r["shape"].asDict(), r["bytes"]) for r in sizes):
+    rule = F.struct(*(F.col(c).cast(t).alias(c) for c, t in (HIT | (VALID if timed else {})).items()))
+    out = []
+    for s, size in ((r["shape"].asDict(), r["bytes"]) for r in sizes):
         same = shaped.filter(reduce(lambda a, b: a & b, [F.col("shape")[c].eqNullSafe(F.lit(v)) for c, v in s.items()]))
-        left, right = [], []
-        for name, field in EQUAL.items():
+        right = [F.col(name) for name in EQUAL if s[name]] + ([F.col("flags_value")] if s["mask"] is not None else [])
+        for name in LISTS:
             if s[name]:
-                left.append(F.col(field))
-                right.append(F.col(name))
-        if s["mask"] is not None:
-            left.append(F.col("tcp_flags").bitwiseAND(s["mask"]))
-            right.append(F.col("flags_value"))
-        for name, field in LISTS.items():
-            if s[name]:
-                left.append(F.col(field) if field in packets.columns else F.lit(None).cast("int"))
                 right.append(F.col(f"_{name}"))
                 same = same.withColumn(f"_{name}", F.explode(F.array_distinct(name)))
-        names = [f"_{k}_{i}" for i in range(len(right))]
-        first = same.select(*(c.alias(n) for c, n in zip(right, names)), rule.alias("_rule")).groupBy(*names).agg(F.min("_rule").alias(f"_hit{k}"))
-        fits = reduce(lambda a, b: a & b, [c == F.col(n) for c, n in zip(left, names)], F.lit(True))
-        rows = rows.join(F.broadcast(first) if size <= BROADCAST_BYTES else first, fits, "left").drop(*names)
-        hits.append(F.col(f"_hit{k}"))
-    none = F.lit(None).cast("struct<ordinal:int,id:string,severity:string,description:string,action:string>")
-    rows = rows.withColumn("_hit", F.least(*hits, none) if hits else none).drop(*(f"_hit{k}" for k in range(len(sizes))))
-    return _shown(rows, {c: F.col(f"_hit.{c}") for c in ("ordinal", "id", "severity", "description", "action")}, inline, default)
+        names = [f"_{i}" for i in range(len(right))]
+        of_values = F.array_sort(F.collect_list("_r")) if timed else F.min("_r")
+        table = same.select(*(c.alias(n) for c, n in zip(right, names)), rule.alias("_r")).groupBy(*names).agg(of_values.alias("_rule"))
+        out.append((s, table, not right or size <= BROADCAST_BYTES))
+    return out
+
+
+def requests(log: DataFrame) -> DataFrame:
+    """A log of requests (seq, ts_us, op: add or delete, id, and what else rules have), in order of time and seq, with `accepted` and `answer`: an id can be added while it isn't there, and deleted while it is."""
+    own = Window.partitionBy("id").orderBy("ts_us", "seq")
+    before = F.coalesce(F.lag("op").over(own), F.lit("delete"))
+    said = F.when(F.col("op") == "add", F.concat(F.lit("rule '"), "id", F.lit("' already exists"))).otherwise(F.concat(F.lit("rule '"), "id", F.lit("' not found")))
+    rows = log.withColumn("accepted", F.col("op") != before)
+    return rows.withColumn("answer", F.when(~F.col("accepted"), said))
+
+
+def versions(log: DataFrame) -> DataFrame:
+    """The rules that a log of `requests` makes, with the times from which and before which they hold; ordinal is their order, which is that in which they were added."""
+    taken = requests(log).filter("accepted")
+    until = F.lead("ts_us").over(Window.partitionBy("id").orderBy("ts_us", "seq"))  # what follows an accepted addition is an accepted deletion
+    rows = taken.withColumns({"valid_from_us": F.col("ts_us"), "valid_to_us": until}).filter("op = 'add'")
+    rows = running_sums(rows, [F.col("ts_us"), F.col("seq")], {"ordinal": F.lit(1)})
+    return rows.withColumn("ordinal", (F.col("ordinal") - 1).cast("int")).drop("op", "seq", "ts_us", "accepted", "answer")
+
+
+def held_at(rules: DataFrame, at_us: int) -> DataFrame:
+    """The versions that hold at this time."""
+    return rules.filter((F.col("valid_from_us") <= at_us) & (F.col("valid_to_us").isNull() | (F.col("valid_to_us") > at_us)))
+
+
+def hits_of_versions(judged: DataFrame, rules: DataFrame) -> DataFrame:
+    """(ordinal, id, hits) of each version; hits go with their rule, so one that was added again counts anew."""
+    counted = judged.filter(F.col("rule_ordinal").isNotNull()).groupBy(F.col("rule_ordinal").alias("ordinal")).agg(F.count(F.lit(1)).alias("hits"))
+    return rules.select("ordinal", "id").join(counted, "ordinal", "left").select("ordinal", "id", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def stats(judged: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from packetloom.functions import net
 from packetloom.operators import captures as c
 from packetloom.operators import rules as r
+from packetloom.operators.ordered import running_sums
 from packetloom.plans import fixtures, views
 from packetloom.plans.queries import P, query
 from packetloom.session import scratch
@@ -108,21 +109,70 @@ def rule_total_hits(spark, sf_dir):
     return r.hits(judged(spark, sf_dir), table(spark)).agg(F.sum("hits").alias("total_rule_hits"))
 
 
-@query(
-    RULE_QUERIES,
-    "rule_status",
-    "l:ordinal s:id tap inline",
-    f"""{R}, result as (select ordinal, id, case when not enabled then 'disabled' when action = 'drop' then 'tap_only' when action = 'alert' then 'alert_only' else 'pass' end as tap,
- case when not enabled then 'disabled' when action = 'drop' then 'blocking' when action = 'alert' then 'alert_only' else 'pass' end as inline from rr)""",
-)
+# Rules out of events: each thirteenth is a request to add or delete one of a few ids, so that ids are repeated
+
+LOGGED = "event_id % 13 = 5"
+LOG = {
+    "seq": "event_id",
+    "op": "case when event_id % 3 = 0 then 'delete' else 'add' end",
+    "id": "concat('R', cast(user_id % 12 as string))",
+    "description": "concat('Rule of event ', cast(event_id as string))",
+    "severity": "case event_id % 4 when 0 then 'low' when 1 then 'medium' when 2 then 'high' else 'critical' end",
+    "action": "case event_id % 5 when 0 then 'pass' when 1 then 'alert' else 'drop' end",
+    "enabled": "event_id % 11 <> 0",
+    "src_ip": f"case when user_id % 4 = 2 then {fixtures.SRC} end",
+    "dst_ip": "cast(null as bigint)",
+    "src_port": "cast(null as int)",
+    "dst_port": f"cast(case when user_id % 4 in (0, 3) then {fixtures.SERVICE} end as int)",
+    "protocol": "case when user_id % 4 = 1 then 17 end",
+    "flags_mask": "case when user_id % 4 = 3 then 41 end",
+    "flags_value": "case when user_id % 4 = 3 then case when event_id % 2 = 0 then 8 else 0 end end",
+    "modbus_codes": "case when user_id % 4 = 0 and user_id % 5 = 3 then cast(event_id % 17 as int) end",
+}
+LG = "lg as (select epoch_us(ts) as ts_us, " + ", ".join(f"{x} as {k}" for k, x in LOG.items()) + f" from events where {LOGGED})"
+RQ = f"{LG}, rq as (select *, op <> coalesce(lag(op) over (partition by id order by ts_us, seq), 'delete') as accepted from lg)"
+VS = f"""{RQ}, ad as (select *, ts_us as valid_from_us, lead(ts_us) over (partition by id order by ts_us, seq) as valid_to_us from rq where accepted),
+vs as (select *, row_number() over (order by ts_us, seq) - 1 as ordinal from ad where op = 'add')"""
+FITS = """(r.src_ip is null or r.src_ip = p.src_ip) and (r.dst_port is null or r.dst_port = p.dst_port) and (r.protocol is null or r.protocol = p.proto)
+ and (r.flags_value is null or p.tcp_flags & r.flags_mask = r.flags_value) and (r.modbus_codes is null or r.modbus_codes = p.modbus_fc)"""
+TJ = f"""{P}, {VS}, th as (select p.seq, min(r.ordinal) as ordinal from p join vs r on r.enabled and r.valid_from_us <= p.ts_us and (r.valid_to_us is null or p.ts_us < r.valid_to_us) and {FITS} group by p.seq),
+tj as (select p.seq, th.ordinal as rule_ordinal, vs.id as rule_id, coalesce(vs.action, 'pass') as verdict from p left join th using (seq) left join vs on vs.ordinal = th.ordinal)"""
+#: All that was ever asked to be added, ids repeated, as a list of rules.
+LS = f"{LG}, ls as (select *, row_number() over (order by ts_us, seq) - 1 as ordinal from lg where op = 'add')"
+STATES = """case when not enabled then 'disabled' when action = 'drop' then '{}' when action = 'alert' then 'alert_only' else 'pass' end"""
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.events(spark, sf_dir).filter(LOGGED)
+    rows = rows.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), *(F.expr(fixtures.spark_sql(x)).alias(k) for k, x in LOG.items()))
+    codes = F.when(F.col("modbus_codes").isNotNull(), F.array("modbus_codes")).otherwise(F.array().cast("array<int>"))
+    return rows.withColumns({"modbus_fcs": codes, "dnp3_fcs": F.array().cast("array<int>")}).drop("modbus_codes")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of all requests to add one, in order, ids repeated."""
+    rows = running_sums(log(spark, sf_dir).filter("op = 'add'"), [F.col("ts_us"), F.col("seq")], {"ordinal": F.lit(1)})
+    return rows.withColumn("ordinal", (F.col("ordinal") - 1).cast("int")).drop("op", "ts_us", "seq")
+
+
+@query(RULE_QUERIES, "rule_status", "l:ordinal s:id tap inline", f"{LS}, result as (select ordinal, id, {STATES.format('tap_only')} as tap, {STATES.format('blocking')} as inline from ls)")
 def rule_status(spark, sf_dir):
     a, e = F.col("action"), F.col("enabled")
-    return table(spark).withColumns({"tap": r.status(a, e, False), "inline": r.status(a, e, True)})
+    return asked(spark, sf_dir).withColumns({"tap": r.status(a, e, False), "inline": r.status(a, e, True)})
 
 
-@query(RULE_QUERIES, "rule_summary", "l:ordinal s:id match_summary", f"{R}, result as (select *, summary as match_summary from rr)")
+_SRC = f"case when src_ip is not null then 'src_ip=' || {V4.format('src_ip')} end"
+
+
+@query(
+    RULE_QUERIES,
+    "rule_summary",
+    "l:ordinal s:id match_summary",
+    f"""{LS}, result as (select ordinal, id, coalesce(nullif(concat_ws(', ', {_SRC}, 'dst_port=' || dst_port, 'proto=' || protocol, 'tcp_flags(0x' || lower(lpad(hex(flags_mask), 2, '0')) || ')=0x' || lower(lpad(hex(flags_value), 2, '0')),
+ 'modbus_fc=[' || modbus_codes || ']'), ''), 'any') as match_summary from ls)""",
+)
 def rule_summary(spark, sf_dir):
-    return table(spark).withColumn("match_summary", r.match_summary(net.ipv4_of_long))
+    return asked(spark, sf_dir).withColumn("match_summary", r.match_summary(net.ipv4_of_long))
 
 
 @query(
@@ -136,19 +186,58 @@ def ips_rules(spark, sf_dir):
     return r.listing(judged(spark, sf_dir), table(spark), True, net.ipv4_of_long)
 
 
-@query(RULE_QUERIES, "rule_delete", "l:ordinal s:id", f"{R}, result as (select * from rr where id <> 'GE-OT-002')")
+@query(
+    RULE_QUERIES,
+    "rule_delete",
+    "l:seq rule_ordinal s:rule_id",
+    f"""{P}, {LS}, dl as (select p.seq, min(r.ordinal) as ordinal from p join ls r on r.enabled and r.id <> 'R3' and {FITS} group by p.seq),
+result as (select p.seq, dl.ordinal as rule_ordinal, ls.id as rule_id from p left join dl using (seq) left join ls on ls.ordinal = dl.ordinal)""",
+)
 def rule_delete(spark, sf_dir):
-    return r.without(table(spark), "GE-OT-002")
+    """What packets match once all rules of an id are gone."""
+    return r.match_joined(fixtures.packets(spark, sf_dir), r.without(asked(spark, sf_dir), "R3"))
 
 
-@query(RULE_QUERIES, "rule_lookup", "l:ordinal s:id severity", f"{R}, result as (select * from rr where id = 'GE-OT-002' order by ordinal limit 1)")
+@query(RULE_QUERIES, "rule_lookup", "l:ordinal s:id severity description", f"{LS}, result as (select * from ls where id = 'R5' order by ordinal limit 1)")
 def rule_lookup(spark, sf_dir):
-    return r.by_id(table(spark), "GE-OT-002")
+    return r.by_id(asked(spark, sf_dir), "R5")
 
 
-@query(RULE_QUERIES, "rule_dedup", "l:ordinal s:id", f"{R}, result as (select id, min(ordinal) as ordinal from rr group by all)")
+@query(RULE_QUERIES, "rule_dedup", "l:ordinal s:id", f"{LS}, result as (select id, min(ordinal) as ordinal from ls group by all)")
 def rule_dedup(spark, sf_dir):
-    return r.distinct_ids(table(spark))
+    return r.distinct_ids(asked(spark, sf_dir))
+
+
+_ANSWER = "case when not accepted then 'rule ' || chr(39) || id || chr(39) || case op when 'add' then ' already exists' else ' not found' end end"
+
+
+@query(RULE_QUERIES, "rule_requests", "l:seq s:op id b:accepted s:answer", f"{RQ}, result as (select *, {_ANSWER} as answer from rq)")
+def rule_requests(spark, sf_dir):
+    """What each request to add or delete a rule is answered."""
+    return r.requests(log(spark, sf_dir))
+
+
+@query(RULE_QUERIES, "rule_versions", "l:ordinal s:id action b:enabled l:valid_from_us valid_to_us", f"{VS}, result as (select * from vs)")
+def rule_versions(spark, sf_dir):
+    return r.versions(log(spark, sf_dir))
+
+
+@query(RULE_QUERIES, "rule_match_versions", "l:seq rule_ordinal s:rule_id verdict", f"{TJ}, result as (select * from tj)")
+def rule_match_versions(spark, sf_dir):
+    """Each packet judged by the rules that hold at its time."""
+    return r.match_joined(fixtures.packets(spark, sf_dir), r.versions(log(spark, sf_dir)))
+
+
+@query(
+    RULE_QUERIES,
+    "rule_version_hits",
+    "l:ordinal s:id l:hits",
+    f"{TJ}, result as (select vs.ordinal, vs.id, count(tj.seq) as hits from vs left join tj on tj.rule_ordinal = vs.ordinal where vs.valid_to_us is null or vs.valid_to_us > (select max(ts_us) from p) group by all)",
+)
+def rule_version_hits(spark, sf_dir):
+    """Hits of the rules that hold at the end: those of deleted ones are gone, those added again count anew."""
+    found, packets = r.versions(log(spark, sf_dir)), fixtures.packets(spark, sf_dir)
+    return r.hits_of_versions(r.match_joined(packets, found), r.held_at(found, views.as_of(packets)))
 
 
 @query(RULE_QUERIES, "ips_events_last300", "l:seq ts_us s:rule_id rule_severity verdict", f"{JUDGED}, result as (select * from j where rule_id is not null order by ts_us desc, seq desc limit {c.MOST_EVENTS})")
