@@ -46,10 +46,12 @@ class Bytes:
         self.length = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, at[1:] - at[:-1])
         self.data = np.frombuffer(data, "u1") if data is not None and data.size else np.zeros(1, "u1")
 
-    def number(self, at: np.ndarray | int, size: int) -> np.ndarray:
-        out = np.zeros(len(self.start), "i8")
+    def number(self, at: np.ndarray | int, size: int, rows: np.ndarray | None = None) -> np.ndarray:
+        """A number of so many bytes of each row, or of each of `rows`, which may repeat."""
+        start = (self.start if rows is None else self.start[rows]) + at
+        out = np.zeros(len(start), "i8")
         for k in range(size):
-            out = out << 8 | self.data[np.minimum(self.start + at + k, len(self.data) - 1)]
+            out = out << 8 | self.data[np.minimum(start + k, len(self.data) - 1)]
         return out
 
     def parts(self, at: np.ndarray | int, size: np.ndarray) -> pa.Array:

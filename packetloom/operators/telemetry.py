@@ -5,12 +5,16 @@ Null and broken inputs give no record (NetFlow) or a null struct (syslog, SNMP);
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from packetloom.functions.binary import u8, u16, u32
+from packetloom.functions.binary import u8
+from packetloom.functions.frames import Bytes
 
 # Sizes and offsets of a NetFlow v5 datagram.
 HEADER, RECORD = 24, 48
@@ -20,15 +24,21 @@ DEFAULT_PRIORITY = 13
 
 
 def netflow_v5(datagrams: DataFrame, data: str = "data") -> DataFrame:
-    """A row for each whole record of each version 5 datagram, with `record` (from 0) and the fields; addresses are bigints. Columns other than `data` are kept."""
-    d = F.col(f"`{data}`")
-    n = F.least(u16(d, 2), F.floor((F.length(d) - HEADER) / RECORD).cast("int"))
-    n = F.when((F.length(d) >= HEADER) & (u16(d, 0) == 5) & (n > 0), n)
-    kept = [F.col(f"`{c}`") for c in datagrams.columns if c != data and c != "record" and c not in NETFLOW_FIELDS]
-    rows = datagrams.withColumn("_n", n).filter("_n > 0").select(*kept, d.alias("_d"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("record"))
-    at = HEADER + F.col("record") * RECORD
-    read = {1: u8, 2: u16, 4: u32}
-    return rows.select(*kept, "record", *(read[size](F.col("_d"), at + k).alias(name) for name, (k, size) in NETFLOW_FIELDS.items()))
+    """A row for each whole record of each version 5 datagram, with `record` (from 0) and the fields; addresses are bigints. Columns other than `data` are kept. All records of a batch are read at once."""
+    kept = [f for f in datagrams.schema.fields if f.name != data and f.name != "record" and f.name not in NETFLOW_FIELDS]
+    kinds = [*kept, StructField("record", IntegerType()), *(StructField(c, LongType() if size == 4 else IntegerType()) for c, (_, size) in NETFLOW_FIELDS.items())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = Bytes(b.column(len(kept)))
+            n = np.where((d.length >= HEADER) & (d.number(0, 2) == 5), np.minimum(d.number(2, 2), (d.length - HEADER) // RECORD), 0)
+            row = np.repeat(np.arange(len(b)), n)
+            record = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            fields = [d.number(HEADER + record * RECORD + k, size, row).astype("i8" if size == 4 else "i4") for k, size in NETFLOW_FIELDS.values()]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(row)) for k in range(len(kept))), pa.array(record.astype("i4")), *map(pa.array, fields)], [f.name for f in kinds])
+
+    rows = datagrams.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{data}`"))
+    return rows.mapInArrow(run, StructType(kinds))
 
 
 def syslog_info(message: Column) -> Column:
