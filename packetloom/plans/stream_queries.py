@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.operators.flows import KEY as KEYS
+from packetloom.operators.flows import spread, total
 from packetloom.plans import fixtures
 from packetloom.plans.flow_queries import FLOWS, IDLE
 from packetloom.plans.queries import query
@@ -17,15 +20,26 @@ STREAM_QUERIES: list = []
 SECONDS = IDLE // 1_000_000
 
 
-def drained(stream: DataFrame) -> DataFrame:
+def drained(stream: DataFrame, out: str | None = None, log: str | None = None) -> DataFrame:
     """What the stream appends until its files are read, written once."""
     spark = stream.sparkSession
-    out, log = scratch(spark, "stream"), scratch(spark, "stream-log")
+    out, log = out or scratch(spark, "stream"), log or scratch(spark, "stream-log")
     writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True)
     writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def in_two_runs(spark: SparkSession, sf_dir: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream of the packets appends that is stopped when half of the time is over and started again from its checkpoint. made: the stream out of that of packets, with ts."""
+    path, out, log = (scratch(spark, x) for x in ("packets", "stream", "stream-log"))
+    rows = fixtures.packets(spark, sf_dir).withColumn("ts", F.timestamp_micros("ts_us"))
+    half = rows.agg(((F.min("ts_us") + F.max("ts_us")) / 2).cast("long").alias("half")).first()[0] or 0
+    for part in (rows.filter(F.col("ts_us") <= half), rows.filter(F.col("ts_us") > half)):
+        part.write.mode("append").parquet(path)
+        found = drained(made(spark.readStream.schema(rows.schema).parquet(path)), out, log)
+    return found
+
+
 @query(STREAM_QUERIES, "stream_alerts", "l:seq s:rule_id verdict", f"{JUDGED}, result as (select * from j where rule_id is not null)")
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(sf.alerts(fixtures.packet_stream(spark, sf_dir), RULES).select("seq", "rule_id", "verdict"))
@@ -41,3 +55,26 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that the watermark, which the last packet sets, has passed."""
     rows = fixtures.packet_stream(spark, sf_dir).withColumn("ts", F.timestamp_micros("ts_us"))
     return drained(sf.session_flows(rows, f"{SECONDS} seconds", "0 seconds"))
+
+
+#: Flows whose idle time was over before the last packet, as an event-time timer sees it, in milliseconds.
+OVER = f"(last_us + {IDLE}) // 1000 + 1 <= (select max(ts_us) from p) // 1000"
+
+
+@query(
+    STREAM_QUERIES,
+    "stream_closed",
+    f"l:{' '.join(KEYS)} first_us last_us fwd_packets rev_packets fwd_bytes rev_bytes tcp_flags n_iat d:iat_mean iat_std size_var s:dns_names close_reason",
+    f"{FLOWS}, result as (select *, 'IdleTimeout' as close_reason from f where {OVER})",
+)
+def stream_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows that a stream with keyed state closes, with samples, though it is stopped in the middle and started again."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = in_two_runs(spark, sf_dir, lambda packets: sf.tracked_flows(packets, lambda ip: ip.cast("string"), IDLE, "0 seconds"))
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    mean = F.coalesce(total("iats") / F.nullif(F.size("iats"), F.lit(0)) / 1000.0, F.lit(0.0))
+    return rows.withColumns({"n_iat": F.size("iats"), "iat_mean": mean, "iat_std": F.sqrt(spread("iats", 1000.0)), "size_var": spread("sizes"), "dns_names": F.array_join("dns_queries", ",")})

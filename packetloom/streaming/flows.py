@@ -9,6 +9,7 @@ Streams have ts TIMESTAMP beside the columns that `operators.flows` takes. Rows
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,8 +45,72 @@ RECORD = "first_us long, last_us long, fwd_packets long, rev_packets long, fwd_b
 CLOSED = f"a_ip string, b_ip string, a_port int, b_port int, proto int, {RECORD}, close_reason string"
 
 
+@dataclass
+class Run:
+    """Packets of a flow that no idle gap parts: counts, and of the first ones what samples need, as (time, seq, value)."""
+
+    first: int
+    last: int
+    packets: list[int]
+    sizes: list[int]
+    flags: int
+    head: list[tuple[int, int, int]]
+    names: list[tuple[int, int, str]]
+
+    def joined(self, other: Run) -> Run:
+        add = lambda a, b: [x + y for x, y in zip(a, b)]
+        return Run(
+            min(self.first, other.first),
+            max(self.last, other.last),
+            add(self.packets, other.packets),
+            add(self.sizes, other.sizes),
+            self.flags | other.flags,
+            sorted(self.head + other.head)[: SAMPLES + 1],
+            sorted(self.names + other.names)[:NAMES],
+        )
+
+
+def runs_of(part: pd.DataFrame, idle_us: int) -> list[Run]:
+    """The runs of some packets of a flow, in any order."""
+    part = part.sort_values(["ts_us", "seq"], kind="stable")
+    ts, seq, forward, size, flags = (part[c].to_numpy() for c in ("ts_us", "seq", "forward", "size", "tcp_flags"))
+    cuts = [0, *(np.flatnonzero(np.diff(ts) > idle_us) + 1).tolist(), len(ts)]
+    out = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        fwd, own = forward[lo:hi].astype(bool), size[lo:hi].astype("i8")
+        end = min(hi, lo + SAMPLES + 1)
+        named = part.iloc[lo:hi][["ts_us", "seq", "dns_query"]].dropna(subset="dns_query").iloc[:NAMES]
+        sides = (fwd, ~fwd)
+        out.append(
+            Run(
+                int(ts[lo]),
+                int(ts[hi - 1]),
+                [int(x.sum()) for x in sides],
+                [int(own[x].sum()) for x in sides],
+                int(np.bitwise_or.reduce(flags[lo:hi].astype("i8"))),
+                list(zip(ts[lo:end].tolist(), seq[lo:end].tolist(), size[lo:end].tolist())),
+                [(int(t), int(k), str(x)) for t, k, x in named.itertuples(index=False)],
+            )
+        )
+    return out
+
+
+def joined(runs: list[Run], idle_us: int) -> list[Run]:
+    """Runs of which no two are within the idle time of each other, in order."""
+    out: list[Run] = []
+    for run in sorted(runs, key=lambda r: (r.first, r.last)):
+        if out and run.first - out[-1].last <= idle_us:
+            out[-1] = out[-1].joined(run)
+        else:
+            out.append(run)
+    return out
+
+
 class FlowTracker(StatefulProcessor):
-    """One flow: its open record in a value state, and a timer at the end of its idle time. Packets of a batch are taken in order of time, all of a flow's together."""
+    """One flow: its open record in a value state, and a timer at the end of its idle time.
+
+    Packets of a batch are taken in order of time. They come in chunks, of which only the runs are held: counts, and the first samples of each.
+    """
 
     def __init__(self, idle_us: int):
         self.idle_us = idle_us
@@ -57,29 +122,25 @@ class FlowTracker(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         done = []
         state = list(self.record.get()) if self.record.exists() else None
-        part = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "seq"], kind="stable")  # a flow's packets of one batch
-        ts, forward, size, flags = (part[c].to_numpy() for c in ("ts_us", "forward", "size", "tcp_flags"))
-        gaps = np.diff(ts, prepend=state[1] if state else ts[:1])
-        starts = np.flatnonzero(gaps > self.idle_us)
-        for lo, hi in zip((0, *starts), (*starts, len(ts))):
-            if lo == hi:  # the first packet is past the open record's idle time
-                continue
-            if state is not None and lo in starts:
+        runs: list[Run] = []
+        for part in rows:
+            if len(part):
+                runs = joined(runs + runs_of(part, self.idle_us), self.idle_us)
+        for run in runs:
+            if state is not None and run.first - state[1] > self.idle_us:
                 done.append((*key, *state, "IdleTimeout"))
                 state = None
-            fresh = state is None
-            state = state or [int(ts[lo]), int(ts[lo]), 0, 0, 0, 0, 0, [], [], []]
-            fwd, own = forward[lo:hi].astype(bool), size[lo:hi].astype("i8")
-            state[0], state[1] = min(state[0], int(ts[lo])), max(state[1], int(ts[hi - 1]))
-            for k, side in ((0, fwd), (1, ~fwd)):
-                state[2 + k] += int(side.sum())
-                state[4 + k] += int(own[side].sum())
-            state[6] |= int(np.bitwise_or.reduce(flags[lo:hi].astype("i8")))
-            later = np.maximum(gaps[lo + fresh : hi], 0)
-            state[7] = [*state[7], *later[: SAMPLES - len(state[7])].tolist()]
-            state[8] = [*state[8], *own[: SAMPLES - len(state[8])].tolist()]
-            names = part["dns_query"].iloc[lo:hi].dropna()
-            state[9] = [*state[9], *names.iloc[: NAMES - len(state[9])].tolist()]
+            times = [t for t, _, _ in run.head]
+            gaps = np.diff([*([state[1]] if state else []), *times])
+            state = state or [run.first, run.first, 0, 0, 0, 0, 0, [], [], []]
+            state[0], state[1] = min(state[0], run.first), max(state[1], run.last)
+            for k in (0, 1):
+                state[2 + k] += run.packets[k]
+                state[4 + k] += run.sizes[k]
+            state[6] |= run.flags
+            state[7] = [*state[7], *np.maximum(gaps, 0)[: SAMPLES - len(state[7])].tolist()]
+            state[8] = [*state[8], *[x for _, _, x in run.head][: SAMPLES - len(state[8])]]
+            state[9] = [*state[9], *[x for _, _, x in run.names][: NAMES - len(state[9])]]
         if state is not None:
             self.record.update(tuple(state))
             for t in list(self.handle.listTimers()):
