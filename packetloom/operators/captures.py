@@ -5,13 +5,14 @@ All are functions of tables; `as_of` stands where a running sensor would take th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.net import five_tuple
 from packetloom.operators.ordered import newest, numbered_newest, running_sum, running_sums
+from packetloom.session import exists, written
 from packetloom.sources.pcap import write_pcap
 
 # Bytes of file and record headers, limits, and the forms of names.
@@ -156,7 +157,7 @@ def spooled(events: DataFrame, max_bytes: int, payload: Column, at: Column, orde
 
 
 def write_spool(taken: DataFrame, path: str) -> None:
-    """Appends `spooled` events to the spool's table, partitioned by the hour of their names. A row stands for what would be a file. Fits foreachBatch."""
+    """Appends `spooled` events to the spool's table, partitioned by the hour of their names. A row stands for what would be a file. For batch jobs; a stream takes `spool_batches`."""
     hour = F.substring("file_name", 1, 10)
     taken.select("file_name", "payload", "bytes", hour.alias("hour")).write.mode("append").partitionBy("hour").parquet(path)
 
@@ -166,3 +167,44 @@ def spool_state(spark: SparkSession, path: str) -> tuple[int, int]:
     rows = spark.read.schema("file_name string, bytes long").parquet(path)
     number = F.conv(F.substring("file_name", 16, 16), 16, 10).cast("long")
     return tuple(rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max(number) + 1, F.lit(0))).first())
+
+
+#: What a batch leaves the spool with.
+STATE = "bytes long, next_no long, taken long, refused long"
+
+
+def spool_batches(path: str, max_bytes: int, payload: Column, at: Column, order: str = "seq", threshold: float = 0.8) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: what the spool takes of each batch, once, however often a batch is run.
+
+    A batch's id names its events (`path`/events/batch=id) and the state that it leaves (`path`/state/batch=id), which is written last. A batch with a state is done; one without takes up the state of the batch before it and
+    replaces the events that an attempt may have left. `spool_of` reads only events of batches that have a state.
+    """
+
+    def take(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        states = spool_states(spark, path)
+        if not states.filter(F.col("batch") == n).isEmpty():
+            return
+        before = states.filter(F.col("batch") < n).orderBy(F.desc("batch")).first()
+        already, number = (before["bytes"], before["next_no"]) if before else (0, 0)
+        batch = written(batch, "spooling")  # read more than once, and a stream's batch may not be the same again
+        taken = spooled(batch, max_bytes, payload, at, order, threshold, already, number)
+        taken.select(order, "file_name", "payload", "bytes", "spool_bytes").write.mode("overwrite").parquet(f"{path}/events/batch={n}")
+        own = spark.read.schema("bytes long").parquet(f"{path}/events/batch={n}").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("taken"))
+        state = own.select((F.col("bytes") + already).alias("bytes"), (F.col("taken") + number).alias("next_no"), "taken", (F.lit(batch.count()) - F.col("taken")).alias("refused"))
+        state.coalesce(1).write.mode("overwrite").parquet(f"{path}/state/batch={n}")
+
+    return take
+
+
+def spool_states(spark: SparkSession, path: str) -> DataFrame:
+    """The state that each batch has left: STATE and batch."""
+    if not exists(spark, f"{path}/state"):
+        return spark.createDataFrame([], f"{STATE}, batch long")
+    return spark.read.schema(f"{STATE}, batch long").parquet(f"{path}/state")
+
+
+def spool_of(spark: SparkSession, path: str) -> DataFrame:
+    """The events that a stream has spooled, with their batch."""
+    done = spool_states(spark, path).select("batch")
+    return spark.read.option("basePath", f"{path}/events").parquet(f"{path}/events/batch=*").withColumn("batch", F.col("batch").cast("long")).join(done, "batch", "left_semi")

@@ -70,9 +70,14 @@ def write_kafka(events: DataFrame, brokers: list[str], topic: str = TOPIC) -> No
     out.option("kafka.acks", "all").option("kafka.batch.size", 65536).option("kafka.linger.ms", 5).save()
 
 
+def delivery_counts() -> dict[str, Column]:
+    """Aggregates of (value) rows that are sent; a null value is an event that could not be written."""
+    return {"delivered": F.count("value"), "errors": F.count_if(F.col("value").isNull()), "bytes_sent": F.coalesce(F.sum(F.octet_length("value")), F.lit(0))}
+
+
 def delivery_stats(sent: DataFrame) -> DataFrame:
-    """One row: delivered, errors, bytes_sent of (value) rows; a null value is an event that could not be written."""
-    return sent.agg(F.count("value").alias("delivered"), F.count_if(F.col("value").isNull()).alias("errors"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes_sent"))
+    """One row of `delivery_counts`."""
+    return sent.agg(*(c.alias(k) for k, c in delivery_counts().items()))
 
 
 def counter_lines(counts: DataFrame, metric: str, labels: dict[str, Column], n: Column) -> DataFrame:

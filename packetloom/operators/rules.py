@@ -286,16 +286,21 @@ def hits_of_versions(judged: DataFrame, rules: DataFrame) -> DataFrame:
     return rules.select("ordinal", "id").join(counted, "ordinal", "left").select("ordinal", "id", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
-def stats(judged: DataFrame) -> DataFrame:
-    """One row: inspected, passed, dropped, alerted, matched. Packets without a match count as passed, whatever the default."""
+def stats_of() -> dict[str, Column]:
+    """Aggregates of judged packets. Packets without a match count as passed, whatever the default."""
     hit, v = F.col("rule_id").isNotNull(), F.col("verdict")
-    return judged.agg(
-        F.count(F.lit(1)).alias("inspected"),
-        F.count_if(~hit | (v == "pass")).alias("passed"),
-        F.count_if(hit & (v == "drop")).alias("dropped"),
-        F.count_if(hit & (v == "alert")).alias("alerted"),
-        F.count_if(hit).alias("matched"),
-    )
+    return {
+        "inspected": F.count(F.lit(1)),
+        "passed": F.count_if(~hit | (v == "pass")),
+        "dropped": F.count_if(hit & (v == "drop")),
+        "alerted": F.count_if(hit & (v == "alert")),
+        "matched": F.count_if(hit),
+    }
+
+
+def stats(judged: DataFrame) -> DataFrame:
+    """One row of `stats_of`."""
+    return judged.agg(*(c.alias(k) for k, c in stats_of().items()))
 
 
 def hits(judged: DataFrame, rules: DataFrame) -> DataFrame:

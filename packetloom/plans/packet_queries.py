@@ -305,7 +305,10 @@ JSON = f"""'{{"@timestamp":"' || strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fx.packets(spark, sf_dir)
+    return envelopes_of(fx.packets(spark, sf_dir))
+
+
+def envelopes_of(p: DataFrame) -> DataFrame:
     at = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     return e.as_json(e.envelope(p, TENANT, at, F.lower(net.protocol_name(F.col("proto"))), net.ipv4_of_long(F.col("src_ip")), net.ipv4_of_long(F.col("dst_ip"))))
 

@@ -47,6 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or a folder of this name."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def clear_scratch(spark: SparkSession) -> bool:
     """Removes all that this application has written to the shared folder; whether there was any. For the end of an application: results that weren't read yet are lost."""
     jvm = spark.sparkContext._jvm
