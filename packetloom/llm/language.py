@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import documents, slices, written
+from packetloom.llm.common import documents, loaded, slices, written
 
 UNKNOWN = "und"
 #: Bounds of the labelled sample, in characters.
@@ -245,16 +245,9 @@ class CrossParser:
         return out
 
 
-_LOADED: dict[int, tuple[dict[str, str], CrossParser]] = {}
-
-
 def parser(texts: dict[str, str]) -> CrossParser:
     """One for each worker and sample."""
-    key = hash(tuple(sorted(texts.items())))
-    if key not in _LOADED or _LOADED[key][0] != texts:
-        _LOADED.clear()
-        _LOADED[key] = texts, CrossParser(texts)
-    return _LOADED[key][1]
+    return loaded(("language", *sorted(texts.items())), lambda: CrossParser(texts))
 
 
 def identify(df: DataFrame, sample: dict[str, str], text: str = "text", lang: str = "lang_pred", score: str = "lang_score", rate: str | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import documents, slices, whole_text, written
+from packetloom.llm.common import documents, loaded, slices, whole_text, written
 from packetloom.llm.wordbpe import WordBpe, spread
 
 END_ID = 2
@@ -148,9 +148,6 @@ class Ids(WordBpe):
         return out, total
 
 
-_LOADED: dict[str, Ids] = {}
-
-
 def shortest_pack_first(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how many sequences have each. counts: pieces by length, from 1 to capacity."""
     total = sum(n * length for length, n in counts.items())
@@ -198,9 +195,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_i
     """(key, start, length, ids_crc32, doc_tokens) of each piece, and its partition and rank there among equal lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _LOADED:
-            _LOADED[path] = Ids(path)
-        v, seen, part = _LOADED[path], np.zeros(capacity + 1, "i8"), TaskContext.get().partitionId()
+        v, seen, part = loaded(("ids", path), lambda: Ids(path)), np.zeros(capacity + 1, "i8"), TaskContext.get().partitionId()
         end = END_ID.to_bytes(4, "little")
         for b in slices(batches):
             rows = []
