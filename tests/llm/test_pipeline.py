@@ -20,7 +20,7 @@ def test_stages(spark):
 
 
 def test_a_query_for_each_operator():
-    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_near_copies_as_brute_force(spark, monkeypatch):
