@@ -1,18 +1,17 @@
 """Application protocols out of payloads: each gives a nullable struct; null means that it isn't that protocol.
 
 HTTP, Modbus, DNP3 and BACnet are column expressions. DNS names and TLS extensions are walks of unknown length and
-run in Arrow functions. Null payloads, and offsets beyond the end, give null.
+run in Arrow functions, for all payloads of a batch at once. Null payloads, and offsets beyond the end, give null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StructField, StructType
 
+from packetloom.functions import walks
 from packetloom.functions.binary import Place, rest, u8, u16, u16le
 from packetloom.functions.net import bound
 
@@ -20,7 +19,6 @@ from packetloom.functions.net import bound
 MODBUS_WRITES = (5, 6, 15, 16)
 DNP3_CONTROLS = (2, 3, 4, 5, 6, 13, 14)
 BACNET_WRITE = 15
-MOST_LABELS = 10
 
 
 def http_text(data: Column, at: Place) -> Column:
@@ -116,146 +114,38 @@ def bacnet_info(data: Column, at: Place = 0) -> Column:
     return bound(rest(data, at), found)
 
 
-def dns_name(data: bytes, at: int) -> tuple[str, int] | None:
-    """The name at `at` and the place behind it, or None where it is broken.
+def utf8(raw: Column, otherwise: str) -> Column:
+    return F.coalesce(F.try_validate_utf8(raw.cast("string")), F.lit(otherwise))
 
-    More than MOST_LABELS labels in a run break it. A pointer starts a new run elsewhere; if that is broken, or was visited before, the
-    labels so far are the name. Behind labels the place is that of the pointer itself.
-    """
-    runs: list[list[str]] = [[]]
-    place = None
-    seen: set[int] = set()
-    whole = False
-    while True:
-        labels = runs[-1]
-        if at >= len(data) or len(labels) > MOST_LABELS:
-            break
-        size = data[at]
-        if size == 0:
-            place = at + 1 if place is None else place
-            whole = True
-            break
-        if size >= 0xC0:
-            if at + 1 >= len(data):
-                break
-            if place is None:
-                place = at if labels else at + 2
-            target = (size & 0x3F) << 8 | data[at + 1]
-            runs.append([])
-            if target in seen:
-                break
-            seen.add(target)
-            at = target
-            continue
-        label = data[at + 1 : at + 1 + size]
-        if len(label) < size:
-            break
-        try:
-            labels.append(label.decode())
-        except UnicodeDecodeError:
-            labels.append("<invalid>")
-        at += 1 + size
-    if not whole and len(runs) == 1:
-        return None
-    name = ".".join(runs.pop()) if whole else None
-    if not whole:
-        runs.pop()
-    for labels in reversed(runs):
-        name = ".".join(labels) if name is None else ".".join([*labels, name]) if labels else name
-    return name, place
-
-
-def dns_question(data: bytes) -> tuple[str, int]:
-    """Name and type of the first question; empty and 0 where the name is broken."""
-    found = dns_name(data, 12)
-    if found is None:
-        return "", 0
-    name, at = found
-    return name, int.from_bytes(data[at : at + 2], "big") if len(data) >= at + 2 else 0
-
-
-@F.arrow_udf(StructType().add("name", StringType()).add("type", IntegerType()))
+
+@F.arrow_udf(StructType().add("labels", ArrayType(BinaryType())).add("dot", BooleanType()).add("type", IntegerType()))
 def dns_questions(payloads: pa.Array) -> pa.Array:
-    found = [None if p is None else dns_question(p) for p in payloads.to_pylist()]
-    return pa.array([None if f is None else {"name": f[0], "type": f[1]} for f in found], pa.struct([("name", pa.string()), ("type", pa.int32())]))
+    return walks.dns_names(payloads)
 
 
 def dns_info(data: Column, at: Place = 0) -> Column:
     """STRUCT<transaction_id, is_response, question_count, answer_count, query_name, query_type>; names that are broken are empty."""
     p = rest(data, at)
     asked = dns_questions(F.when((F.length(p) >= 12) & (u16(p, 4) > 0), p))
+    name = F.concat(F.array_join(F.transform(asked["labels"], lambda x: utf8(x, "<invalid>")), "."), F.when(asked["dot"], ".").otherwise(""))
     found = F.struct(
         u16(p, 0).alias("transaction_id"),
         (u16(p, 2).bitwiseAND(0x8000) != 0).alias("is_response"),
         u16(p, 4).alias("question_count"),
         u16(p, 6).alias("answer_count"),
-        F.coalesce(asked["name"], F.lit("")).alias("query_name"),
+        F.coalesce(name, F.lit("")).alias("query_name"),
         F.coalesce(asked["type"], F.lit(0)).alias("query_type"),
     )
     return F.when(F.length(p) >= 12, found)
 
 
-class Cursor:
-    """Reads big-endian numbers up to an end; past it `short` is set."""
-
-    def __init__(self, data: bytes, at: int, end: int):
-        self.data, self.at, self.end, self.short = data, at, end, False
-
-    def number(self, n: int) -> int:
-        if self.at + n > self.end:
-            self.short = True
-            return 0
-        self.at += n
-        return int.from_bytes(self.data[self.at - n : self.at], "big")
-
-
-def extensions(c: Cursor, end: int) -> Iterator[tuple[int, int, int]]:
-    """(type, start, end) of each extension up to `end`."""
-    while c.at + 4 <= end:
-        kind, size = c.number(2), c.number(2)
-        yield kind, c.at, c.at + size
-        c.at += size
-
-
-def client_hello(data: bytes) -> dict | None:
-    """Content and handshake type, version and server name of a TLS record; the name is empty for other handshakes, None for what is no or a cut handshake."""
-    if len(data) < 9 or data[0] != 22:
-        return None
-    out = {"content_type": data[0], "major": data[1], "minor": data[2], "handshake_type": data[5], "sni": ""}
-    if data[5] != 1:
-        return out
-    end = min(5 + int.from_bytes(data[3:5], "big"), len(data))
-    c = Cursor(data, 43, end)
-    for width in (1, 2, 1):  # session id, cipher suites, compression methods
-        skipped = c.number(width)
-        c.at += skipped
-    size = c.number(2)
-    if c.short:
-        return None
-    limit = min(c.at + size, end)
-    for kind, a, b in extensions(c, limit):
-        if kind == 0 and b - a > 5 and b <= limit and data[a + 2] == 0:
-            stop = a + 5 + int.from_bytes(data[a + 3 : a + 5], "big")
-            if stop <= limit:
-                try:
-                    return out | {"sni": data[a + 5 : stop].decode()}
-                except UnicodeDecodeError:
-                    return out
-    return out
-
-
-TLS_TYPE = StructType([StructField(c, IntegerType()) for c in ("content_type", "major", "minor", "handshake_type")]).add("sni", StringType())
-TLS_FIELDS = [("content_type", pa.int32()), ("major", pa.int32()), ("minor", pa.int32()), ("handshake_type", pa.int32()), ("sni", pa.string())]
-
-
-@F.arrow_udf(TLS_TYPE)
+@F.arrow_udf(StructType([StructField(c, IntegerType()) for c in ("content_type", "major", "minor", "handshake_type")]).add("sni", BinaryType()))
 def client_hellos(payloads: pa.Array) -> pa.Array:
-    return pa.array([None if p is None else client_hello(p) for p in payloads.to_pylist()], pa.struct(TLS_FIELDS))
+    return walks.client_hellos(payloads)
 
 
 def tls_info(data: Column, at: Place = 0) -> Column:
     """STRUCT<content_type, major, minor, handshake_type, sni>. Only handshake records go to Python."""
     p = rest(data, at)
-    return client_hellos(F.when((F.length(p) >= 9) & (u8(p, 0) == 22), p))
-
-
+    found = client_hellos(F.when((F.length(p) >= 9) & (u8(p, 0) == 22), p))
+    return F.when(found.isNotNull(), found.withField("sni", utf8(found["sni"], "")))

@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
+from packetloom.functions import walks
 from packetloom.functions.binary import u8
 from packetloom.functions.frames import Bytes
 
@@ -67,47 +68,18 @@ def syslog_info(message: Column) -> Column:
 
 
 def ber_length(data: bytes, at: int) -> tuple[int, int] | None:
-    """A BER length and the place behind it: one byte, or the number of up to four bytes that follow."""
-    if at >= len(data):
-        return None
-    size = data[at]
-    if size < 0x80:
-        return size, at + 1
-    n = size & 0x7F
-    if not 1 <= n <= 4 or at + 1 + n > len(data):
-        return None
-    return int.from_bytes(data[at + 1 : at + 1 + n], "big"), at + 1 + n
-
-
-def trap_envelope(data: bytes) -> dict | None:
-    """Version and community of an SNMP message."""
-    if len(data) < 10 or data[0] != 0x30 or not (found := ber_length(data, 1)):
-        return None
-    values = []
-    at = found[1]
-    for tag in (0x02, 0x04):
-        if at >= len(data) or data[at] != tag or not (found := ber_length(data, at + 1)):
-            return None
-        size, start = found
-        at = start + size
-        values.append((start, at))
-    (version, _), (a, b) = values
-    if version >= len(data) or b > len(data):
-        return None
-    try:
-        community = data[a:b].decode()
-    except UnicodeDecodeError:
-        community = "???"
-    return {"version": data[version], "community": community}
-
-
-@F.arrow_udf(StructType().add("version", IntegerType()).add("community", StringType()))
+    """A BER length and the place behind it, or None."""
+    size, place, ok = walks.ber_lengths(Bytes(pa.array([data], pa.binary())), np.array([at]))
+    return (int(size[0]), int(place[0])) if ok[0] else None
+
+
+@F.arrow_udf(StructType().add("version", IntegerType()).add("community", BinaryType()))
 def trap_envelopes(data: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else trap_envelope(x) for x in data.to_pylist()], pa.struct([("version", pa.int32()), ("community", pa.string())]))
+    return walks.trap_envelopes(data)
 
 
 def snmp_info(data: Column) -> Column:
     """STRUCT<version, community, trap_oid, varbinds> of an SNMP v1 or v2c message. Objects aren't decoded: the last two are always empty."""
     found = trap_envelopes(F.when((F.length(data) >= 10) & (u8(data, 0) == 0x30), data))
     empty = F.lit(None).cast("array<struct<oid:string,value:string>>")
-    return F.when(found.isNotNull(), F.struct(found["version"].alias("version"), found["community"].alias("community"), F.lit("").alias("trap_oid"), F.coalesce(empty, F.array().cast("array<struct<oid:string,value:string>>")).alias("varbinds")))
+    return F.when(found.isNotNull(), F.struct(found["version"].alias("version"), F.coalesce(F.try_validate_utf8(found["community"].cast("string")), F.lit("???")).alias("community"), F.lit("").alias("trap_oid"), F.coalesce(empty, F.array().cast("array<struct<oid:string,value:string>>")).alias("varbinds")))
