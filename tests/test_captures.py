@@ -4,11 +4,16 @@ import io
 import random
 import struct
 
+import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from packetloom.operators import captures
 from packetloom.sources import pcap
+from packetloom.sources.datagrams import packets_from
 from packetloom.sources.pcap import Capture, capture_stats, file_header, read_pcap, record, stream_pcap, write_pcap
+from packetloom.streaming import flows as sf
 
 SECS = 1_700_000_000
 
@@ -126,3 +131,48 @@ def test_a_stream_takes_so_many_bytes_a_trigger(spark, tmp_path):
         reader.commit(to)
         offset = to
     assert places[0][0] == 24 and places[-1][1] == 50_024 and all(a[1] == b[0] for a, b in zip(places, places[1:])) and len(places) == 20
+
+
+@pytest.mark.parametrize("most", [30, 200, 3000])
+def test_rings_as_kept_packet_by_packet(spark, tmp_path, most):
+    """Null sizes, packets larger than the ring, ties in time, and the files of all captures."""
+    rng = random.Random(most)
+    rows = [(k, rng.randrange(300), None if k % 13 == 0 else rng.choice([0, 1, 20, 60, 400]), rng.random() < 0.2) for k in range(500)]
+    df = spark.createDataFrame(rows, "seq long, ts_us long, length int, hit boolean").repartition(4)
+    packets, held = captures.rings(df, F.col("hit"), most)
+    ring, want = [], {}
+    for seq, ts, n, hit in sorted(rows, key=lambda r: (r[1], r[0])):
+        size = (n or 0) + 16
+        while ring and sum(x[1] for x in ring) + size > most:
+            ring.pop(0)
+        ring.append((seq, size, ts))
+        if hit:
+            want[seq] = (len(ring), sum(x[1] for x in ring), [x[0] for x in ring])
+    assert {x.seq: (x.ring_packets, x.ring_bytes) for x in held.collect()} == {k: v[:2] for k, v in want.items()}
+    data = F.unhex(F.lpad(F.hex("seq"), 16, "0"))
+    captures.write_rings(packets.withColumn("data", data), held, f"file://{tmp_path}/rings", F.concat(F.lit("c"), F.col("seq").cast("string"), F.lit(".pcap")))
+    found = {f.name: [int.from_bytes(r[3], "big") for r in Capture(open(f, "rb"), f.stat().st_size).records(24, 24, f.stat().st_size)] for f in (tmp_path / "rings").glob("*.pcap")}
+    assert found == {f"c{k}.pcap": v[2] for k, v in want.items()}
+
+
+def test_packets_by_mode(spark, tmp_path):
+    write_pcap(spark.createDataFrame([(5, b"abc")], "ts_us long, data binary"), f"file://{tmp_path}/p")
+    frames = packets_from(spark, "pcap", f"file://{tmp_path}/p")
+    frames.write.parquet(f"{tmp_path}/t")
+    for rows in (frames, packets_from(spark, "parquet", f"{tmp_path}/t")):
+        assert [(x.ts_us, x.orig_len, bytes(x.data)) for x in rows.collect()] == [(5, 3, b"abc")]
+    with pytest.raises(ValueError, match="live"):
+        packets_from(spark, "af_packet", "eth0")
+
+
+def test_runs_of_a_flow_in_chunks():
+    """The same runs, whatever chunks a batch comes in."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(40_000) if k % 3 else rng.randrange(900), k, rng.random() < 0.5, rng.randrange(90), rng.randrange(64), rng.choice([None, "a", "b"])) for k in range(900)]
+    part = lambda x: pd.DataFrame(x, columns=["ts_us", "seq", "forward", "size", "tcp_flags", "dns_query"])
+    whole = sf.runs_of(part(rows), 100)
+    for n in (1, 7, 300):
+        runs = []
+        for k in range(0, len(rows), n):
+            runs = sf.joined(runs + sf.runs_of(part(rows[k : k + n]), 100), 100)
+        assert runs == whole and 20 < len(runs) < 500 and max(sum(r.packets) for r in runs) > sf.SAMPLES
