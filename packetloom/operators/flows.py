@@ -10,10 +10,15 @@ of any length (`slice_us`), the result is the same, so where a burst is too much
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from packetloom.functions import features as f
 from packetloom.functions.net import protocol_name
@@ -69,39 +74,51 @@ def sessions(packets: DataFrame, idle_us: int = IDLE_US, slice_us: int | None =
 
 
 def pieces(packets: DataFrame, idle_us: int, slice_us: int) -> DataFrame:
-    """A row for each run of a flow's packets within a slice that nothing splits: its counts, its first gaps and sizes, its first names. One shuffle of the packets.
+    """A row for each run of a flow's packets within a slice that nothing splits: its counts, its first gaps and sizes, its first names. One shuffle of the packets, and one pass over each sorted partition.
 
-    Packets may have `cut`, which splits before a packet, and `ends`, why a record ends behind one."""
-    within = Window.partitionBy(*KEY, "slice").orderBy("ts_us", "seq")
+    Packets may have `cut`, which splits before a packet, and `ends`, why a record ends behind one. A run that goes on in another Arrow batch is a row in each; `piece` is their order.
+    """
     known = [F.col(c) if c in packets.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("cut", "boolean"), ("ends", "string"))]
-    rows = normalized(packets).select(*KEY, "ts_us", "seq", "forward", "size", "tcp_flags", "dns_query", *known).withColumn("slice", F.floor(F.col("ts_us") / slice_us))
-    rows = rows.withColumns({"gap": F.col("ts_us") - F.lag("ts_us").over(within), "rn": F.row_number().over(within), "named": F.count("dns_query").over(within)})
-    opens = F.col("gap").isNull() | (F.col("gap") > idle_us) | F.coalesce("cut", F.lit(False))
-    # where the run began: packets and names of the slice before it
-    rows = rows.withColumns(
-        {
-            "piece": F.count_if(opens).over(within),
-            "rn": F.col("rn") - F.max(F.when(opens, F.col("rn"))).over(within) + 1,
-            "nth": F.col("named") - F.max(F.when(opens, F.col("named") - F.col("dns_query").isNotNull().cast("int"))).over(within),
-        }
-    )
-    fwd = F.col("forward")
-    sample = F.when(F.col("rn") <= SAMPLES + 1, F.struct("rn", F.when(F.col("rn") > 1, F.col("gap")).alias("gap"), "size"))
-    name = F.when(F.col("dns_query").isNotNull() & (F.col("nth") <= NAMES), F.struct("nth", "dns_query"))
-    return rows.groupBy(*KEY, "slice", "piece").agg(
-        F.min("ts_us").alias("first_us"),
-        F.max("ts_us").alias("last_us"),
-        F.count_if(fwd).alias("fwd_packets"),
-        F.count_if(~fwd).alias("rev_packets"),
-        F.sum(F.when(fwd, F.col("size")).otherwise(0)).cast("long").alias("fwd_bytes"),
-        F.sum(F.when(fwd, 0).otherwise(F.col("size"))).cast("long").alias("rev_bytes"),
-        F.bit_or("tcp_flags").alias("tcp_flags"),
-        F.max(F.coalesce(F.col("cut"), F.lit(False)) & (F.col("rn") == 1)).alias("cut"),
-        F.max("ends").alias("ends"),
-        F.count("dns_query").alias("names"),
-        F.array_sort(F.collect_list(sample)).alias("samples"),
-        F.array_sort(F.collect_list(name)).alias("queries"),
-    )
+    rows = normalized(packets).withColumn("slice", F.floor(F.col("ts_us") / slice_us))
+    rows = rows.select(*KEY, "slice", F.xxhash64(*KEY, "slice").alias("group"), F.col("ts_us").cast("long").alias("ts_us"), F.col("seq").alias("seq"), "forward", F.col("size").cast("int").alias("size"), F.col("tcp_flags").cast("int").alias("tcp_flags"), F.col("dns_query").cast("string").alias("dns_query"), *known)
+    rows = rows.repartition(*KEY, "slice").sortWithinPartitions(*KEY, "slice", "ts_us", "seq").drop("seq")
+    keys = [f for f in rows.schema.fields if f.name in (*KEY, "slice")]
+    numbers = ("piece", "first_us", "last_us", "fwd_packets", "rev_packets", "fwd_bytes", "rev_bytes", "tcp_flags", "names")
+    kinds = StructType([*keys, *(StructField(c, IntegerType() if c == "tcp_flags" else LongType()) for c in numbers), StructField("cut", BooleanType()), StructField("ends", StringType()), StructField("samples", ArrayType(SAMPLE)), StructField("queries", ArrayType(NAME))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for b in batches:
+            n = len(b)
+            if not n:
+                continue
+            column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
+            whole = lambda c: column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            ts, group, forward, size, flags = (whole(c) for c in ("ts_us", "group", "forward", "size", "tcp_flags"))
+            cut = pc.fill_null(column("cut"), False).to_numpy(zero_copy_only=False)
+            gap = np.diff(ts, prepend=ts[:1])
+            new = np.concatenate(([True], group[1:] != group[:-1])) | (gap > idle_us) | cut
+            at = np.flatnonzero(new)
+            count = np.diff(np.append(at, n))
+            rank = np.arange(n) - np.repeat(at, count)
+            sums = lambda x: np.add.reduceat(x.astype("i8"), at)  # noqa: B023, E731
+            forward = forward.astype(bool)
+            named = column("dns_query").is_valid().to_numpy(zero_copy_only=False)
+            nth = np.cumsum(named) - np.repeat(np.cumsum(named)[at] - named[at], count)
+            some, words = rank <= SAMPLES, named & (nth <= NAMES)
+            last = at + count - 1
+            samples = pa.StructArray.from_arrays([pa.array((rank[some] + 1).astype("i4")), pa.array(gap[some], mask=rank[some] == 0), pa.array(size[some].astype("i4"))], ["rn", "gap", "size"])
+            queries = pa.StructArray.from_arrays([pa.array(nth[words].astype("i8")), column("dns_query").filter(pa.array(words))], ["nth", "dns_query"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sums(x))).astype("i4")), v) for x, v in ((some, samples), (words, queries))]
+            values = [done + np.arange(len(at)), ts[at], ts[last], sums(forward), sums(~forward), sums(np.where(forward, size, 0)), sums(np.where(forward, 0, size)), np.bitwise_or.reduceat(flags, at).astype("i4"), sums(named)]
+            done += len(at)
+            yield pa.RecordBatch.from_arrays([*(column(f.name).take(pa.array(at)) for f in keys), *map(pa.array, values), pa.array(cut[at]), column("ends").take(pa.array(last)), *lists], names=kinds.names)
+
+    return rows.mapInArrow(run, kinds)
+
+
+SAMPLE = StructType().add("rn", IntegerType()).add("gap", LongType()).add("size", IntegerType())
+NAME = StructType().add("nth", LongType()).add("dns_query", StringType())
 
 
 def flows(packets: DataFrame, idle_us: int = IDLE_US, slice_us: int | None = None) -> DataFrame:
