@@ -24,14 +24,16 @@ import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from packetloom.session import written
@@ -53,6 +55,8 @@ MOST_TASKS = 20_000
 MAP_BYTES = 8 << 20
 #: Bytes that are read at once.
 BLOCK = 1 << 22
+#: Headers that are farther from each other than this are read one by one.
+FAR = 1 << 16
 #: After damage: plausible headers in a row that make a place the start of a record, and how far the times of two of them may lie from each other.
 RUN, NEAR_SECS = 5, 400 * 86_400
 #: A place that isn't known yet: the first run of plausible headers from here on.
@@ -68,31 +72,53 @@ def record(ts_us: int | None, data: bytes | None, orig_len: int | None = None) -
     return struct.pack("<IIII", (ts_us or 0) // 1_000_000, (ts_us or 0) % 1_000_000, len(data), len(data) if orig_len is None else orig_len) + data
 
 
+def records_of(b: pa.RecordBatch, snaplen: int) -> np.ndarray:
+    """The bytes of `record` for all rows of ts_us, data and, if there, orig_len; data is cut to `snaplen`."""
+    column = lambda c: b.column(b.schema.get_field_index(c))
+    data = pc.fill_null(column("data").cast(pa.large_binary()), b"")
+    whole = pc.binary_length(data).to_numpy(zero_copy_only=False).astype("i8")
+    size = np.minimum(whole, snaplen)
+    orig = pc.coalesce(column("orig_len").cast(pa.int64()), pa.array(whole)).to_numpy(zero_copy_only=False) if "orig_len" in b.schema.names else whole
+    ts = pc.fill_null(column("ts_us").cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+    numbers = np.stack([ts // 1_000_000, ts % 1_000_000, size, orig], axis=1)
+    if numbers.size and (numbers.min() < 0 or numbers.max() >= 1 << 32):
+        raise ValueError("times and lengths of a PCAP record are unsigned numbers of 32 bits")
+    begin = np.cumsum(16 + size) - 16 - size
+    out = np.empty(int((16 + size).sum()), "u1")
+    out[begin[:, None] + np.arange(16)] = numbers.astype("<u4").view("u1").reshape(-1, 16)
+    starts = np.frombuffer(data.buffers()[1], "<i8")[data.offset : data.offset + len(data)]
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    if len(within):
+        out[np.repeat(begin + 16, size) + within] = np.frombuffer(data.buffers()[2], "u1")[np.repeat(starts, size) + within]
+    return out
+
+
 @dataclass
 class Exits:
     """Where chains of headers leave a range of bytes, by where they enter it (SEARCH: nowhere, they end in damage). Places in `own` have exits of their own; any other leaves where the next one in `runs` after it does."""
 
-    runs: list[int]
-    run_exits: list[int]
-    own: list[int]
-    own_exits: list[int]
+    runs: np.ndarray
+    run_exits: np.ndarray
+    own: np.ndarray
+    own_exits: np.ndarray
 
     def of(self, at: int) -> int:
         k = bisect_left(self.own, at)
-        return self.own_exits[k] if k < len(self.own) and self.own[k] == at else self.after(at)
+        return int(self.own_exits[k]) if k < len(self.own) and self.own[k] == at else self.after(at)
 
     def after(self, at: int) -> int:
         """Of the first run that begins after this place."""
         k = bisect_right(self.runs, at)
-        return self.run_exits[k] if k < len(self.runs) else SEARCH
+        return int(self.run_exits[k]) if k < len(self.runs) else SEARCH
 
 
 class Capture:
     """An open PCAP file of known size. `order` is None if it is no PCAP file. whole: nothing will be added behind that size."""
 
     def __init__(self, f: BinaryIO, size: int, whole: bool = True):
-        self.f, self.size, self.whole, self.at, self.block = f, size, whole, 0, b""
-        head = self.bytes(0, 24)
+        self.f, self.size, self.whole, self.at, self.block, self.step = f, size, whole, 0, b"", BLOCK
+        f.seek(0)
+        head = f.read(min(24, size))
         self.order = next((o for o in "<>" if len(head) == 24 and struct.unpack(o + "I", head[:4])[0] in (MAGIC_US, MAGIC_NS)), None)
         if self.order:
             self.unit = 1 if struct.unpack(self.order + "I", head[:4])[0] == MAGIC_US else 1000
@@ -101,7 +127,7 @@ class Capture:
         n = max(0, min(n, self.size - at))
         if not self.at <= at <= at + n <= self.at + len(self.block):
             self.f.seek(at)
-            self.at, self.block = at, self.f.read(max(n, BLOCK))
+            self.at, self.block = at, self.f.read(max(n, self.step))
         return self.block[at - self.at : at - self.at + n]
 
     def header(self, at: int) -> tuple[int, int, int, int] | None:
@@ -123,6 +149,61 @@ class Capture:
             secs, at = h[0], at + 16 + h[2]
         return RUN
 
+    def headers(self, at: np.ndarray) -> np.ndarray:
+        """The four numbers of the headers at these places, a row each. Neighbouring places are read together, each block once."""
+        order = np.argsort(at, kind="stable")
+        places = at[order]
+        raw = np.empty((len(at), 16), "u1")
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(places) > FAR) + 1, [len(places)])).tolist()
+        for lo, hi in zip(cuts, cuts[1:]):
+            while lo < hi:
+                first = int(places[lo])
+                upto = min(hi, int(np.searchsorted(places, first + BLOCK - 16, side="right")))
+                self.f.seek(first)
+                block = np.frombuffer(self.f.read(int(places[upto - 1]) - first + 16), "u1")
+                raw[order[lo:upto]] = block[(places[lo:upto] - first)[:, None] + np.arange(16)]
+                lo = upto
+        return raw.view(self.order + "u4").astype("i8")
+
+    def runs_at(self, at: np.ndarray, secs: np.ndarray) -> np.ndarray:
+        """`run` at each of these places, after headers of these times."""
+        count, live = np.zeros(len(at), "i1"), np.arange(len(at))
+        for _ in range(RUN):
+            if self.whole:
+                count[live[(at > self.size - 16) & (at <= self.size)]] = RUN
+            there = at <= self.size - 16
+            live, at, secs = live[there], at[there], secs[there]
+            h = self.headers(at)
+            ok = (h[:, 1] < 1_000_000 * self.unit) & (h[:, 2] <= LARGEST_RECORD) & (h[:, 3] <= LARGEST_RECORD) & h.any(axis=1) & (np.abs(h[:, 0] - secs) <= NEAR_SECS)
+            live, h = live[ok], h[ok]
+            count[live] += 1
+            at, secs = at[ok] + 16 + h[:, 2], h[:, 0]
+        return count
+
+    def run_lengths(self, begin: int, end: int) -> np.ndarray:
+        """`run` at each place of this range of bytes where a whole header fits."""
+        n = max(0, min(end, self.size - 15) - begin)
+        out = np.zeros(n, "i1")
+        if not n:
+            return out
+        secs, part, size, orig = self.fields(begin, n)
+        place = np.flatnonzero((part < 1_000_000 * self.unit) & (size <= LARGEST_RECORD) & (orig <= LARGEST_RECORD) & (secs | part | size | orig > 0))
+        if not len(place):
+            return out
+        secs, to = secs[place].astype("i8"), place + 16 + size[place].astype("i8")
+        del part, size, orig
+        inside = to < n
+        at = np.minimum(np.searchsorted(place, to), len(place) - 1)
+        near = inside & (place[at] == to) & (np.abs(secs[at] - secs) <= NEAR_SECS)
+        beyond = np.zeros(len(place), "i1")
+        far = np.flatnonzero(~inside)
+        beyond[far] = self.runs_at(begin + to[far], secs[far])
+        length = np.ones(len(place), "i1")
+        for _ in range(RUN - 1):
+            length = (1 + np.minimum(RUN - 1, np.where(near, length[at], beyond))).astype("i1")
+        out[place] = length
+        return out
+
     def fields(self, begin: int, n: int) -> tuple[np.ndarray, ...]:
         """The four numbers of a header at each of n places."""
         raw = np.frombuffer(self.bytes(begin, n + 15), "u1").astype("u4")
@@ -142,28 +223,19 @@ class Capture:
             at += n
         return None
 
-    def exits(self, begin: int, end: int) -> Exits:
-        """Where the chains from all places of this range leave it."""
+    def exits(self, begin: int, end: int, lengths: np.ndarray | None = None) -> Exits:
+        """Where the chains from all places of this range leave it. lengths: its `run_lengths`, if known."""
         n = max(0, min(end, self.size - 15) - begin)
-        secs, part, size, orig = (x.astype("i8") for x in self.fields(begin, n)) if n else [np.empty(0, "i8")] * 4
+        lengths = self.run_lengths(begin, end) if lengths is None else lengths
+        part, size = (x.astype("i8") for x in self.fields(begin, n)[1:3]) if n else [np.empty(0, "i8")] * 2
         place = np.flatnonzero((part < 1_000_000 * self.unit) & (size <= np.minimum(LARGEST_RECORD, self.size - begin - 16 - np.arange(n))))
-        secs, orig, blank = secs[place], orig[place], (secs | part | size | orig)[place] == 0
         to = place + 16 + size[place]
         del part, size
         at = np.searchsorted(place, to)
         inside = to < n
         goes = inside & (place[np.minimum(at, len(place) - 1)] == to) if len(place) else inside
         at = np.where(goes, at, 0)
-        # runs: as many plausible headers in a row as count
-        good = (orig <= LARGEST_RECORD) & ~blank
-        length = good.astype("i1")
-        near = goes & (np.abs(secs[at] - secs) <= NEAR_SECS) if len(place) else goes
-        beyond = np.zeros(len(place), "i1")
-        for k in np.flatnonzero(good & ~inside).tolist():
-            beyond[k] = min(RUN - 1, self.run(begin + int(to[k]), int(secs[k])))
-        for _ in range(RUN - 1):
-            length = np.where(good, 1 + np.minimum(RUN - 1, np.where(near, length[at], beyond)), 0).astype("i1")
-        runs = np.flatnonzero(length >= RUN)
+        runs = np.flatnonzero(lengths[place] >= RUN)
         # each place goes on to another, or ends: outside, or in damage
         after = np.searchsorted(place[runs], to, side="right")
         found = ~goes & inside & (after < len(runs))
@@ -179,7 +251,7 @@ class Capture:
         after = np.searchsorted(starts[last], place, side="right")
         usual = np.append(of_runs[last], SEARCH)[after]
         own = exits != usual
-        return Exits((begin + starts[last]).tolist(), of_runs[last].tolist(), (begin + place[own]).tolist(), exits[own].tolist())
+        return Exits(begin + starts[last], of_runs[last], begin + place[own], exits[own])
 
     def steps(self, at: int, end: int) -> Iterator[tuple[int, tuple[int, int, int, int] | None, int]]:
         """(place, header, next place) of the records that begin from `at` on and before `end`; the header is None at a damaged place. A record that ends behind the file's end is damaged too, or cut if
@@ -227,7 +299,9 @@ class File(InputPartition):
 def batches(store: pafs.FileSystem, part: File) -> Iterator[pa.RecordBatch]:
     with store.open_input_file(part.path) as f:
         rows, size = [], 0
-        for r in Capture(f, part.size, part.whole).records(part.start, part.begin, part.end):
+        capture = Capture(f, part.size, part.whole)
+        capture.step = min(BLOCK, max(FAR, part.end - part.start))
+        for r in capture.records(part.start, part.begin, part.end):
             rows.append(r)
             size += len(r[3] or b"")
             if size >= BATCH_BYTES or len(rows) >= 10_000:
@@ -343,31 +417,32 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["ts_us", "orig_len", "cap_len", "data", "error"])
 
 
-class PcapWriter(DataSourceWriter):
+class PcapWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.names = options["path"], schema.names
         self.snaplen = int(options.get("snapLen", SNAPLEN))
         self.job = uuid.uuid4().hex
 
-    def write(self, iterator: Iterator) -> Written:
-        ts, data = self.names.index("ts_us"), self.names.index("data")
-        orig = self.names.index("orig_len") if "orig_len" in self.names else None
-        named = self.names.index("file_name") if "file_name" in self.names else None
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        named = "file_name" in self.names
         store, root = pafs.FileSystem.from_uri(self.path)
         out, name, files = None, None, []
-        for row in iterator:
-            if out is None or (named is not None and row[named] != name):
-                if out is not None:
-                    out.close()
-                unique = f"{self.job}-{uuid.uuid4().hex}.pcap"
-                name = unique if named is None else row[named]
-                files.append((f"_{unique}", name))
-                store.create_dir(root)
-                out = store.open_output_stream(posixpath.join(root, f"_{unique}"), buffer_size=1 << 20)
-                out.write(file_header(self.snaplen))
-            raw = bytes(row[data] or b"")
-            length = None if orig is None else row[orig]
-            out.write(record(row[ts], raw[: self.snaplen], len(raw) if length is None else length))
+        for b in iterator:
+            names = b.column(b.schema.get_field_index("file_name")).to_pylist() if named else [None] * len(b)
+            at = 0
+            for wanted, rows in groupby(names):
+                n = sum(1 for _ in rows)
+                if out is None or (named and wanted != name):
+                    if out is not None:
+                        out.close()
+                    unique = f"{self.job}-{uuid.uuid4().hex}.pcap"
+                    name = wanted if named else unique
+                    files.append((f"_{unique}", name))
+                    store.create_dir(root)
+                    out = store.open_output_stream(posixpath.join(root, f"_{unique}"), buffer_size=1 << 20)
+                    out.write(file_header(self.snaplen))
+                out.write(records_of(b.slice(at, n), self.snaplen))
+                at += n
         if out is not None:
             out.close()
         return Written(files)
@@ -406,17 +481,34 @@ class PcapSource(DataSource):
 
 
 def mapped(rows: DataFrame, path: str, map_bytes: int) -> DataFrame:
-    """(path, size, begin, end, part, runs, run_exits, own, own_exits): the `Exits` of each piece of each range, in rows of ranges (path, size, begin, end)."""
+    """(path, size, begin, end, part, runs, run_exits, own, own_exits): the `Exits` of each piece of each range, in rows of ranges (path, size, begin, end), which should come in order."""
+
+    def maps(capture: Capture, ranges: list[dict]) -> Iterator[pa.RecordBatch]:
+        """Of ranges that follow each other, several short ones or one of any length; headers beyond them are looked up for all short ones at once."""
+        begin, end = ranges[0]["begin"], ranges[-1]["end"]
+        lengths = capture.run_lengths(begin, end) if end - begin <= map_bytes else None
+        for r in ranges:
+            for at in range(r["begin"], r["end"], map_bytes):
+                to = min(r["end"], at + map_bytes)
+                x = capture.exits(at, to, None if lengths is None else lengths[at - begin : to - begin])
+                lists = (pa.array([v], pa.list_(pa.int64())) for v in (x.runs, x.run_exits, x.own, x.own_exits))
+                yield pa.RecordBatch.from_arrays([*(pa.array([v]) for v in (r["path"], r["size"], r["begin"], r["end"], at)), *lists], schema=MAPPED)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = pafs.FileSystem.from_uri(path)[0]
-        for b in parts:
-            for r in b.to_pylist():
-                with store.open_input_file(r["path"]) as f:
-                    capture = Capture(f, r["size"])
-                    for at in range(r["begin"], r["end"], map_bytes) if capture.order else ():
-                        x = capture.exits(at, min(r["end"], at + map_bytes))
-                        yield pa.RecordBatch.from_pylist([r | {"part": at, "runs": x.runs, "run_exits": x.run_exits, "own": x.own, "own_exits": x.own_exits}], MAPPED)
+        for name, of_file in groupby((r for b in parts for r in b.to_pylist()), key=lambda r: r["path"]):
+            with store.open_input_file(name) as f:
+                held: list[dict] = []
+                capture = None
+                for r in of_file:
+                    capture = capture or Capture(f, r["size"])
+                    if held and (r["begin"] != held[-1]["end"] or r["end"] - held[0]["begin"] > map_bytes):
+                        yield from maps(capture, held)
+                        held = []
+                    if capture.order:
+                        held.append(r)
+                if held:
+                    yield from maps(capture, held)
 
     return rows.mapInArrow(run, ", ".join(f"{f.name} {'string' if f.name == 'path' else 'array<long>' if pa.types.is_list(f.type) else 'long'}" for f in MAPPED))
 
@@ -430,13 +522,15 @@ def started(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     path, at = None, 24
     for b in parts:
         out = []
-        for r in b.to_pylist():
+        plain = b.select(["path", "size", "begin", "end", "part", "next"]).to_pylist()
+        lists = [b.column(b.schema.get_field_index(c)) for c in ("runs", "run_exits", "own", "own_exits")]
+        for k, r in enumerate(plain):
             if r["path"] != path:
                 path, at = r["path"], 24
             if r["part"] == r["begin"] and (at == SEARCH or at < r["end"]):
                 out.append({c: r[c] for c in ("path", "size", "begin", "end")} | {"start": at})
             if at == SEARCH or at < min(r["end"], r["next"]):
-                x = Exits(r["runs"], r["run_exits"], r["own"], r["own_exits"])
+                x = Exits(*(c[k].values.to_numpy(zero_copy_only=False) for c in lists))
                 at = x.after(r["part"] - 1) if at == SEARCH else x.of(at)
         yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("size", "begin", "end", "start"))]))
 
@@ -448,10 +542,11 @@ def read_pcap(spark: SparkSession, path: str, rangeBytes: int | str = RANGE_BYTE
     if all(size <= step for _, size in files):
         return spark.read.format("pcap").option("path", path).load()
     rows = [(p, size, at, min(size, at + step)) for p, size in files for at in range(0, size, step)]
-    ranges = spark.createDataFrame(rows, "path string, size long, begin long, end long").repartition(min(len(rows), MOST_TASKS), "path", "begin")
+    tasks = min(len(rows), MOST_TASKS, max(2 * spark.sparkContext.defaultParallelism, sum(size for _, size in files) // MAP_BYTES))  # short ranges share tasks
+    ranges = spark.createDataFrame(rows, "path string, size long, begin long, end long").repartitionByRange(tasks, "path", "begin").sortWithinPartitions("path", "begin")
     maps = written(mapped(ranges, path, map_bytes).withColumn("next", F.least(F.col("part") + map_bytes, F.col("end"))), "exits")
     starts = maps.repartition("path").sortWithinPartitions("path", "part").mapInArrow(started, STARTED)
-    starts = written(starts, "starts").repartition(min(len(rows), MOST_TASKS), "path", "begin")
+    starts = written(starts, "starts").repartitionByRange(tasks, "path", "begin")
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = pafs.FileSystem.from_uri(path)[0]

@@ -83,6 +83,28 @@ def test_big_endian_nanoseconds(order):
     assert found == list(Capture(io.BytesIO(data), len(data)).records(24, 24, len(data))) and [r[0] for r in found] == [at(k) + 999_999 for k in range(200)]
 
 
+def test_maps_of_short_ranges_read_little():
+    """Headers far beyond a range are looked up together: a range of a large file costs no read of a block for each."""
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            found = super().read(n)
+            Counted.taken += len(found)
+            return found
+
+    rng = random.Random(9)
+    data = file_header() + b"".join(record(at(k), b"".join(rng.randrange(1 << 22).to_bytes(4, "little") for _ in range(20))) for k in range(100_000))
+    capture = Capture(Counted(data), len(data))
+    alone = capture.exits(1_000_000, 1_050_000)
+    assert Counted.taken < 10 * len(data) and len(alone.own) > 100
+    shared = capture.exits(1_000_000, 1_050_000, capture.run_lengths(900_000, 1_200_000)[100_000:150_000])
+    assert all(getattr(alone, c).tolist() == getattr(shared, c).tolist() for c in ("runs", "run_exits", "own", "own_exits"))
+    lengths = capture.run_lengths(1_000_000, 1_001_000)
+    assert lengths.tolist() == [capture.run(1_000_000 + k) for k in range(1000)] and lengths.max() == pcap.RUN
+
+
 def test_ranges_in_spark(spark, tmp_path):
     """A null time, null data and a length of 0 come back as they were stored, from ranges smaller than a file and larger."""
     rows = [(None if k % 7 == 0 else at(k), None if k % 5 == 0 else bytes([k % 251]) * (k % 90), None if k % 3 else k % 2) for k in range(2000)]
