@@ -57,6 +57,33 @@ def test_rules_by_time(spark, monkeypatch, large):
     assert judged == {k: of.get(v) for k, v in want.items()} and sum(v is not None for v in want.values()) > 100
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_many_rules_by_time_meet_few_of_them(spark, monkeypatch, large):
+    """Rules of one value that follow closely in a burst, and some that hold long: a packet is joined with the stretches of its slice, and not with all rules of its value."""
+    if large:
+        monkeypatch.setattr(r, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(joins, "HOT_ROWS", 5)
+    rng, log, seq = random.Random(8), [], 0
+    for k in range(300):
+        burst = k % 3 > 0
+        start = -100 + 1_000_000 * (k % 3) + (k if burst else 40_000 * k)
+        kind = k % 4
+        name = rng.choice("abcdefgh") + str(kind)
+        rule = (name, "d", "low", "drop", k % 11 > 0, None, None, None, 1 if kind in (0, 1) else None, None, 3 if kind == 1 else None, 1 if kind == 1 else None, [1, 2] if kind == 2 else [], [])
+        log += [(seq, start, "add", *rule), (seq + 1, start + rng.choice([0, 1, 5, 300, 3_000_000]), "delete", *rule)]
+        seq += 2
+    packets = [(k, rng.choice([rng.randrange(-200, 12_000_000), 1_000_000 + rng.randrange(-120, 300), 2_000_000 + rng.randrange(-120, 300)]), 1, 5, 7, rng.choice([1, 1, 2, None]), 6, rng.choice([0, 1, 3, None]), rng.choice([None, 1, 2, 3])) for k in range(600)]
+    want, _ = one_by_one(log, packets)
+    rules = r.versions(spark.createDataFrame(log, LOG))
+    monkeypatch.setattr(r, "MOST_LISTED", 0)
+    monkeypatch.setattr(r, "_local_tables", None)  # lists of all rules of a value are not made
+    monkeypatch.setattr(r, "_joined_tables", None)
+    of = {x[0]: (x[1], x[3]) for x in log}
+    made_by = {x.ordinal: (x.valid_from_us, x.id) for x in rules.collect()}
+    judged = {x.seq: made_by.get(x.rule_ordinal) for x in r.match_joined(spark.createDataFrame([*packets], PACKETS), rules).collect()}
+    assert judged == {k: of.get(v) for k, v in want.items()} and sum(v is not None for v in want.values()) > 200
+
+
 @pytest.mark.parametrize("large", [False, True])
 def test_joined_as_compiled(spark, monkeypatch, large):
     if large:
