@@ -95,3 +95,17 @@ def test_joined_as_compiled(spark, monkeypatch, large):
     df = spark.createDataFrame(packets, PACKETS)
     both = [sorted((x.seq, x.rule_id, x.verdict) for x in rows.collect()) for rows in (r.match_compiled(df, rules), r.match_joined(df, r.table(spark, rules, "bigint")))]
     assert both[0] == both[1] and len({x[1] for x in both[0]}) == 5
+
+
+def test_hits_of_many_versions(spark, monkeypatch):
+    """Hits of the rules that hold at the end, found by slices of time as by lists."""
+    log, packets = made(random.Random(6))
+    rules = r.versions(spark.createDataFrame(log, LOG))
+    df = spark.createDataFrame(packets, PACKETS)
+    monkeypatch.setattr(r, "MOST_LISTED", 0)
+    monkeypatch.setattr(r, "_local_tables", None)
+    found = r.hits_of_versions(r.match_joined(df, rules), r.held_at(rules, 499))
+    want, _ = one_by_one(log, packets)
+    of = {x[0]: (x[1], x[3]) for x in log}
+    made_by = {x.ordinal: (x.valid_from_us, x.id) for x in rules.collect()}
+    assert (rows := found.collect()) and all(x.hits == sum(of.get(v) == made_by[x.ordinal] for v in want.values()) for x in rows) and sum(x.hits for x in rows) > 0
