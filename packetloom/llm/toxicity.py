@@ -2,18 +2,17 @@
 
 Restoring: a string with leetspeak, stretched letters or single spaced letters is a lattice of characters. Each sign
 may stand for itself or for letters it imitates, separators between letters may drop out or end a word, repetitions may shrink to
-one or two. Runs of single characters are restored together, whatever their gaps; so are chunks: short tokens that clean documents of
-the sample don't have, with a short neighbour on either side. Chunks that all are words of clean documents stay words. Viterbi takes the cheapest path under a character trigram model, learned from the words of the
-labelled sample, plus the channel's costs.
+one or two. Runs of single characters are restored together, whatever their gaps; so are chunks: short tokens that labelled clean documents
+don't have, with a short neighbour on either side. Chunks that all are words of clean documents stay words. Viterbi takes the cheapest path under a character trigram model, learned from the words of the
+labelled documents, plus the channel's costs.
 
 Every token that the channel could turn into a word of the lexicon is decoded; what an outline of letters shows that it can't is not.
 
 Scoring: the lexicon holds words and word beginnings that are far more frequent in toxic documents of the first half of
-the sample, all of them; it is counted in Spark. A document's features are the strongest evidence among its restored words, the sum of the
+the labelled ones; it is counted in Spark. A document's features are the strongest evidence among its restored words, the sum of the
 evidence, and its density. A logistic model of these, fitted on the second half, gives the score.
 
-The labelled sample is bounded: about `sample_docs` labelled documents, chosen by a hash of the key, never held-out ones.
-Scores take nothing but the text.
+All labelled documents but held-out ones are learned from; counts and the steps of the logistic model are sums in Spark. Scores take nothing but the text.
 
 Null and empty texts get the score of a text without evidence. Rows with null keys are scored, and never learned from. A key whose labels
 contradict each other is not learned from; of several texts with one key the smallest is. Repeated rows get equal scores. A text of any length is scored whole.
@@ -33,12 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import documents, slices
+from packetloom.llm.common import documents, slices, written
 from packetloom.llm.language import held_out
 
-#: The bound of the labelled sample, in documents.
-SAMPLE_DOCS = 12_000
-#: What a word of the lexicon needs: toxic documents of the sample that have it, and the logarithm of its odds.
+#: What a word of the lexicon needs: toxic documents that have it, and the logarithm of its odds.
 LEAST_TOXIC, LEAST_ODDS = 3, 1.5
 THRESHOLD = 0.3
 #: Evidence is kept for words up to so many bytes in each worker; then the store is emptied.
@@ -314,33 +311,43 @@ class ToxicModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> list[float]:
-    """Weights of a logistic model by Newton's steps, the constant first."""
-    a = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(a.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + decay * w
-        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + (decay + 1e-6) * np.eye(len(w)), grad)
-    return [float(v) for v in w]
+#: Steps of a logistic model, and the change of a weight at which they end.
+STEPS, STILL = 30, 1e-9
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, key: str = "doc_id", text: str = "text", label: str = "toxic", least_toxic: int = LEAST_TOXIC, least_odds: float = LEAST_ODDS) -> ToxicModel:
+def logistic(points: DataFrame, decay: float = 1e-2) -> list[float]:
+    """Weights of a logistic model of (a, b, c, toxic) by Newton's steps, the constant first. Each step sums up in Spark; a task returns one row."""
+    w = np.zeros(4)
+
+    def sums(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> Iterator[pa.RecordBatch]:
+        grad, square = np.zeros(4), np.zeros((4, 4))
+        for b in batches:
+            x, y = np.stack([np.ones(len(b)), *(c.to_numpy(zero_copy_only=False) for c in b.columns[:3])], axis=1), b.column(3).to_numpy(zero_copy_only=False)
+            z = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            grad += x.T @ (z - y)
+            square += (x * (z * (1 - z))[:, None]).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([[*grad, *square.ravel()]], pa.list_(pa.float64()))], ["sums"])
+
+    for _ in range(STEPS):
+        rows = points.mapInArrow(lambda b, w=w.copy(): sums(b, w), "sums array<double>").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
+        total = np.zeros(20)
+        for r in rows:
+            total[r["k"]] = r["v"]
+        step = np.linalg.solve(total[4:].reshape(4, 4) + (decay + 1e-6) * np.eye(4), total[:4] + decay * w)
+        w -= step
+        if np.abs(step).max() < STILL:
+            break
+    return [round(float(v), 9) for v in w]  # the order of sums doesn't show
+
+
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", least_toxic: int = LEAST_TOXIC, least_odds: float = LEAST_ODDS) -> ToxicModel:
     """A model from labelled documents: `labels` has key and label, already without held-out rows."""
     known = labels.select(labels[key].cast("long").alias("key"), labels[label].cast("int").alias("toxic")).filter("key is not null and toxic in (0, 1)")
     known = known.groupBy("key").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
-    total = known.count()
-    grid = 1 << 20
-    share = min(1.0, sample_docs / max(1, total))
-    draw = F.pmod(F.xxhash64(F.col("key"), F.lit("toxicity")), F.lit(grid))
-    sample = known.filter(draw < int(share * grid) + (share >= 1)).withColumn("half", F.pmod(F.xxhash64("key"), F.lit(2)))
-    # the sample's keys are bounded by sample_docs, so the texts need no shuffle before they are few
-    rows = docs.select(docs[key].cast("long").alias("key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "key")
-    rows = rows.groupBy("key", "toxic", "half").agg(F.min("text").alias("text")).select("text", "toxic", "half").persist()
-    try:
-        return fitted(rows, least_toxic, least_odds)
-    finally:
-        rows.unpersist()
+    known = known.withColumn("half", F.pmod(F.xxhash64("key"), F.lit(2)))
+    rows = docs.select(docs[key].cast("long").alias("key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).join(known, "key")
+    rows = rows.groupBy("key", "toxic", "half").agg(F.min("text").alias("text")).select("text", "toxic", "half")
+    return fitted(written(rows, "labelled"), least_toxic, least_odds)
 
 
 def fitted(rows: DataFrame, least_toxic: int, least_odds: float) -> ToxicModel:
@@ -391,14 +398,13 @@ def fitted(rows: DataFrame, least_toxic: int, least_odds: float) -> ToxicModel:
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Store()
-        for b in batches:
+        for b in slices(batches):
             x = [model.features(t, kept) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(pa.array([f[i] for f in x], pa.float64()) for i in range(3)), b.column(1)], ["a", "b", "c", "toxic"])
 
-    points = np.array([[*r] for r in rows.filter("half = 1").select("text", "toxic").mapInArrow(measured, "a double, b double, c double, toxic int").collect()], "f8").reshape(-1, 4)
-    if len(set(points[:, 3])) == 2:
-        order = np.lexsort(points.T)
-        model.weights = logistic(points[order, :3], points[order, 3])
+    points = written(rows.filter("half = 1").select("text", "toxic").mapInArrow(measured, "a double, b double, c double, toxic int"), "points")
+    if points.select("toxic").distinct().count() == 2:
+        model.weights = logistic(points)
     return model
 
 

@@ -126,6 +126,19 @@ def test_contradictory_labels_and_names(spark):
     assert c.evidence == b.evidence
 
 
+def test_every_label_is_learned_from(spark):
+    n = 14_000
+    rows = spark.range(n).selectExpr("id as doc_id", "concat(if(id % 4 = 0, 'zorgish', 'calm'), ' day') as text")
+    labels = rows.selectExpr("doc_id", "cast(doc_id % 4 = 0 as int) as toxic")
+    toxic, clean = (labels.filter(f"pmod(xxhash64(doc_id), 2) = 0 and toxic = {k}").count() for k in (1, 0))
+    model = toxicity.learn(rows, labels)
+    assert toxic + clean > n * 0.45 and abs(model.evidence["zorgish"] - (np.log((toxic + 0.5) / (toxic + 1)) - np.log(0.5 / (clean + 1)))) < 1e-9
+    points = [(float(k % 3), 0.0, k / 50, int(k % 7 < 3)) for k in range(60)]
+    x, y = np.array([[1, *p[:3]] for p in points]), np.array([p[3] for p in points])
+    weights = np.array(toxicity.logistic(spark.createDataFrame(points, "a double, b double, c double, toxic int").repartition(5)))
+    assert np.abs(x.T @ (1 / (1 + np.exp(-x @ weights)) - y) + 1e-2 * weights).max() < 1e-5
+
+
 def test_scores_as_brute_force(spark):
     model = toxicity.learn(toxic_rows(spark), spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id long, toxic int"))
     rng = np.random.default_rng(9)
