@@ -1,7 +1,8 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what such links join.
 
-Fingerprints don't find these: at 0.8 a SimHash of 64 bits differs in 10 bits on the average, and a radius that takes in nearly all of
-these pairs takes in unrelated texts too. So candidates come from MinHash: `BANDS` bands of `ROWS` minima each; a pair at similarity s shares a band with
+Candidates come from SimHash first: fingerprints of the five-word shingles, linked within RADIUS bits by the vantage-point trees of `simhash`; a component of these links is one bucket.
+That doesn't find all: at 0.8 a SimHash of 64 bits differs in 10 bits on the average, and a radius that takes in nearly all of
+these pairs takes in unrelated texts too. So MinHash adds the rest: `BANDS` bands of `ROWS` minima each; a pair at similarity s shares a band with
 probability 1 - (1 - s**4)**24, which leaves out three of a million pairs at 0.8 exactly and fewer above. Candidates are compared by
 their whole shingle sets, so nothing below 0.8 is linked.
 
@@ -30,6 +31,8 @@ from packetloom.operators.joins import lookup
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
+#: The most bits that four blocks of a fingerprint find with one bit each.
+RADIUS = 7
 SEED = 11
 #: Shingles of one part of a bucket, and of the cells that a task takes at once.
 PART_SHINGLES = 2_000_000
@@ -91,6 +94,13 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
+def fingerprint_places(rows: DataFrame) -> DataFrame:
+    """(print, n, band, value) for rows of (print, n, fp): the component of each text's fingerprint by links of RADIUS bits or fewer, as a band of its own."""
+    own = written(rows.filter("n > 0").select("print", "n", "fp").distinct(), "own")
+    near = simhash.components(simhash.links(written(own.select("fp").distinct(), "prints"), RADIUS)).withColumnRenamed("node", "fp")
+    return written(lookup(own, near, ["fp"]).select("print", "n", F.lit(-1).alias("band"), F.coalesce("root", "fp").alias("value")), "near")
+
+
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, key, print, root) of each row: its `row_hash`, a hash of its words, and the component of that."""
     unsigned = lambda xs: np.array(xs, "u8").view("i8")
@@ -98,14 +108,16 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             lines = [plain(t) for t in b.column(2).to_pylist()]
-            sets = [shingles(x) for x in lines]
+            hashes = [np.array(simhash.shingle_hashes(x, WORDS), "u8") for x in lines]
+            fps = simhash.fingerprints_of_hashes(hashes, len(hashes)).view("i8")
+            sets = [np.unique(h) for h in hashes]
             prints = unsigned([xxhash.xxh64_intdigest(x.encode(), SEED) for x in lines])
             bands = [unsigned(bands_of(s)) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["row", "key", "print", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), pa.array(bands, pa.list_(pa.int64()))], ["row", "key", "print", "n", "fp", "bands"])
 
     texts = df.select(row_hash(df).alias("row"), df[key].cast("long").alias("key"), whole_text(df, text).alias("text"))
-    rows = written(texts.mapInArrow(signed, "row long, key long, print long, n long, bands array<long>"), "signatures")
-    places = rows.select("print", "n", "bands").distinct().select("print", "n", F.posexplode("bands").alias("band", "value"))
+    rows = written(texts.mapInArrow(signed, "row long, key long, print long, n long, fp long, bands array<long>"), "signatures")
+    places = rows.select("print", "n", "bands").distinct().select("print", "n", F.posexplode("bands").alias("band", "value")).union(fingerprint_places(rows))
     members = [F.count("*").alias("classes"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("print")).alias("x"), F.bit_xor(F.xxhash64("print", F.lit(1))).alias("y")]
     buckets = places.groupBy("band", "value").agg(*members).filter("classes > 1")
     buckets = buckets.groupBy("classes", "n", "x", "y").agg(F.min(F.struct("band", "value")).alias("at"))

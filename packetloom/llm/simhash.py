@@ -27,7 +27,7 @@ two branches for about two of five.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 
@@ -69,14 +69,19 @@ def shingle_hashes(text: str, words: int = WORDS) -> list[int]:
 
 def fingerprints_of(texts: list[str], words: int = WORDS) -> np.ndarray:
     """A fingerprint of each text as unsigned 64-bit integers."""
-    out = np.zeros(len(texts), "u8")
-    waiting: list[tuple[int, list[int]]] = []
+    return fingerprints_of_hashes((shingle_hashes(t, words) for t in texts), len(texts))
+
+
+def fingerprints_of_hashes(found: Iterable[Sequence[int]], n: int) -> np.ndarray:
+    """The same of n texts' shingle hashes."""
+    out = np.zeros(n, "u8")
+    waiting: list[tuple[int, Sequence[int]]] = []
     size = 0
 
     def close() -> None:
         if not waiting:
             return
-        hashes = np.array([h for _, hs in waiting for h in hs], "<u8")
+        hashes = np.concatenate([np.asarray(hs, "<u8") for _, hs in waiting])
         counts = np.array([len(hs) for _, hs in waiting])
         bits = np.unpackbits(hashes.view("u1").reshape(-1, 8), axis=1, bitorder="little")
         sums = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(counts)[:-1])), axis=0, dtype="i4")
@@ -84,8 +89,8 @@ def fingerprints_of(texts: list[str], words: int = WORDS) -> np.ndarray:
         out[[i for i, _ in waiting]] = np.ascontiguousarray(packed).view("<u8")[:, 0]
         waiting.clear()
 
-    for i, text in enumerate(texts):
-        if hashes := shingle_hashes(text, words):
+    for i, hashes in enumerate(found):
+        if len(hashes):
             waiting.append((i, hashes))
             size += len(hashes)
         if size > 200_000:

@@ -54,6 +54,19 @@ def test_near_copies_as_brute_force(spark, monkeypatch):
     assert corpus_pipeline.drop_near_copies(spark, rows.limit(0), SF).count() == 0
 
 
+def test_near_copies_come_from_fingerprints(spark):
+    """Fingerprints within seven bits are one bucket, directly or by others, whatever MinHash finds."""
+    base = 0x0123456789ABCDEF
+    far = base ^ 0x0F0F0F0F0F0F0F0F
+    fps = [base, base ^ 0x7F, base ^ 0x7F ^ (0x7F << 20), base, far, far ^ 1, 0x7777 << 40]
+    df = spark.createDataFrame([(k, 9, x) for k, x in enumerate(fps)] + [(90, 0, base)], "print long, n long, fp long")
+    found = {r["print"]: (r["band"], r["value"]) for r in nearcopies.fingerprint_places(df).collect()}
+    groups = {}
+    for k, place in found.items():
+        groups.setdefault(place, set()).add(k)
+    assert sorted(map(sorted, groups.values())) == [[0, 1, 2, 3], [4, 5], [6]] and {b for b, _ in found.values()} == {-1}
+
+
 def test_language_stage_without_labels(spark):
     rows = spark.createDataFrame([(1, "a b", None, "w", 3), (2, "12 !", None, "w", 4), (3, None, None, "w", 0), (4, "日本", None, "w", 2)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_without_language(spark, rows, SF).collect()) == [1, 4]
