@@ -2,8 +2,10 @@
 
 import random
 
+import duckdb
 import pytest
 
+from packetloom import registry
 from packetloom.operators import joins
 from packetloom.operators import rules as r
 
@@ -109,3 +111,39 @@ def test_hits_of_many_versions(spark, monkeypatch):
     of = {x[0]: (x[1], x[3]) for x in log}
     made_by = {x.ordinal: (x.valid_from_us, x.id) for x in rules.collect()}
     assert (rows := found.collect()) and all(x.hits == sum(of.get(v) == made_by[x.ordinal] for v in want.values()) for x in rows) and sum(x.hits for x in rows) > 0
+
+
+@pytest.mark.parametrize("listed", [False, True])
+def test_hits_of_versions_at_times(spark, monkeypatch, listed):
+    """Only packets since the first of the asked versions began are judged: the same hits as of all packets, also of versions that began early, are disabled, or compete with ones that have ended since."""
+    if not listed:
+        monkeypatch.setattr(r, "MOST_LISTED", 0)
+    log, packets = made(random.Random(7))
+    want, _ = one_by_one(log, packets)
+    rules, df = r.versions(spark.createDataFrame(log, LOG)), spark.createDataFrame([*packets, (400, None, 1, 5, 7, 1, 6, 1, 1)], PACKETS)
+    of, made_by = {x[0]: (x[1], x[3]) for x in log}, {x.ordinal: (x.valid_from_us, x.id) for x in rules.collect()}
+    total = 0
+    for at in (-1, 60, 250, 499):
+        found = {x.ordinal: x.hits for x in r.version_hits(df, rules, at).collect()}
+        assert found == {x.ordinal: sum(of.get(v) == made_by[x.ordinal] for v in want.values()) for x in r.held_at(rules, at).collect()}
+        total += sum(found.values())
+    assert total > 100
+
+
+def test_version_hits_start_few_jobs_and_write_no_packets(spark, monkeypatch):
+    """Five combinations of criteria: slices are made for all of them at once, not by jobs for each; packets aren't written to be met by what else rules have."""
+    monkeypatch.setattr(r, "MOST_LISTED", 0)
+    monkeypatch.setattr(r, "ROW_BYTES", r.BROADCAST_BYTES)
+    tables, write = [], r.written
+    monkeypatch.setattr(r, "written", lambda df, name: tables.append(name) or write(df, name))
+    sf_dir, query = "/root/testdata/sf0.001", registry.QUERIES["rule_version_hits"]
+    spark.sparkContext.setJobGroup("version hits", "")
+    try:
+        found = sorted(map(tuple, query(spark, sf_dir).collect()))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("version hits"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    db = duckdb.connect()
+    db.sql(f"create view events as select * from '{sf_dir}/events.parquet'")
+    assert found == sorted(db.sql(query.sql).fetchall()) and found
+    assert "rows" not in tables and jobs < 60
