@@ -24,8 +24,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import batched
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,10 @@ from packetloom.llm.language import held_out
 #: What a word of the lexicon needs: toxic documents that have it, and the logarithm of its odds.
 LEAST_TOXIC, LEAST_ODDS = 3, 1.5
 THRESHOLD = 0.3
-#: Evidence is kept for words up to so many bytes in each worker; then the store is emptied.
+#: What words come to is kept up to so many bytes in each task; then the store is emptied.
 KEPT_BYTES = 20 << 20
+#: Words whose trigrams are counted at once.
+GRAM_WORDS = 20_000
 #: What an entry of the store takes beside its word.
 ENTRY_BYTES = 120
 
@@ -53,12 +57,15 @@ EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 
 #: What makes a token suspicious while the lexicon is learned: a sign between or before letters; a letter three times or more; separators between letters.
 SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(€£¡]+[^\W\d_]|^[0-9@$!|+(€£¡]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|€£]$|([^\W\d_])\1\1|[^\W\d_][.\-_*~][^\W\d_][.\-_*~][^\W\d_]")
-#: Single characters with white space between them, three or more; a separator may follow each.
-SPACED = re.compile(r"(?<!\S)\S[.\-_*~,/]?(?:\s+\S[.\-_*~,/]?){2,}(?!\S)")
+#: Signs after a word that aren't restored.
+ENDS = ".,;:?\"'"
+#: Separators that may follow each of three or more single characters with white space between them.
+SPACING = ".-_*~,/"
 #: The longest token that counts as a chunk of a broken word. Words that are broken into longer pieces aren't joined.
 CHUNK = 6
 LETTER = re.compile(r"[^\W\d_]")
 DOUBLED = re.compile(r"(.)\1")
+TRIPLED = re.compile(r"(.)\1\1")
 
 START, END = "\x02", "\x03"
 #: Costs of letters that a channel keeps in each worker.
@@ -144,10 +151,18 @@ class Deobfuscator:
 def trigrams_of(words: dict[str, int]) -> Counter[str]:
     """Characters of words, each with the two before it."""
     out: Counter[str] = Counter()
-    for w, n in words.items():
-        s = START + START + w + END
-        for i in range(len(s) - 2):
-            out[s[i : i + 3]] += n
+    for part in batched(words.items(), GRAM_WORDS):
+        text = "".join([START + START + w + END for w, _ in part])
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+        sizes = np.array([len(w) + 3 for w, _ in part])
+        inner = np.ones(len(codes), bool)
+        inner[np.concatenate([sizes.cumsum() - 1, sizes.cumsum() - 2])] = False  # what begins there isn't of one word
+        grams = (codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[inner[:-2]]
+        found, place = np.unique(grams, return_inverse=True)
+        sums = np.zeros(len(found), "i8")
+        np.add.at(sums, place, np.repeat(np.array([n for _, n in part], "i8"), sizes)[:-2][inner[:-2]])
+        for g, n in zip(found.tolist(), sums.tolist()):
+            out[chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF)] += n
     return out
 
 
@@ -159,33 +174,80 @@ def unchained(chain: tuple) -> str:
     return "".join(reversed(pieces))
 
 
-def restored(text: str, channel: Deobfuscator) -> set[str]:
+class Store(dict):
+    """What words come to, and those that come to nothing of their own, bounded in bytes together."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.size = 0
+        self.none: set[str] = set()
+
+    def take(self, size: int) -> None:
+        self.size += size
+        if self.size > KEPT_BYTES:
+            self.clear()
+            self.none.clear()
+            self.size = size
+
+    def put(self, word: str, value: Any, more: int = 0) -> None:
+        self.take(len(word) + ENTRY_BYTES + more)
+        self[word] = value
+
+    def put_none(self, words: list[str]) -> None:
+        self.take(sum(map(len, words)) + ENTRY_BYTES * len(words))
+        self.none.update(words)
+
+
+def restored(text: str, channel: Deobfuscator, kept: Store | None = None) -> set[str]:
     """The distinct words of a text, lower-cased, without signs at their edges, obfuscated ones with what they stand for. Chunks aren't joined: evidence is learned from whole words."""
-    out = set()
-    for token in words_of(text):
-        out.update(forms(token, channel))
+    kept = Store() if kept is None else kept
+    words = words_of(text)
+    rest = words - kept.none
+    out = words - rest  # these stand for themselves only
+    new = []
+    for token in rest:
+        plain = token.rstrip(ENDS)
+        if plain in kept.none:
+            out.add(plain)
+        elif plain.isalpha() and not TRIPLED.search(plain):
+            out.add(plain)
+            new.append(plain)
+        else:
+            found = kept.get(token)
+            if found is None:
+                found = forms(token, channel)
+                kept.put(token, found, sum(map(len, found)))
+            out.update(found)
+    kept.put_none(new)
     return out
 
 
 def words_of(text: str, known: frozenset[str] = frozenset()) -> set[str]:
     """The distinct tokens of a text, and the runs of them that may be one word."""
-    low = text.lower()
-    tokens = low.split()
+    tokens = text.lower().split()
     found = set(tokens)
-    chunks = {w for w in found if len(w) <= CHUNK and w.strip(EDGE) not in known and LETTER.search(w)} if known else ()
-    for m in SPACED.finditer(low):
-        found.add(" ".join(m[0].split()))
-    if chunks:
-        end = 0
-        for i, w in enumerate(tokens):
-            if i >= end and w in chunks:
-                end = i + 1
-                while end < len(tokens) and tokens[end] in chunks:
-                    end += 1
-                first = i - 1 if i and len(tokens[i - 1]) <= CHUNK else i
-                last = end + 1 if end < len(tokens) and len(tokens[end]) <= CHUNK else end
-                if last - first > 1:
-                    found.add(" ".join(tokens[first:last]))
+    single = {w for w in found if len(w) < 3 and (len(w) == 1 or w[1] in SPACING)}
+    chunks = {w for w in found - known if len(w) <= CHUNK and w.strip(EDGE) not in known and LETTER.search(w)} if known else set()
+    few = single | chunks
+    places = [i for i, w in enumerate(tokens) if w in few] if few else []
+    end = 0
+    for i in places:
+        if i >= end and tokens[i] in single:
+            end = i + 1
+            while end < len(tokens) and tokens[end] in single:
+                end += 1
+            if end - i > 2:
+                found.add(" ".join(tokens[i:end]))
+    end = 0
+    for i in places:
+        if i >= end and tokens[i] in chunks:
+            end = i + 1
+            while end < len(tokens) and tokens[end] in chunks:
+                end += 1
+            first = i - 1 if i and len(tokens[i - 1]) <= CHUNK else i
+            last = end + 1 if end < len(tokens) and len(tokens[end]) <= CHUNK else end
+            if last - first > 1:
+                found.add(" ".join(tokens[first:last]))
     return found
 
 
@@ -194,7 +256,7 @@ def forms(token: str, channel: Deobfuscator, suspect: bool | None = None) -> lis
     plain = token.strip(EDGE)
     out = [plain] if plain else []
     if suspect if suspect is not None else SUSPECT.search(token) or " " in token:
-        for x in {token.rstrip(".,;:?\"'"), plain}:
+        for x in {token.rstrip(ENDS), plain}:
             for back in channel.restore(x).split(" ") if x else ():
                 back = back.strip(EDGE)
                 if back and back not in out:
@@ -202,9 +264,13 @@ def forms(token: str, channel: Deobfuscator, suspect: bool | None = None) -> lis
     return out
 
 
+#: Letters of the beginnings of words that are features.
+BEGINNINGS = (4, 5, 6)
+
+
 def marks(word: str) -> list[str]:
     """The features of a word: itself, and its beginnings, marked by an asterisk."""
-    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)] if len(word) > 2 else []
+    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)] if len(word) > 2 else []
 
 
 #: What the channel may do to a character, undone; letters that share a sign are one.
@@ -213,25 +279,30 @@ OUTLINE = str.maketrans({**{k: v[0].replace("l", "i") for k, v in LEET.items()},
 #: The same with a mark for what is dropped.
 DROPPED = "\x00"
 OUTLINE_KEPT = {k: DROPPED if not v else v for k, v in OUTLINE.items()}
+REPEATED = re.compile(r"([^\n])\1+")
 
 
-def outline(text: str) -> str:
-    """The same for a string and for all that it may be restored to, so that an outline of a restored word is part of the string's."""
-    return re.sub(r"(?s)(.)\1+", r"\1", text.lower().translate(OUTLINE))
+#: The same for bytes of UTF-8, where it goes faster, and signs of more bytes than one.
+WIDE = [(chr(k), v) for k, v in OUTLINE.items() if k > 127]
+NARROW = bytes(ord(OUTLINE.get(k) or chr(k)) if k < 128 else k for k in range(256))
+SEPARATOR_BYTES = SEPARATORS.encode()
 
 
-class Store(dict):
-    """Evidence by word, bounded in bytes."""
+def plain_outline(low: str) -> str:
+    """Lower-cased text with letters for signs and without separators; OUTLINE as a table."""
+    for sign, letter in WIDE:
+        low = low.replace(sign, letter)
+    return REPEATED.sub(r"\1", low.encode("utf-8", "surrogatepass").translate(NARROW, SEPARATOR_BYTES).decode("utf-8", "surrogatepass"))
 
-    size = 0
 
-    def put(self, word: str, value: float) -> float:
-        self.size += len(word) + ENTRY_BYTES
-        if self.size > KEPT_BYTES:
-            self.clear()
-            self.size = len(word) + ENTRY_BYTES
-        self[word] = value
-        return value
+def outline(text: str) -> str:
+    """The same for a string and for all that it may be restored to, so that an outline of a restored word is part of the string's."""
+    return plain_outline(text.lower())
+
+
+def outlined(words: set[str]) -> Iterable[tuple[str, str]]:
+    """Words, which have no line ends, with their outlines, taken at once."""
+    return zip(words, plain_outline("\n".join(words)).split("\n"))
 
 
 def outline_and_starts(text: str) -> tuple[str, list[int]]:
@@ -264,22 +335,39 @@ class ToxicModel:
         for x in outlines:
             if len(x) > HEAD:
                 self.outlines[x[:HEAD]] = (*self.outlines.get(x[:HEAD], ()), x)
+        #: The first HEAD letters of all outlines.
+        self.heads = self.short.union(self.outlines)
+
+    def begins(self, x: str, i: int) -> bool:
+        """Whether the outline of evidence stands at this place of another."""
+        for n in self.sizes:
+            if x[i : i + n] in self.short:
+                return True
+        for y in self.outlines.get(x[i : i + HEAD], ()):
+            if x.startswith(y, i):
+                return True
+        return False
+
+    def possible(self, token: str, x: str) -> bool:
+        """Whether a token of this outline may come to evidence. What are letters begins at the start; of others, places are found with `hinted` if any fits."""
+        if token.isalpha() or token.rstrip(ENDS).isalpha():
+            return self.begins(x, 0)
+        heads = self.heads
+        for i in range(len(x)):
+            if (x[i : i + 4] in heads or x[i : i + 3] in heads or x[i : i + 2] in heads or x[i] in heads) and self.begins(x, i):
+                return True
+        return False
 
     def hinted(self, run: str) -> bool:
         """Whether a token or a run of them may hold evidence once it is restored; most don't, and need no restoring. Words begin at its start or after what is no letter."""
         x, starts = (outline(run), [0]) if run.isalpha() else outline_and_starts(run)
-        outlines, short, sizes = self.outlines, self.short, self.sizes
-        for i in starts:
-            for n in sizes:
-                if x[i : i + n] in short:
-                    return True
-            for y in outlines.get(x[i : i + HEAD], ()):
-                if x.startswith(y, i):
-                    return True
-        return False
+        return any(self.begins(x, i) for i in starts)
 
     def strength(self, token: str) -> float:
         """The strongest evidence among the words that a token may stand for."""
+        plain = token.strip(EDGE)
+        if plain.isalpha() and token.rstrip(ENDS) == plain:  # the channel takes it without its last signs
+            token = plain
         if token.isalpha() and not DOUBLED.search(token):  # the channel leaves it as it is
             words = [token]
         else:
@@ -292,16 +380,21 @@ class ToxicModel:
         return best
 
     def features(self, text: str, kept: Store) -> tuple[float, float, float]:
-        best = total = 0.0
         words = words_of(text, self.channel.known)
-        for w in words:
-            e = kept.get(w)
-            if e is None:
-                e = kept.put(w, self.strength(w))
-            if e:
-                total += e
-                if e > best:
-                    best = e
+        heads = self.heads
+        found, none = [], []
+        for w, x in outlined(words - kept.none):
+            # by their first letters most words are none
+            if x[:4] in heads or x[:3] in heads or x[:2] in heads or x[:1] in heads or not (w.isalpha() or w.rstrip(ENDS).isalpha()):
+                e = kept.get(w)
+                if e is None and self.possible(w, x) and (e := self.strength(w)):
+                    kept.put(w, e)
+                if e:
+                    found.append(e)
+                    continue
+            none.append(w)
+        kept.put_none(none)
+        best, total = max(found, default=0.0), math.fsum(found)  # the order of words doesn't show
         return best, math.log1p(total), math.log1p(100 * total / (len(words) + 5))
 
     def score(self, features: tuple[float, float, float]) -> float:
@@ -355,15 +448,16 @@ def fitted(rows: DataFrame, least_toxic: int, least_odds: float) -> ToxicModel:
 
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Trigrams of the distinct words of each document, under kind 0; short words of clean documents, under kind 1."""
-        words: Counter[str] = Counter()
-        clean: Counter[str] = Counter()
+        words: tuple[Counter[str], Counter[str]] = Counter(), Counter()
         for b in batches:
             for t, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = {p for w in set(t.lower().split()) if (p := w.strip(EDGE)).isalpha()}
-                words.update(found)
-                if not toxic:
-                    clean.update(w for w in found if len(w) <= CHUNK)
-        for kind, count in enumerate((trigrams_of(words), clean)):
+                tokens = set(t.lower().split())
+                found = set(filter(str.isalpha, tokens))
+                found.update(p for w in tokens - found if (p := w.strip(EDGE)).isalpha())
+                words[toxic].update(found)
+        clean = {w: n for w, n in words[0].items() if len(w) <= CHUNK}
+        words[0].update(words[1])
+        for kind, count in enumerate((trigrams_of(words[0]), clean)):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(count), kind, "i4")), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["kind", "x", "n"])
 
     spellings = rows.select("text", "toxic").mapInArrow(spelt, "kind int, x string, n long").groupBy("kind", "x").agg(F.sum("n").alias("n"))
@@ -372,16 +466,27 @@ def fitted(rows: DataFrame, least_toxic: int, least_odds: float) -> ToxicModel:
     channel = Deobfuscator.counted({r["x"]: r["n"] for r in held if r["kind"] == 0})
     channel.known = frozenset(r["x"] for r in held if r["kind"])
 
+    def counts_of(marks: list[str], clean: list[int], toxic: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["mark", "clean", "toxic"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[str, list[int]] = {}
+        kept = Store()
         docs = [0, 0]
+        # by the length of a beginning (0: whole words): documents that have it, and toxic ones
+        count: dict[int, tuple[Counter[str], Counter[str]]] = {n: (Counter(), Counter()) for n in (0, *BEGINNINGS)}
         for b in batches:
             for t, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 docs[toxic] += 1
-                for m in {m for w in restored(t, channel) for m in marks(w)}:
-                    count.setdefault(m, [0, 0])[toxic] += 1
-        count[""] = docs
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([n[0] for n in count.values()], pa.int64()), pa.array([n[1] for n in count.values()], pa.int64())], ["mark", "clean", "toxic"])
+                words = {w for w in restored(t, channel, kept) if len(w) > 2}
+                for n, (every, bad) in count.items():
+                    found = {w[:n] for w in words if len(w) > n} if n else words
+                    every.update(found)
+                    if toxic:
+                        bad.update(found)
+        yield counts_of([""], [docs[0]], [docs[1]])
+        for n, (every, bad) in count.items():
+            toxic = [bad.get(x, 0) for x in every]
+            yield counts_of([x + "*" for x in every] if n else list(every), [k - m for k, m in zip(every.values(), toxic)], toxic)
 
     counts = rows.filter("half = 0").select("text", "toxic").mapInArrow(counted, "mark string, clean long, toxic long").groupBy("mark").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = counts.filter((F.col("mark") == "") | (F.col("toxic") >= least_toxic)).persist()

@@ -1,8 +1,10 @@
 """Ties, held-out rows, contradictory labels, clashing names, very long texts, and brute force for what SQL can't express."""
 
 import hashlib
+import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -159,6 +161,43 @@ def test_trigrams_of_the_whole_sample():
     assert toxicity.trigrams_of(words) == {"\x02\x02a": 3, "\x02ab": 3, "ab\x03": 2, "abc": 1, "bc\x03": 1}
 
 
+def test_words_without_evidence_are_not_restored(monkeypatch):
+    channel = toxicity.Deobfuscator.learned({"zorgish": 3, "river": 5, "ball": 4})
+    channel.known = frozenset(["river", "ball", "calm", "zorgs", "flumpy"])
+    model = toxicity.ToxicModel(channel, {"zorgish": 3.1, "zorg*": 2.3, "flumpy": 1.7}, [-1.0, 1.0, 0.0, 0.0])
+    asked, strength = [], toxicity.ToxicModel.strength
+    monkeypatch.setattr(toxicity.ToxicModel, "strength", lambda self, w: asked.append(w) or strength(self, w))
+    kept = toxicity.Store()
+    assert model.features("a calm river, ball; \"calm\" (river) 4.0 river*** x@y.org 12-34", kept) == (0.0, 0.0, 0.0) and asked == []
+    words = ["z0rgish", "zoorgish,", "zorgs", "flumpy", "(flumpy)"]
+    found = model.features(" ".join(words), kept)
+    assert sorted(asked) == sorted(words) and found[0] == 3.1
+    assert {model.features(" ".join(x), toxicity.Store()) for x in itertools.permutations(words)} == {found}  # whatever the order, to the last bit
+    asked.clear()
+    assert model.features(" ".join(words), kept) == found and asked == []
+
+
+def test_runs_and_outlines_as_regular_expressions():
+    rng = np.random.default_rng(5)
+    spaced = re.compile(r"(?<!\S)\S[.\-_*~,/]?(?:\s+\S[.\-_*~,/]?){2,}(?!\S)")
+    for _ in range(3000):
+        text = "".join(rng.choice(list("ab.-* \t\n\x1c\x85²é€¡|lL4"), rng.integers(0, 25))).lower()
+        words = set(text.split())
+        assert toxicity.words_of(text) == words.union(" ".join(m[0].split()) for m in spaced.finditer(text))
+        assert dict(toxicity.outlined(words)) == {w: re.sub(r"(?s)(.)\1+", r"\1", w.translate(toxicity.OUTLINE)) for w in words}
+
+
+def test_trigrams_in_parts(monkeypatch):
+    monkeypatch.setattr(toxicity, "GRAM_WORDS", 3)
+    words = {"": 4, "a": 1, "ab": 7, "añb": 2, "𝒜b𝒜": 3, "aaaa": 5, "b" * 40: 6, "ß": 1}
+    count = Counter()
+    for w, n in words.items():
+        s = "\x02\x02" + w + "\x03"
+        for i in range(len(s) - 2):
+            count[s[i : i + 3]] += n
+    assert toxicity.trigrams_of(words) == count and toxicity.trigrams_of({}) == {}
+
+
 # Personal data
 
 
